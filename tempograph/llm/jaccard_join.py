@@ -112,8 +112,8 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """Parity of the features falling on each of as many bits as there are features, rounded up to a power of two."""
-    bits = max(64, 1 << int(len(h) - 1).bit_length()) if len(h) else 64
+    """Parity of the features falling on each of two to four times as many bits, a power of two."""
+    bits = max(64, 2 << int(len(h) - 1).bit_length()) if len(h) else 64
     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
@@ -232,8 +232,11 @@ class _Join:
         near = (100 + self.percent) * _apart(F.col("sketcha"), F.col("sketchb")) <= (100 - self.percent) * (F.col("na") + F.col("nb"))
         return pairs.filter(_sized(F.col("na"), F.col("nb"), self.percent)).filter(same | near).select("a", "b", same.alias("same"))
 
-    def _blocks(self, members: DataFrame, labels: DataFrame, info: DataFrame) -> DataFrame:
-        """Candidate pairs (a, b) between different components of open groups, compared in blocks."""
+    def _blocks(self, members: DataFrame, labels: DataFrame, info: DataFrame, nearest: bool) -> DataFrame:
+        """Candidate pairs (a, b) between different components of open groups, compared in blocks.
+
+        ``nearest``: of a member's candidates in one component and block only the one nearest by sketch.
+        """
         percent, block = self.percent, self.block
         m = members.join(labels.select("uid", F.col("label.uid").alias("root")), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
         m = cut(m.select("sig", "uid", "root"))
@@ -269,7 +272,11 @@ class _Join:
                     c = b[ok]
                     if len(c):
                         d = np.bitwise_count(x[c] ^ x[r]).sum(1)
-                        c = c[(100 + percent) * d.astype(np.int64) <= (100 - percent) * (n[c] + n[r])]
+                        ok = (100 + percent) * d.astype(np.int64) <= (100 - percent) * (n[c] + n[r])
+                        c, d = c[ok], d[ok]
+                        if nearest and len(c) > 1:
+                            o = np.lexsort((uid[c], d, root[c]))
+                            c = c[o][np.r_[True, np.diff(root[c][o]) != 0]]
                         out_a.append(np.minimum(uid[c], uid[r]))
                         out_b.append(np.maximum(uid[c], uid[r]))
                 if not out_a or not sum(map(len, out_a)):
@@ -306,9 +313,14 @@ class _Join:
         pairs = members.filter("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
         links = cut(self._linked(cut(self._candidates(pairs, info))))
         labels = connected_components(links, nodes)
-        more = self._blocks(members.filter("g > 2").select("sig", "uid"), labels, info)
-        links = links.unionByName(self._linked(cut(self._candidates(more, info))))
-        return info, connected_components(links, nodes)
+        # Nearest candidates first, which joins what belongs together; then all that still lie apart.
+        open_ = members.filter("g > 2").select("sig", "uid")
+        for nearest in (True, False):
+            more = cut(self._linked(cut(self._candidates(self._blocks(open_, labels, info, nearest), info))))
+            if more.limit(1).count():
+                links = links.unionByName(more)
+                labels = connected_components(links, nodes)
+        return info, labels
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
