@@ -165,8 +165,12 @@ def classify_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TR
     train = training_rows(docs, labels, max_train).select("doc_id", "y", "text")
     fitted = cut(train.repartition(1).mapInPandas(_fit_task, "bias double, a double, b double, base double, weights array<float>"))
     r = fitted.first()  # one row of 2**BITS weights
-    weights = np.array(r["weights"], np.float64) if r["weights"] is not None else None
-    model = spark.sparkContext.broadcast(Model(weights, r["bias"], r["a"], r["b"], r["base"]))
+    if r is None:  # no labelled row: the plan may have no task at all
+        fitted_model = Model(None)
+    else:
+        weights = np.array(r["weights"], np.float64) if r["weights"] is not None else None
+        fitted_model = Model(weights, r["bias"], r["a"], r["b"], r["base"])
+    model = spark.sparkContext.broadcast(fitted_model)
 
     @F.pandas_udf("double")
     def scored(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
