@@ -274,6 +274,8 @@ def _frequent_words(train: DataFrame, share: float) -> np.ndarray:
 
 def _shard_count(docs: DataFrame) -> int:
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # unknown, as for rows made in memory
+        return max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return max(4, min(MAX_SHARDS, -(-size // SHARD_BYTES)))
 
 
