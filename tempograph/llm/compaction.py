@@ -23,6 +23,8 @@ from tempograph.llm.common import free_name, scratch
 TARGET_BYTES = 32 << 20
 FAN_IN = 4
 ARRIVALS = 8
+#: Most shards whose numbers are broadcast (about 100 bytes each); beyond, a shuffled join adds them.
+BROADCAST_SHARDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -184,5 +186,7 @@ def compact_documents(docs: DataFrame, arrivals: int = ARRIVALS, target_bytes: i
     if rows is None:
         return docs.limit(0).select("*", F.lit(0).alias("shard"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("version"))
     table = spark.createDataFrame([(p, i, lv) for i, (p, lv) in enumerate(place)], "__file string, shard int, level int")
+    if len(place) <= BROADCAST_SHARDS:
+        table = F.broadcast(table)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1)
     return rows.select(*docs.columns, F.url_decode(name).alias("__file")).join(table, "__file").select(*docs.columns, "shard", "level", F.lit(version).cast("long").alias("version"))
