@@ -232,19 +232,23 @@ class _Join:
         near = (100 + self.percent) * _apart(F.col("sketcha"), F.col("sketchb")) <= (100 - self.percent) * (F.col("na") + F.col("nb"))
         return pairs.filter(_sized(F.col("na"), F.col("nb"), self.percent)).filter(same | near).select("a", "b", same.alias("same"))
 
-    def _blocks(self, members: DataFrame, labels: DataFrame, info: DataFrame, nearest: bool) -> DataFrame:
-        """Candidate pairs (a, b) between different components of open groups, compared in blocks.
-
-        ``nearest``: of a member's candidates in one component and block only the one nearest by sketch.
-        """
-        percent, block = self.percent, self.block
+    def _open(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """(sig, uid, root, g, minor, major): the members of the groups that still span several components."""
         m = members.join(labels.select("uid", F.col("label.uid").alias("root")), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
         m = cut(m.select("sig", "uid", "root"))
         sizes = m.groupBy("sig", "root").agg(F.count("*").alias("c"))
         groups = sizes.groupBy("sig").agg(F.sum("c").alias("g"), F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("most"))
         # Two members were held against each other already.
-        groups = cut(groups.filter("g > 2 and most < g").withColumn("minor", F.col("g") - F.col("most")))
-        m = m.join(groups, "sig").join(info.select("uid", "n", "sketch"), "uid")
+        groups = groups.filter("g > 2 and most < g").select("sig", "g", "major", (F.col("g") - F.col("most")).alias("minor"))
+        return cut(m.join(groups, "sig"))
+
+    def _blocks(self, m: DataFrame, info: DataFrame, nearest: bool) -> DataFrame:
+        """Candidate pairs (a, b) between different components of open groups, compared in blocks.
+
+        ``nearest``: of a member's candidates in one block only the one nearest by sketch.
+        """
+        percent, block = self.percent, self.block
+        m = m.join(info.select("uid", "n", "sketch"), "uid")
         blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
         every = F.pmod(F.xxhash64("uid"), blocks("g")).cast("int")
         few = F.pmod(F.xxhash64("uid"), blocks("minor")).cast("int")
@@ -275,8 +279,7 @@ class _Join:
                         ok = (100 + percent) * d.astype(np.int64) <= (100 - percent) * (n[c] + n[r])
                         c, d = c[ok], d[ok]
                         if nearest and len(c) > 1:
-                            o = np.lexsort((uid[c], d, root[c]))
-                            c = c[o][np.r_[True, np.diff(root[c][o]) != 0]]
+                            c = c[np.lexsort((uid[c], d))[:1]]
                         out_a.append(np.minimum(uid[c], uid[r]))
                         out_b.append(np.maximum(uid[c], uid[r]))
                 if not out_a or not sum(map(len, out_a)):
@@ -300,6 +303,20 @@ class _Join:
         rows = left.unionByName(right).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
         return rows.mapInArrow(compare, "a long, b long").distinct()
 
+    def _more(self, open_: DataFrame, info: DataFrame, nearest: bool) -> DataFrame | None:
+        """Links between different components; None if there are none."""
+        links = cut(self._linked(cut(self._candidates(self._blocks(open_, info, nearest), info))))
+        return links if links.limit(1).count() else None
+
+    def _merged(self, labels: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The labels after further links, which are followed between whole components."""
+        for side in ("a", "b"):
+            links = links.join(labels.select(F.col("uid").alias(side), F.col("label.uid").alias("r" + side)), side, "left")
+        up = connected_components(links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct(), nodes)
+        to = up.select(F.col("uid").alias("root"), F.col("label").alias("lower"))
+        known = labels.join(to, F.col("label.uid") == F.col("root"), "left").select("uid", F.coalesce("lower", "label").alias("label"))
+        return cut(known.unionByName(up.join(labels.select("uid"), "uid", "left_anti")))
+
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(info, labels): all documents, and the labels of the linked ones."""
         signed = self._signed()
@@ -313,13 +330,17 @@ class _Join:
         pairs = members.filter("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
         links = cut(self._linked(cut(self._candidates(pairs, info))))
         labels = connected_components(links, nodes)
-        # Nearest candidates first, which joins what belongs together; then all that still lie apart.
+        # Nearest candidates first, as long as they join components; then all that still lie apart.
         open_ = members.filter("g > 2").select("sig", "uid")
-        for nearest in (True, False):
-            more = cut(self._linked(cut(self._candidates(self._blocks(open_, labels, info, nearest), info))))
-            if more.limit(1).count():
-                links = links.unionByName(more)
-                labels = connected_components(links, nodes)
+        while True:
+            open_ = self._open(open_.select("sig", "uid"), labels)
+            more = self._more(open_, info, nearest=True)
+            if more is None:
+                break
+            labels = self._merged(labels, more, nodes)
+        more = self._more(open_, info, nearest=False)
+        if more is not None:
+            labels = self._merged(labels, more, nodes)
         return info, labels
 
 
