@@ -12,8 +12,8 @@ Signature groups are never expanded into pairs. All members are held against the
 group's smallest member first, through parity sketches (a lower bound on the
 symmetric difference) and then exactly. Groups whose members are by then in one
 component are done; in the others, only members of different components are
-still compared, in blocks of bounded size. What is exact: every pair that shares
-a signature is linked, refuted, or already connected.
+still compared, by their whole sets in blocks of bounded size. What is exact:
+every pair that shares a signature is linked, refuted, or already connected.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from tempograph.llm.common import cut, free_name
 WORDS = 5
 PERCENT = 80
 BLOCK = 1024
+#: Most features on a block's side, as far as single sets allow.
+BLOCK_FEATURES = 1 << 20
 FILTER_WORDS = 1 << 17
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -138,6 +140,50 @@ def _apart(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
 
 
+def _parities(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sketches of one width for the sets h[at[k]:at[k + 1]], about eight bits a feature."""
+    rows = len(at) - 1
+    bits = max(64, 8 << int(len(h) // rows).bit_length())
+    x, step = np.empty((rows, bits // 64), np.uint64), max(1, (1 << 22) // bits)
+    for s in range(0, rows, step):
+        e = min(rows, s + step)
+        row = np.repeat(np.arange(e - s), np.diff(at[s : e + 1]))
+        odd = np.bincount(row * bits + (h[at[s] : at[e]] & np.uint64(bits - 1)).astype(np.int64), minlength=(e - s) * bits) & 1
+        x[s:e] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64).reshape(e - s, -1)
+    return x
+
+
+def joining_links(t: pa.Table, percent: int, step: int = 64) -> pa.RecordBatch:
+    """Links (a, b) of a block that join components: rows of side 0 against those of side 1, nearest sketches first."""
+    uid, root, side = (t.column(c).to_numpy() for c in ("uid", "root", "side"))
+    lists = t.column("h").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    n = lists.value_lengths().to_numpy().astype(np.int64)
+    at = np.r_[0, np.cumsum(n)]
+    h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    root, x, right = root.copy(), _parities(h, at), np.flatnonzero(side == 1)
+    found: list[tuple[int, int]] = []
+    for r in np.flatnonzero(side == 0):
+        c = right[(root[right] != root[r]) & (100 * np.minimum(n[right], n[r]) >= percent * np.maximum(n[right], n[r]))]
+        if not len(c):
+            continue
+        d = np.bitwise_count(x[c] ^ x[r]).sum(1, dtype=np.int64)
+        near = (100 + percent) * d <= (100 - percent) * (n[c] + n[r])
+        c = c[near][np.argsort(d[near], kind="stable")]
+        own = h[at[r] : at[r + 1]]
+        while len(c):
+            now, c = c[:step], c[step:]
+            flat = np.concatenate([h[at[k] : at[k + 1]] for k in now])
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            both = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(n[now])[:-1]])
+            for k in now[100 * both >= percent * (n[now] + n[r] - both)]:
+                if root[k] != root[r]:
+                    found.append((min(uid[k], uid[r]), max(uid[k], uid[r])))
+                    root[root == root[k]] = root[r]
+            c = c[root[c] != root[r]]
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def connected_components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(uid, label): each linked node's smallest reachable ``rank`` struct.
 
@@ -242,51 +288,30 @@ class _Join:
         groups = groups.filter("g > 2 and most < g").select("sig", "g", "major", (F.col("g") - F.col("most")).alias("minor"))
         return cut(m.join(groups, "sig"))
 
-    def _blocks(self, m: DataFrame, info: DataFrame, nearest: bool) -> DataFrame:
-        """Candidate pairs (a, b) between different components of open groups, compared in blocks.
+    def _rest(self, m: DataFrame, info: DataFrame) -> DataFrame:
+        """Links (a, b) between different components of open groups, exact, compared in blocks of bounded size.
 
-        ``nearest``: of a member's candidates in one block only the one nearest by sketch.
+        Groups with the same largest component are compared together, so a pair is
+        looked at once and not for every signature it shares; of equal sets in one
+        component one is taken. A block gives no more links than join its components.
         """
         percent, block = self.percent, self.block
-        m = m.join(info.select("uid", "n", "sketch"), "uid")
-        blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
-        every = F.pmod(F.xxhash64("uid"), blocks("g")).cast("int")
-        few = F.pmod(F.xxhash64("uid"), blocks("minor")).cast("int")
-        cols = ["sig", "uid", "root", "n", "sketch"]
-        left = m.filter("root <> major").select(*cols, few.alias("i"), F.explode(F.sequence(F.lit(0), blocks("g") - 1)).alias("j"), F.lit(0).alias("side"))
-        right = m.select(*cols, F.explode(F.sequence(F.lit(0), blocks("minor") - 1)).alias("i"), every.alias("j"), F.lit(1).alias("side"))
+        m = m.select(F.col("major").alias("key"), "uid", "root").distinct().join(info.select("uid", "n", "h1", "h2"), "uid")
+        m = cut(m.groupBy("key", "root", "n", "h1", "h2").agg(F.min("uid").alias("uid")).select("key", "uid", "root", "n"))
+        out = F.col("root") != F.col("key")
+        sizes = m.groupBy("key").agg(*[f.alias(c) for c, f in (("g", F.count("*")), ("gn", F.sum("n")), ("o", F.count_if(out)), ("on", F.sum(F.when(out, F.col("n")).otherwise(0))))])
+        number = lambda c: F.greatest(F.ceil(F.col(c) / block), F.ceil(F.col(c + "n") / BLOCK_FEATURES), F.lit(1)).cast("int")
+        sizes = sizes.select("key", number("g").alias("js"), number("o").alias("is"))
+        m = m.join(sizes, "key").join(self._sets(m.select("uid").distinct()), "uid")
+        i, j = F.pmod(F.xxhash64("uid"), F.col("is")).cast("int"), F.pmod(F.xxhash64("uid"), F.col("js")).cast("int")
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        cols = ["key", "uid", "root", "h"]
+        left = m.filter(out).select(*cols, i.alias("i"), each("js").alias("j"), F.lit(0).alias("side"))
+        right = m.select(*cols, each("is").alias("i"), j.alias("j"), F.lit(1).alias("side"))
 
         def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
-
-            def pairs(t: pa.Table) -> pa.RecordBatch | None:
-                sk = t.column("sketch").to_pylist()
-                uid, root, n, side = (t.column(c).to_numpy() for c in ("uid", "root", "n", "side"))
-                width = min(map(len, sk))
-                x = np.empty((len(sk), width), np.uint64)
-                for r, s in enumerate(sk):
-                    v = np.array(s, np.int64).view(np.uint64)
-                    while len(v) > width:
-                        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
-                    x[r] = v
-                a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                out_a, out_b = [], []
-                for r in a:
-                    ok = (root[b] != root[r]) & (uid[b] != uid[r]) & (100 * np.minimum(n[b], n[r]) >= percent * np.maximum(n[b], n[r]))
-                    c = b[ok]
-                    if len(c):
-                        d = np.bitwise_count(x[c] ^ x[r]).sum(1)
-                        ok = (100 + percent) * d.astype(np.int64) <= (100 - percent) * (n[c] + n[r])
-                        c, d = c[ok], d[ok]
-                        if nearest and len(c) > 1:
-                            c = c[np.lexsort((uid[c], d))[:1]]
-                        out_a.append(np.minimum(uid[c], uid[r]))
-                        out_b.append(np.maximum(uid[c], uid[r]))
-                if not out_a or not sum(map(len, out_a)):
-                    return None
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-
-            key = ("sig", "i", "j")
+            key = ("key", "i", "j")
             for b in it:
                 held.append(b)
                 t = pa.Table.from_batches(held)
@@ -294,20 +319,14 @@ class _Join:
                 cuts = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1
                 if len(cuts):
                     for s, e in zip([0, *cuts[:-1]], cuts):
-                        if (p := pairs(t.slice(s, e - s))) is not None:
-                            yield p
+                        yield joining_links(t.slice(s, e - s), percent)
                     held = t.slice(cuts[-1]).combine_chunks().to_batches()
-            if held and (p := pairs(pa.Table.from_batches(held))) is not None:
-                yield p
+            if held:
+                yield joining_links(pa.Table.from_batches(held), percent)
 
-        rows = left.unionByName(right).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        rows = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         return rows.mapInArrow(compare, "a long, b long").distinct()
 
-    def _more(self, open_: DataFrame, info: DataFrame, nearest: bool) -> DataFrame | None:
-        """Links between different components; None if there are none."""
-        links = cut(self._linked(cut(self._candidates(self._blocks(open_, info, nearest), info))))
-        return links if links.limit(1).count() else None
-
     def _merged(self, labels: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
         """The labels after further links, which are followed between whole components."""
         for side in ("a", "b"):
@@ -330,17 +349,11 @@ class _Join:
         pairs = members.filter("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
         links = cut(self._linked(cut(self._candidates(pairs, info))))
         labels = connected_components(links, nodes)
-        # Nearest candidates first, as long as they join components; then all that still lie apart.
-        open_ = members.filter("g > 2").select("sig", "uid")
-        while True:
-            open_ = self._open(open_.select("sig", "uid"), labels)
-            more = self._more(open_, info, nearest=True)
-            if more is None:
-                break
-            labels = self._merged(labels, more, nodes)
-        more = self._more(open_, info, nearest=False)
-        if more is not None:
-            labels = self._merged(labels, more, nodes)
+        open_ = self._open(members.filter("g > 2").select("sig", "uid"), labels)
+        if open_.limit(1).count():
+            rest = cut(self._rest(open_, info))
+            if rest.limit(1).count():
+                labels = self._merged(labels, rest, nodes)
         return info, labels
 
 
