@@ -18,6 +18,7 @@ every pair that shares a signature is linked, refuted, or already connected.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,6 +154,24 @@ def _parities(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return x
 
 
+def near_rows(t: pa.Table, percent: int) -> np.ndarray:
+    """Which rows of a block have one of the other side, in another component, that sizes and sketches allow."""
+    root, n, side = (t.column(c).to_numpy() for c in ("root", "n", "side"))
+    lists = t.column("sketch").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    size = lists.value_lengths().to_numpy()
+    at, flat, width = np.r_[0, np.cumsum(size)], lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), int(size.min())
+    x = np.stack([np.bitwise_xor.reduce(flat[at[r] : at[r + 1]].reshape(-1, width), axis=0) for r in range(len(size))])
+    right, on = np.flatnonzero(side == 1), np.zeros(len(size), bool)
+    for r in np.flatnonzero(side == 0):
+        c = right[(root[right] != root[r]) & (100 * np.minimum(n[right], n[r]) >= percent * np.maximum(n[right], n[r]))]
+        d = np.bitwise_count(x[c] ^ x[r]).sum(1, dtype=np.int64)
+        c = c[(100 + percent) * d <= (100 - percent) * (n[c] + n[r])]
+        on[c] = True
+        on[r] = len(c) > 0
+    return on
+
+
 def joining_links(t: pa.Table, percent: int, step: int = 64) -> pa.RecordBatch:
     """Links (a, b) of a block that join components: rows of side 0 against those of side 1, nearest sketches first."""
     uid, root, side = (t.column(c).to_numpy() for c in ("uid", "root", "side"))
@@ -293,38 +312,53 @@ class _Join:
 
         Groups with the same largest component are compared together, so a pair is
         looked at once and not for every signature it shares; of equal sets in one
-        component one is taken. A block gives no more links than join its components.
+        component one is taken. Only sets that a sketch finds near another are read. A block gives no more links than join its components.
         """
         percent, block = self.percent, self.block
         m = m.select(F.col("major").alias("key"), "uid", "root").distinct().join(info.select("uid", "n", "h1", "h2"), "uid")
-        m = cut(m.groupBy("key", "root", "n", "h1", "h2").agg(F.min("uid").alias("uid")).select("key", "uid", "root", "n"))
-        out = F.col("root") != F.col("key")
-        sizes = m.groupBy("key").agg(*[f.alias(c) for c, f in (("g", F.count("*")), ("gn", F.sum("n")), ("o", F.count_if(out)), ("on", F.sum(F.when(out, F.col("n")).otherwise(0))))])
-        number = lambda c: F.greatest(F.ceil(F.col(c) / block), F.ceil(F.col(c + "n") / BLOCK_FEATURES), F.lit(1)).cast("int")
-        sizes = sizes.select("key", number("g").alias("js"), number("o").alias("is"))
-        m = m.join(sizes, "key").join(self._sets(m.select("uid").distinct()), "uid")
-        i, j = F.pmod(F.xxhash64("uid"), F.col("is")).cast("int"), F.pmod(F.xxhash64("uid"), F.col("js")).cast("int")
-        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        cols = ["key", "uid", "root", "h"]
-        left = m.filter(out).select(*cols, i.alias("i"), each("js").alias("j"), F.lit(0).alias("side"))
-        right = m.select(*cols, each("is").alias("i"), j.alias("j"), F.lit(1).alias("side"))
-
-        def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = m.groupBy("key", "root", "n", "h1", "h2").agg(F.min("uid").alias("uid"))
+        # Sizes that can be similar lie in one band or in neighbouring ones.
+        band = F.floor(F.log("n") / max(1.0001 * math.log(100 / percent), 1e-9))
+        m = cut(m.select("key", "uid", "root", "n", band.alias("band")))
+        near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))
+        left = m.filter(F.col("root") != F.col("key")).select("key", "uid", "root", "n", near.alias("band"), F.lit(0).alias("side"))
+        m = left.unionByName(m.withColumn("side", F.lit(1)))
+
+        def number(side: int) -> Column:
+            rows, features = F.count_if(F.col("side") == side), F.sum(F.when(F.col("side") == side, F.col("n")))
+            return F.greatest(F.ceil(rows / block), F.ceil(features / BLOCK_FEATURES)).cast("int")
+
+        m = m.join(m.groupBy("key", "band").agg(number(0).alias("is"), number(1).alias("js")).filter("is > 0 and js > 0"), ["key", "band"])
+        for c, side in (("i", 0), ("j", 1)):
+            own = F.array(F.pmod(F.xxhash64("uid"), F.col(c + "s")).cast("int"))
+            m = m.withColumn(c, F.explode(F.when(F.col("side") == side, own).otherwise(F.sequence(F.lit(0), F.col(c + "s") - 1))))
+        key = ["key", "band", "i", "j"]
+        cols = [*key, "uid", "root", "side"]
+
+        def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             held: list[pa.RecordBatch] = []
-            key = ("key", "i", "j")
             for b in it:
                 held.append(b)
                 t = pa.Table.from_batches(held)
                 k = np.stack([t.column(c).to_numpy() for c in key])
                 cuts = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1
                 if len(cuts):
-                    for s, e in zip([0, *cuts[:-1]], cuts):
-                        yield joining_links(t.slice(s, e - s), percent)
+                    yield from (t.slice(s, e - s) for s, e in zip([0, *cuts[:-1]], cuts))
                     held = t.slice(cuts[-1]).combine_chunks().to_batches()
             if held:
-                yield joining_links(pa.Table.from_batches(held), percent)
+                yield pa.Table.from_batches(held)
+
+        def flag(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in blocks(it):
+                yield from t.filter(pa.array(near_rows(t, percent))).select(cols).to_batches()
+
+        def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in blocks(it):
+                yield joining_links(t, percent)
 
-        rows = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        rows = m.select(*cols, "n").join(info.select("uid", "sketch"), "uid").repartition(*key).sortWithinPartitions(*key).select(*cols, "n", "sketch")
+        rows = cut(rows.mapInArrow(flag, "key long, band long, i int, j int, uid long, root long, side int"))
+        rows = rows.join(self._sets(rows.select("uid").distinct()), "uid").repartition(*key).sortWithinPartitions(*key)
         return rows.mapInArrow(compare, "a long, b long").distinct()
 
     def _merged(self, labels: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
