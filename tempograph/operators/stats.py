@@ -47,63 +47,153 @@ def correlations(df: DataFrame, width: int, target: str, top: int) -> DataFrame:
     return r.withColumn("k", F.row_number().over(Window.orderBy(F.desc(F.abs("r")), "pos"))).filter(F.col("k") <= top).drop("k")
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-
 def sampled(df: DataFrame, by: list[str], key: str, most: int, seed: int = 0) -> DataFrame:
     """At most ``most`` rows of each group, by a seeded hash of the key."""
     w = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), key), key)
     return df.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= most).drop("__k")
 
 
-def pairs_within(points: DataFrame, by: str, key: str = "vec_id", vec: str = "v") -> DataFrame:
-    """(group, a, b, d2) for a < b in each group; groups are bounded samples."""
-    a = points.select(by, F.col(key).alias("a"), F.col(vec).alias("x"))
-    b = points.select(by, F.col(key).alias("b"), F.col(vec).alias("y"))
-    return a.join(b, by).filter("a < b").select(by, "a", "b", squared_distance(F.col("x"), F.col("y")).alias("d2"))
+#: Rows of a hash block; all pairs of a group are met block against block, so no task holds a whole group.
+BLOCK_ROWS = 1024
 
 
-def median_distance(points: DataFrame, by: str) -> DataFrame:
-    """Median pairwise distance of each group, 1 where degenerate."""
-    d = pairs_within(points, by).groupBy(by).agg(F.median(F.sqrt("d2")).alias("m"))
-    return d.select(by, F.when(F.col("m") > 0, F.col("m")).otherwise(1.0).alias("sigma"))
+def _each_block_pair(points: DataFrame, by: str, cols: list[str], fn: Callable, schema: str, rows: int, vec: str = "v") -> DataFrame:
+    """``fn(group, left, right, same)`` on each unordered pair of a group's hash blocks, a block with itself included.
 
+    ``left`` and ``right`` are frames of ``cols`` (the first is the key) and the
+    vector; every row is in one block, so every pair of rows is met once.
+    """
+    n = points.groupBy(by).agg(F.ceil(F.count("*") / rows).cast("int").alias("__n"))
+    b = points.select(by, *cols, vec).join(n, by).withColumn("__b", F.pmod(F.xxhash64(cols[0]), F.col("__n")).cast("int"))
+    b = b.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).withColumns({"__i": F.least("__b", "__o"), "__j": F.greatest("__b", "__o")}).drop("__n", "__o")
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        g, i, j = key
+        left = p[p["__b"] == i]
+        return fn(g, left, left if i == j else p[p["__b"] == j], i == j)
+
+    return b.groupBy(by, "__i", "__j").applyInPandas(run, schema)
+
+
+def _type(df: DataFrame, col: str) -> str:
+    return df.schema[col].dataType.simpleString()
+
+
+def _distances(x: pd.Series, y: pd.Series) -> np.ndarray:
+    """Squared distances from differences, so that equal vectors are exactly 0 apart."""
+    if not len(x) or not len(y):
+        return np.zeros((len(x), len(y)))
+    a, b = np.stack(x.to_numpy()), np.stack(y.to_numpy())
+    out = np.empty((len(a), len(b)))
+    for r in range(len(a)):
+        d = b - a[r]
+        out[r] = np.einsum("ij,ij->i", d, d)
+    return out
 
-def mmd2(points: DataFrame, by: str, gamma: float) -> DataFrame:
-    """Unbiased squared MMD of the two sides (column side 0/1) of each group; may be negative."""
-    a = points.select(by, F.col("vec_id").alias("a"), F.col("side").alias("s"), F.col("v").alias("x"))
-    b = points.select(by, F.col("vec_id").alias("b"), F.col("side").alias("t"), F.col("v").alias("y"))
-    k = a.join(b, by).filter("a <> b or s <> t").withColumn("k", F.exp(-gamma * squared_distance(F.col("x"), F.col("y"))))
-    xx, yy, xy = (F.avg(F.when((F.col("s") == i) & (F.col("t") == j), F.col("k"))) for i, j in ((0, 0), (1, 1), (0, 1)))
-    return k.groupBy(by).agg((xx + yy - 2 * xy).alias("mmd2"))
 
+def _pair_distances(left: pd.DataFrame, right: pd.DataFrame, same: bool, key: str, vec: str) -> tuple[np.ndarray, ...]:
+    """(a, b, d2) with a < b of two blocks; equal keys share a block, so they are never paired."""
+    d = _distances(left[vec], right[vec])
+    a, b = left[key].to_numpy(), right[key].to_numpy()
+    i, j = np.nonzero(a[:, None] < b[None]) if same else (x.ravel() for x in np.indices(d.shape))
+    return np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), d[i, j]
 
-def _kernel(x: np.ndarray, gamma: float) -> np.ndarray:
-    n = (x * x).sum(1)
-    return np.exp(-gamma * np.maximum(n[:, None] + n[None, :] - 2 * x @ x.T, 0))
 
+def pairs_within(points: DataFrame, by: str, key: str = "vec_id", vec: str = "v", rows: int = BLOCK_ROWS) -> DataFrame:
+    """(group, a, b, d2) for all a < b in each group."""
 
-def permutation_test(points: DataFrame, by: str, gamma: float, n_perm: int = 200, seed: int = 0, continuity: bool = True) -> DataFrame:
-    """(group, mmd2, p): one kernel matrix a group, labels permuted by index. Groups are bounded samples."""
+    def run(g, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        a, b, d = _pair_distances(left, right, same, key, vec)
+        return pd.DataFrame({by: g, "a": a, "b": b, "d2": d})
 
-    def test(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["side", "vec_id"])
-        side = p["side"].to_numpy()
-        k = _kernel(np.array(p["v"].tolist()), gamma)
-        np.fill_diagonal(k, 0)
+    return _each_block_pair(points, by, [key], run, f"{by} {_type(points, by)}, a {_type(points, key)}, b {_type(points, key)}, d2 double", rows, vec)
 
-        def stat(s: np.ndarray) -> float:
-            x, y = s == 0, s == 1
-            m, n = x.sum(), y.sum()
-            return float(k[np.ix_(x, x)].sum() / (m * (m - 1)) + k[np.ix_(y, y)].sum() / (n * (n - 1)) - 2 * k[np.ix_(x, y)].mean())
 
-        obs = stat(side)
-        rng = np.random.default_rng([seed, int(p[by].iloc[0])])
-        ge = sum(stat(rng.permutation(side)) >= obs for _ in range(n_perm))
-        return pd.DataFrame({by: [int(p[by].iloc[0])], "mmd2": [obs], "p": [(ge + 1) / (n_perm + 1) if continuity else ge / n_perm]})
+def median_distance(points: DataFrame, by: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Median pairwise distance of each group, 1 where degenerate.
 
-    return points.select(by, "side", "vec_id", "v").groupBy(by).applyInPandas(test, f"{by} int, mmd2 double, p double")
+    Exact: counts by the leading bits of the squared distances find the bins of
+    the middle ranks, and only the distances in those are sorted.
+    """
+
+    def bins(d: np.ndarray) -> np.ndarray:
+        return d.view(np.int64) >> 40  # in order, as squared distances are not negative
+
+    def count(g, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        k, c = np.unique(bins(_pair_distances(left, right, same, "vec_id", "v")[2]), return_counts=True)
+        return pd.DataFrame({by: g, "bin": k, "c": c})
+
+    def pick(g, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        d = _pair_distances(left, right, same, "vec_id", "v")[2]
+        d = d[np.isin(bins(d), left["want"].iloc[0])] if len(left) else d[:0]
+        return pd.DataFrame({by: g, "d2": d})
+
+    kind = f"{by} {_type(points, by)}"
+    h = _each_block_pair(points, by, ["vec_id"], count, f"{kind}, bin long, c long", rows).groupBy(by, "bin").agg(F.sum("c").alias("c"))
+    w = Window.partitionBy(by)
+    h = h.withColumns({"upto": F.sum("c").over(w.orderBy("bin")), "n": F.sum("c").over(w)}).withColumns({"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2)})
+    mid = h.filter("upto > low and upto - c <= high").groupBy(by).agg(F.collect_list("bin").alias("want"), F.min(F.col("upto") - F.col("c")).alias("before"), F.first("low").alias("low"), F.first("high").alias("high"))
+    d = _each_block_pair(points.join(mid.select(by, "want"), by), by, ["vec_id", "want"], pick, f"{kind}, d2 double", rows)
+    d = d.withColumn("r", F.row_number().over(w.orderBy("d2")) - 1).join(mid.select(by, "before", "low", "high"), by)
+    d = d.filter("before + r = low or before + r = high").groupBy(by).agg(F.avg(F.sqrt("d2")).alias("m"))
+    return d.select(by, F.when(F.col("m") > 0, F.col("m")).otherwise(1.0).alias("sigma"))
+
+
+def mmd2(points: DataFrame, by: str, gamma: float, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Unbiased squared MMD of the two sides (column side 0/1) of each group; may be negative."""
+
+    def run(g, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        k = np.exp(-gamma * _distances(left["v"], right["v"]))
+        s, t = left["side"].to_numpy()[:, None], right["side"].to_numpy()[None]
+        keep = (left["vec_id"].to_numpy()[:, None] != right["vec_id"].to_numpy()[None]) | (s != t)
+        cells = [(s == 0) & (t == 0) & keep, (s == 1) & (t == 1) & keep, (s == 0) & (t == 1) if same else s + t == 1]
+        return pd.DataFrame({by: [g], **{f"k{i}": [float(k[c].sum())] for i, c in enumerate(cells)}, **{f"n{i}": [int(c.sum())] for i, c in enumerate(cells)}, "w": [1 if same else 2]})
+
+    kind = f"{by} {_type(points, by)}"
+    p = _each_block_pair(points, by, ["vec_id", "side"], run, f"{kind}, k0 double, k1 double, k2 double, n0 long, n1 long, n2 long, w int", rows)
+    # A block with itself gives each pair of a side in both orders, two blocks only in one.
+    xx, yy = (F.try_divide(F.sum(F.col(f"k{i}") * F.col("w")), F.sum(F.col(f"n{i}") * F.col("w"))) for i in (0, 1))
+    return p.groupBy(by).agg((xx + yy - 2 * F.try_divide(F.sum("k2"), F.sum("n2"))).alias("mmd2"))
+
+
+def permutation_test(points: DataFrame, by: str, gamma: float, n_perm: int = 200, seed: int = 0, continuity: bool = True, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(group, mmd2, p): labels permuted by index. Each block pair adds its part to the kernel sums of all permutations."""
+    w = Window.partitionBy(by)
+    p = points.select(by, "side", "vec_id", "v").withColumns({"at": F.row_number().over(w.orderBy("side", "vec_id")) - 1, "m": F.count_if(F.col("side") == 0).over(w), "n": F.count("*").over(w)})
+
+    def run(g, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({by: [], "m": [], "n": [], "sums": []})
+        m, n = int(left["m"].iloc[0]), int(left["n"].iloc[0])
+        side = np.repeat([0, 1], [m, n - m])  # as sorted by side and id
+        a, b = left["at"].to_numpy(), right["at"].to_numpy()
+        x, y = np.empty((len(a), n_perm + 1)), np.empty((len(b), n_perm + 1))
+        x[:, 0], y[:, 0] = side[a] == 0, side[b] == 0
+        rng = np.random.default_rng([seed, int(g)])
+        for k in range(1, n_perm + 1):
+            s = rng.permutation(side)
+            x[:, k], y[:, k] = s[a] == 0, s[b] == 0
+        k = np.exp(-gamma * _distances(left["v"], right["v"]))
+        k[a[:, None] == b[None]] = 0
+        xx, xall, yall, all_ = (x * (k @ y)).sum(0), (x * k.sum(1)[:, None]).sum(0), (y * k.sum(0)[:, None]).sum(0), k.sum()
+        xy = xall + yall - 2 * xx  # pairs across the sides, both ways
+        yy = all_ - xx - xy
+        f = 1 if same else 2
+        sums = np.r_[f * xx, f * yy, xy * (0.5 if same else 1)]
+        return pd.DataFrame({by: [g], "m": [m], "n": [n], "sums": [sums.tolist()]})
+
+    kind = f"{by} {_type(points, by)}"
+    parts = _each_block_pair(p, by, ["vec_id", "at", "m", "n"], run, f"{kind}, m long, n long, sums array<double>", rows)
+
+    def close(p: pd.DataFrame) -> pd.DataFrame:
+        m, n = int(p["m"].iloc[0]), int(p["n"].iloc[0] - p["m"].iloc[0])
+        xx, yy, xy = np.stack(p["sums"].to_numpy()).sum(0).reshape(3, -1)
+        with np.errstate(all="ignore"):
+            stat = xx / np.float64(m * (m - 1)) + yy / np.float64(n * (n - 1)) - 2 * xy / np.float64(m * n)
+        ge = int((stat[1:] >= stat[0]).sum())
+        return pd.DataFrame({by: [p[by].iloc[0]], "mmd2": [stat[0]], "p": [(ge + 1) / (n_perm + 1) if continuity else ge / n_perm]})
+
+    return parts.groupBy(by).applyInPandas(close, f"{kind}, mmd2 double, p double")
 
 
 def robust_z(df: DataFrame, value: str) -> DataFrame:
@@ -114,10 +204,23 @@ def robust_z(df: DataFrame, value: str) -> DataFrame:
     return j.join(F.broadcast(mad)).withColumn("z", F.try_divide(F.col(value) - F.col("med"), 1.4826 * F.col("mad"))).drop("med", "mad")
 
 
-def two_nn(points: DataFrame, by: str, frac: float = 0.9) -> DataFrame:
+def two_nn(points: DataFrame, by: str, frac: float = 0.9, rows: int = BLOCK_ROWS) -> DataFrame:
     """Intrinsic dimension from ratios of second to first neighbour distances."""
-    d = pairs_within(points, by)
-    both = d.select(by, F.col("a").alias("id"), "d2").unionByName(d.select(by, F.col("b").alias("id"), "d2"))
+
+    def near(g, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        a, b = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+        d = _distances(left["v"], right["v"])
+        d[a[:, None] == b[None]] = np.inf
+        ids, two = [], []
+        for k, x in ((a, d),) if same else ((a, d), (b, d.T)):
+            x = np.partition(x, 1, axis=1)[:, :2] if x.shape[1] > 2 else x
+            ids.append(np.repeat(k, x.shape[1]))
+            two.append(x.ravel())
+        ids, two = np.concatenate(ids), np.concatenate(two)
+        return pd.DataFrame({by: g, "id": ids, "d2": two})[np.isfinite(two)]
+
+    # Of each row the two nearest in every block, then the two nearest of those.
+    both = _each_block_pair(points, by, ["vec_id"], near, f"{by} {_type(points, by)}, id {_type(points, 'vec_id')}, d2 double", rows)
     w = Window.partitionBy(by, "id").orderBy("d2")
     two = both.withColumn("k", F.row_number().over(w)).filter("k <= 2").groupBy(by, "id").agg(F.min(F.sqrt("d2")).alias("r1"), F.max(F.sqrt("d2")).alias("r2"))
     mu = two.filter("r1 > 0").withColumn("x", F.ln(F.col("r2") / F.col("r1")))

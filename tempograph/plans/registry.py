@@ -66,10 +66,9 @@ def _steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    """At most 60 embeddings of each label, as doubles: label is the group, odd ids are side 1."""
+    """All embeddings, as doubles: label is the group, odd ids are side 1."""
     e = g.table(spark, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return e.withColumn("k", F.row_number().over(w)).filter("k <= 60").drop("k").withColumn("side", (F.col("vec_id") % 2).cast("int"))
+    return e.withColumn("side", (F.col("vec_id") % 2).cast("int"))
 
 
 POINTS = "pts AS (SELECT vec_id, CAST(label AS INT) AS label, list_transform(embedding, lambda x: x::DOUBLE) AS v, CAST(vec_id % 2 AS INT) AS side FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k <= 60)"

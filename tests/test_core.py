@@ -93,3 +93,54 @@ def test_against_sql(spark, name):
         return sorted(tuple(f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in df[cols].itertuples(index=False))
 
     assert rows(want) == rows(got)
+
+
+def _cloud(spark, n=200, width=3):
+    import numpy as np
+
+    v = np.random.default_rng(5).normal(size=(n, width))
+    side = np.arange(n) % 3 // 2  # sides of different sizes
+    v[side == 1] += 0.2
+    df = spark.createDataFrame([(i, 1, int(side[i]), [float(x) for x in v[i]]) for i in range(n)], "vec_id long, label int, side int, v array<double>")
+    return v, side, df
+
+
+def test_points_are_whole(spark):
+    import pyarrow.parquet as pq
+
+    from tempograph.plans.registry import _points
+
+    n = pq.read_metadata("/root/testdata/sf0.1/embeddings.parquet").num_rows
+    assert _points(spark, "/root/testdata/sf0.1").count() == n
+
+
+def test_block_pairs_against_brute_force(spark):
+    import numpy as np
+
+    v, side, df = _cloud(spark)
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    up = np.triu_indices(len(v), 1)
+    got = {(r["a"], r["b"]): r["d2"] for r in stats.pairs_within(df, "label", rows=32).collect()}
+    assert sorted(got) == sorted(zip(*(x.tolist() for x in up))) and all(math.isclose(x, d[k], rel_tol=1e-9) for k, x in got.items())
+    assert math.isclose(stats.median_distance(df, "label", rows=32).first()["sigma"], np.median(np.sqrt(d[up])), rel_tol=1e-9)
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    k = np.exp(-0.3 * d) - np.eye(len(v))
+
+    def mmd(x, y):
+        m, n = len(x), len(y)
+        return k[np.ix_(x, x)].sum() / (m * (m - 1)) + k[np.ix_(y, y)].sum() / (n * (n - 1)) - 2 * k[np.ix_(x, y)].mean()
+
+    assert math.isclose(stats.mmd2(df, "label", 0.3, rows=32).first()["mmd2"], mmd(x, y), rel_tol=1e-9)
+    r = stats.permutation_test(df, "label", 0.3, n_perm=50, rows=32).first()
+    rng, order = np.random.default_rng([0, 1]), np.r_[x, y]
+    ge = 0
+    for _ in range(50):
+        s = rng.permutation(side[order])
+        ge += mmd(order[s == 0], order[s == 1]) >= mmd(x, y)
+    assert math.isclose(r["mmd2"], mmd(x, y), rel_tol=1e-9) and r["p"] == (ge + 1) / 51
+    np.fill_diagonal(d, np.inf)
+    two = np.sqrt(np.sort(d, axis=1)[:, :2])
+    mu = np.sort(np.log(two[:, 1] / two[:, 0]))
+    at = np.arange(1, len(mu) + 1)
+    mu, q = mu[at <= 0.9 * len(mu)], -np.log(1 - at / len(mu) + 1e-10)[at <= 0.9 * len(mu)]
+    assert math.isclose(stats.two_nn(df, "label", rows=32).first()["dimension"], (mu * q).sum() / (mu * mu).sum(), rel_tol=1e-6)
