@@ -2,8 +2,12 @@
 
 Base rules reject short and self-repeating texts outright. Of the others the
 forest rejects those whose rule statistics are anomalous: random splits
-isolate them after few steps. Trees are grown on bounded random subsamples, as
-the method prescribes; the path-length threshold is calibrated on labelled rows.
+isolate them after few steps. It sees all statistics, as excesses over the
+quartiles in units of their spread, and splits by range, so an outlier in any
+one rule can be isolated; a value outside what a tree has seen leaves its box
+early. Trees are grown on bounded random subsamples, as the method prescribes,
+of rows labelled good, so that a common kind of bad text is not taken for
+normal; the path-length threshold is calibrated on labelled rows.
 """
 
 from __future__ import annotations
@@ -29,14 +33,10 @@ _SYMBOLS = re.compile(r"[#*$%&|<>]")
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 STATS = ["mean_word", "symbols_per_word", "dup_lines_per_line", "repeat_share", "distinct_share", "upper_share", "digit_share", "bang_share", "repeat_pairs", "punct_share", "log_words"]
 
-#: Sets of statistics a forest may be grown on; labelled rows decide, later ones win ties.
-VIEWS = [
-    STATS,
-    ["mean_word", "symbols_per_word", "dup_lines_per_line", "repeat_share", "upper_share", "digit_share", "bang_share", "repeat_pairs"],
-    ["symbols_per_word", "upper_share", "bang_share", "repeat_pairs"],
-    ["symbols_per_word"],
-    ["symbols_per_word", "bang_share"],
-]
+#: Statistics of which low values are unusual too.
+TWO_SIDED = ["mean_word", "distinct_share", "punct_share"]
+#: Least spread that counts as a unit of each statistic.
+UNITS = [0.1, 0.02, 0.02, 0.02, 0.02, 0.01, 0.01, 0.01, 0.01, 0.02, 0.3]
 
 
 def repeated_words(ids: np.ndarray, n: int = 5) -> int:
@@ -92,30 +92,38 @@ for _c in b",.;:?()\"'-":
 
 
 class Forest:
-    """Isolation forest over rows of statistics; trees are arrays of nodes."""
+    """Isolation forest over rows of all statistics; trees are arrays of nodes with their boxes."""
 
     def __init__(self, x: np.ndarray, n_trees: int = N_TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
         rng = np.random.default_rng(seed)
+        self.low, self.high = np.quantile(x, [0.25, 0.75], axis=0)
+        self.unit = np.maximum(self.high - self.low, UNITS)
+        x = self.excess(x)
         self.size = min(subsample, len(x))
         depth = int(np.ceil(np.log2(max(2, self.size))))
         self.trees = [self._grow(x[rng.choice(len(x), self.size, replace=False)], depth, rng) for _ in range(n_trees)]
 
+    def excess(self, x: np.ndarray) -> np.ndarray:
+        under = [STATS.index(c) for c in TWO_SIDED]
+        return np.hstack([np.maximum(x - self.high, 0) / self.unit, (np.maximum(self.low - x, 0) / self.unit)[:, under]])
+
     @staticmethod
     def _mean_path(n: int) -> float:
         return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
     def _grow(self, x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
-        feature, cutoff, left, right, path = [], [], [], [], []
+        feature, cutoff, left, right, path, lows, highs = [], [], [], [], [], [], []
 
         def node(rows: np.ndarray, at: int) -> int:
             me = len(feature)
-            for a, v in ((feature, -1), (cutoff, 0.0), (left, me), (right, me), (path, at + self._mean_path(len(rows)))):
+            low, high = rows.min(0), rows.max(0)
+            for a, v in ((feature, -1), (cutoff, 0.0), (left, me), (right, me), (path, at + self._mean_path(len(rows))), (lows, low), (highs, high)):
                 a.append(v)
-            low, high = (rows.min(0), rows.max(0)) if len(rows) else (np.zeros(1), np.zeros(1))
-            open_ = np.flatnonzero(high > low)
-            if at < depth and len(rows) > 1 and len(open_):
-                f = int(rng.choice(open_))
+            span = high - low
+            if at < depth and len(rows) > 1 and span.max() > 0:
+                f = int(rng.choice(len(span), p=span / span.sum()))
                 c = float(rng.uniform(low[f], high[f]))
+                c = c if c > low[f] else float(high[f])
                 go = rows[:, f] < c
                 feature[me], cutoff[me] = f, c
                 left[me] = node(rows[go], at + 1)
@@ -123,22 +131,32 @@ class Forest:
             return me
 
         node(x, 0)
-        return tuple(np.array(a) for a in (feature, cutoff, left, right, path))
+        return tuple(np.array(a) for a in (feature, cutoff, left, right, path, lows, highs))
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly score in 0 to 1; short paths score high."""
+        """Anomaly score in 0 to 1; short paths score high.
+
+        A row outside a node's box is split off there with the probability of a
+        cut between the two, so its path is an expectation.
+        """
+        x = self.excess(x)
         total = np.zeros(len(x))
         rows = np.arange(len(x))
-        for feature, cutoff, left, right, path in self.trees:
-            at = np.zeros(len(x), int)
-            while True:
+        for feature, cutoff, left, right, path, lows, highs in self.trees:
+            at, step = np.zeros(len(x), int), 0
+            stay, live = np.ones(len(x)), np.ones(len(x), bool)
+            while live.any():
+                low, high = lows[at], highs[at]
+                out = (np.maximum(low - x, 0) + np.maximum(x - high, 0)).sum(1)
+                leave = live * out / np.maximum((high - low).sum(1) + out, 1e-12)
+                total += stay * leave * (step + 1)
+                stay *= 1 - leave
                 f = feature[at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                go = x[rows, np.maximum(f, 0)] < cutoff[at]
-                at = np.where(inner, np.where(go, left[at], right[at]), at)
-            total += path[at]
+                done = live & (f < 0)
+                total[done] += stay[done] * path[at[done]]
+                live &= f >= 0
+                at = np.where(live, np.where(x[rows, np.maximum(f, 0)] < cutoff[at], left[at], right[at]), at)
+                step += 1
         return 2.0 ** (-total / len(self.trees) / max(self._mean_path(self.size), 1e-9))
 
 
@@ -158,20 +176,6 @@ def calibrate(scores: np.ndarray, good: np.ndarray, max_false: float = MAX_FALSE
     return float((at[best] + at[best + 1]) / 2) if best + 1 < len(at) else float(at[best])
 
 
-def choose_forest(x: np.ndarray, good: np.ndarray) -> tuple[Forest, list[int], float]:
-    """The view of the statistics whose calibrated forest rejects most bad labelled rows: forest, columns, threshold."""
-    best = None
-    for view in VIEWS:
-        cols = [STATS.index(c) for c in view]
-        forest = Forest(x[:, cols])
-        scores = forest.score(x[:, cols])
-        threshold = calibrate(scores, good)
-        caught = int((scores[~good] > threshold).sum())
-        if best is None or caught >= best[0]:
-            best = (caught, forest, cols, threshold)
-    return best[1:]
-
-
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Append the base counts (long) and the array ``rule_stats``; null texts have no words."""
 
@@ -205,16 +209,19 @@ def rule_verdicts(docs: DataFrame, labels: DataFrame, text_col: str = "text", ma
     rows = text_statistics(docs.join(F.broadcast(lab), F.col("doc_id") == F.col("l_id")).select("l_id", "y", text_col), text_col)
     sample = cut(rows.filter(~base_failed()).select("l_id", "y", "rule_stats")).toPandas()  # max_calibration rows of a few numbers
     sample = sample.sort_values(["l_id", "rule_stats"], key=lambda c: c.map(lambda v: tuple(v) if hasattr(v, "__len__") else v))
-    forest, cols, threshold = None, [], float("inf")
-    if len(sample):
-        forest, cols, threshold = choose_forest(np.array(sample["rule_stats"].tolist()), sample["y"].to_numpy() == 1)
-    shared = spark.sparkContext.broadcast((forest, cols))
+    forest, threshold = None, float("inf")
+    good = sample["y"].to_numpy() == 1
+    if good.any():
+        x = np.array(sample["rule_stats"].tolist())
+        forest = Forest(x[good])
+        threshold = calibrate(forest.score(x), good)
+    shared = spark.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def anomaly(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        f, cols = shared.value
+        f = shared.value
         for s in it:
-            yield pd.Series(f.score(np.array(s.tolist())[:, cols]) if f is not None and len(s) else np.zeros(len(s)), dtype="float64")
+            yield pd.Series(f.score(np.array(s.tolist())) if f is not None and len(s) else np.zeros(len(s)), dtype="float64")
 
     out = text_statistics(docs, text_col)
     out = out.withColumn("base_failed", base_failed()).withColumn("anomaly", anomaly("rule_stats"))

@@ -152,6 +152,17 @@ def test_quality_rules(spark):
     assert all(got[i]["kept"] for i in range(80)) and not any(got[i]["kept"] for i in range(80, 113))
 
 
+def test_quality_rules_see_every_statistic(spark):
+    # Labels know only symbol junk; a shouting, a stuttering and a numeric text are anomalous by other rules.
+    good = [" ".join(f"{random.Random(i * 99 + k).choice('abcdefgh')}{'mnopqrstuv'[k % 10]}{'xyzw'[k // 10]}" for k in range(40)) for i in range(400)]
+    bad = [" ".join(f"x{'abcdefghij'[k % 10]}{'klmn'[k // 10]}***" for k in range(40)) + f" {'qrst'[i]}" for i in range(4)]
+    odd = [good[0].upper(), " ".join(w for x in good[1].split()[:20] for w in (x, x)), " ".join(f"{k * 7919 % 997}" for k in range(40)), " ".join(x + "!" for x in good[2].split())]
+    lab = spark.createDataFrame([(i, int(i < 400), 0) for i in range(404)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_rules.rule_verdicts(docs(spark, good + bad + odd), lab).collect()}
+    assert not any(got[i]["base_failed"] or got[i]["kept"] for i in range(404, 408))
+    assert sum(not got[i]["kept"] for i in range(400)) <= 2 and not any(got[i]["kept"] for i in range(400, 404))
+
+
 def brute_components(texts, n, percent):
     sets = []
     for t in texts:
