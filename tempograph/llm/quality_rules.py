@@ -24,11 +24,11 @@ from tempograph.llm.common import cut
 
 N_TREES = 100
 SUBSAMPLE = 256
-#: Labelled rows that threshold and subsamples are drawn from (smallest seeded hashes).
-MAX_CALIBRATION = 20_000
 #: Share of good labelled rows that the threshold may reject.
 MAX_FALSE_REJECT = 0.005
 SEED = 8
+#: Decimal digits of a score.
+DIGITS = 5
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 STATS = ["mean_word", "symbols_per_word", "dup_lines_per_line", "repeat_share", "distinct_share", "upper_share", "digit_share", "bang_share", "repeat_pairs", "punct_share", "log_words"]
@@ -160,18 +160,16 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(self._mean_path(self.size), 1e-9))
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, max_false: float = MAX_FALSE_REJECT) -> float:
-    """Threshold above which a row is rejected: most bad rows, among those that reject few good ones."""
-    if not good.any() or good.all():
-        return float("inf") if not len(scores) or good.all() else 1.0
-    g, b = np.sort(scores[good]), np.sort(scores[~good])
-    at = np.unique(scores)
-    false = 1 - np.searchsorted(g, at, "right") / len(g)
-    true = 1 - np.searchsorted(b, at, "right") / len(b)
-    ok = false <= max_false
-    if not ok.any():
+def calibrate(at: np.ndarray, good: np.ndarray, bad: np.ndarray, max_false: float = MAX_FALSE_REJECT) -> float:
+    """Threshold above which a row is rejected: most bad rows, among those that reject few good ones.
+
+    ``at`` are the distinct scores in order, ``good`` and ``bad`` the numbers of rows with each.
+    """
+    if not good.sum() or not bad.sum():
         return float("inf")
-    best = np.flatnonzero(ok)[np.argmax((true - false)[ok])]
+    false, true = (1 - np.cumsum(n) / n.sum() for n in (good, bad))
+    ok = false <= max_false
+    best = np.flatnonzero(ok)[np.argmax((true - false)[ok])]  # the highest score rejects none
     # half way to the next score, so that ties fall on one side
     return float((at[best] + at[best + 1]) / 2) if best + 1 < len(at) else float(at[best])
 
@@ -195,33 +193,36 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def rule_verdicts(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_calibration: int = MAX_CALIBRATION) -> DataFrame:
+def rule_verdicts(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """Append base counts, base_failed, anomaly (double, null where the base rules fail) and kept.
 
     Null texts have no words and fail the base rules. Without labelled rows, or
     with labels of one kind only, the forest rejects nothing. Of several labels
     of an id the lowest counts; null ids have no label. Repeated rows are judged
     each. The appended names must not be columns of ``docs``.
+
+    All labelled rows set the threshold, by counts of each score (scores have
+    ``DIGITS`` digits, which bounds what reaches the driver). The trees are fitted
+    on the good rows of the smallest seeded hashes, as many as all trees can hold.
     """
     spark = docs.sparkSession
     lab = labels.select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("y")).filter("y in (0, 1) and l_id is not null")
-    lab = lab.groupBy("l_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64(F.lit(SEED), "l_id"), "l_id").limit(max_calibration)
-    rows = text_statistics(docs.join(F.broadcast(lab), F.col("doc_id") == F.col("l_id")).select("l_id", "y", text_col), text_col)
-    sample = cut(rows.filter(~base_failed()).select("l_id", "y", "rule_stats")).toPandas()  # max_calibration rows of a few numbers
-    sample = sample.sort_values(["l_id", "rule_stats"], key=lambda c: c.map(lambda v: tuple(v) if hasattr(v, "__len__") else v))
-    forest, threshold = None, float("inf")
-    good = sample["y"].to_numpy() == 1
-    if good.any():
-        x = np.array(sample["rule_stats"].tolist())
-        forest = Forest(x[good])
-        threshold = calibrate(forest.score(x), good)
+    lab = lab.groupBy("l_id").agg(F.min("y").alias("y"))
+    # Statistics first, so that no text is shuffled should the labels be too many to broadcast.
+    rows = text_statistics(docs.select("doc_id", text_col), text_col).filter(~base_failed()).select("doc_id", "rule_stats")
+    rows = cut(rows.join(lab, F.col("doc_id") == F.col("l_id")).select("l_id", "y", "rule_stats"))
+    sample = rows.filter("y = 1").orderBy(F.xxhash64(F.lit(SEED), "l_id"), "l_id", "rule_stats").limit(N_TREES * SUBSAMPLE).toPandas()  # a few numbers each
+    forest = Forest(np.array(sample["rule_stats"].tolist())) if len(sample) else None
     shared = spark.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def anomaly(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = shared.value
         for s in it:
-            yield pd.Series(f.score(np.array(s.tolist())) if f is not None and len(s) else np.zeros(len(s)), dtype="float64")
+            yield pd.Series(np.round(f.score(np.array(s.tolist())), DIGITS) if f is not None and len(s) else np.zeros(len(s)), dtype="float64")
+
+    counts = rows.groupBy(anomaly("rule_stats").alias("at")).agg(F.count_if(F.col("y") == 1).alias("good"), F.count_if(F.col("y") == 0).alias("bad")).toPandas().sort_values("at")
+    threshold = calibrate(counts["at"].to_numpy(), counts["good"].to_numpy(), counts["bad"].to_numpy())
 
     out = text_statistics(docs, text_col)
     out = out.withColumn("base_failed", base_failed()).withColumn("anomaly", anomaly("rule_stats"))

@@ -163,6 +163,17 @@ def test_quality_rules_see_every_statistic(spark):
     assert sum(not got[i]["kept"] for i in range(400)) <= 2 and not any(got[i]["kept"] for i in range(400, 404))
 
 
+def test_threshold_counts_every_labelled_row(spark):
+    # Against the rows themselves, with more of them than any earlier limit.
+    rng = np.random.default_rng(3)
+    y = rng.random(50_000) < 0.9
+    s = np.round(np.where(y, rng.beta(2, 6, len(y)), rng.beta(6, 2, len(y))), 3)
+    at = np.unique(s)
+    t = quality_rules.calibrate(at, *(np.array([((s == v) & (y == k)).sum() for v in at]) for k in (True, False)))
+    rate = lambda v: ((s[~y] > v).mean() - (s[y] > v).mean()) if (s[y] > v).mean() <= quality_rules.MAX_FALSE_REJECT else -1
+    assert math.isclose(rate(t), max(rate(v) for v in at))
+
+
 def brute_components(texts, n, percent):
     sets = []
     for t in texts:
