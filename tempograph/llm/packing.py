@@ -14,6 +14,7 @@ All work is local to a task: no shuffle, and memory bounded by a block.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -39,34 +40,57 @@ def pack_block(lengths: list[int], capacity: int, linear: float = LINEAR, quadra
     """
     n = sum(lengths) // capacity
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    heap = [(0.0, s) for s in range(n)]
-    room = [capacity] * n
+    room, cost = [capacity] * n, [0.0] * n
+    # by[r]: (cost, sequence) of those with r tokens of room; entries that no longer hold are dropped when met
+    by: dict[int, list[tuple[float, int]]] = {capacity: [(0.0, s) for s in range(n)]}
+    size_of = 1 << capacity.bit_length()
+    none = (math.inf, -1)
+    tree = [none] * (2 * size_of)  # least (cost, sequence) over ranges of room
+
+    def refresh(r: int) -> None:
+        heap = by.get(r, [])
+        while heap and (room[heap[0][1]] != r or cost[heap[0][1]] != heap[0][0]):
+            heapq.heappop(heap)
+        i = size_of + r
+        tree[i] = heap[0] if heap else none
+        while i > 1:
+            i //= 2
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+    def cheapest(least: int) -> int:
+        """The sequence of the lowest cost with at least so much room, -1 if there is none."""
+        best, low, high = none, size_of + least, 2 * size_of
+        while low < high:
+            if low & 1:
+                best, low = min(best, tree[low]), low + 1
+            if high & 1:
+                high -= 1
+                best = min(best, tree[high])
+            low, high = low // 2, high // 2
+        return best[1]
+
+    def put(s: int, i: int, start: int, part: int) -> None:
+        seqs[s].append((i, start, part))
+        old = room[s]
+        room[s] -= part
+        cost[s] += linear * part + quadratic * part * part
+        refresh(old)
+        if room[s]:
+            heapq.heappush(by.setdefault(room[s], []), (cost[s], s))
+            refresh(room[s])
+
+    refresh(capacity)
     seqs: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
     rest: list[tuple[int, int, int]] = []
     for i in order:
         start, size = 0, lengths[i]
-        skipped = []
-        while heap and room[heap[0][1]] < size:
-            skipped.append(heapq.heappop(heap))
-            if len(skipped) >= 64:
-                break
-        if heap and room[heap[0][1]] >= size:
-            cost, s = heapq.heappop(heap)
-            seqs[s].append((i, 0, size))
-            room[s] -= size
-            if room[s]:
-                skipped.append((cost + linear * size + quadratic * size * size, s))
-            size = 0
-        for x in skipped:
-            heapq.heappush(heap, x)
-        while size and heap:  # no cheap sequence has room: cut over the cheapest
-            cost, s = heapq.heappop(heap)
+        if size and (s := cheapest(size)) >= 0:
+            put(s, i, 0, size)
+            continue
+        while size and (s := cheapest(1)) >= 0:  # no sequence has room: cut over the cheapest
             part = min(size, room[s])
-            seqs[s].append((i, start, part))
-            room[s] -= part
+            put(s, i, start, part)
             start, size = start + part, size - part
-            if room[s]:
-                heapq.heappush(heap, (cost + linear * part + quadratic * part * part, s))
         if size:
             rest.append((i, start, size))
     return seqs, rest

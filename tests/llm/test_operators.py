@@ -118,6 +118,31 @@ def test_packing(spark):
         assert at <= 1024 and at & (at - 1) == 0  # full, or a power of two
 
 
+def brute_pack(lengths, capacity):
+    n = sum(lengths) // capacity
+    room, cost, seqs, rest = [capacity] * n, [0.0] * n, [[] for _ in range(n)], []
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        start, size = 0, lengths[i]
+        while size and any(room):
+            fit = [s for s in range(n) if room[s] >= (size if not start else 1)] or [s for s in range(n) if room[s]]
+            s = min(fit, key=lambda s: (cost[s], s))
+            part = min(size, room[s])
+            seqs[s].append((i, start, part))
+            room[s] -= part
+            cost[s] += packing.LINEAR * part + packing.QUADRATIC * part * part
+            start, size = start + part, size - part
+        if size:
+            rest.append((i, start, size))
+    return seqs, rest
+
+
+def test_packing_searches_all_sequences():
+    rng = np.random.default_rng(1)
+    for k in (1, 40, 1200):
+        lengths = [int(x) for x in np.clip(rng.lognormal(5, 1, k), 1, 1023)]
+        assert packing.pack_block(lengths, 1024) == brute_pack(lengths, 1024)
+
+
 def brute_lines(texts, least):
     lines = [[x for x in (t or "").split("\n") if x.strip()] for t in texts]
     seen, gone = set(), set()
