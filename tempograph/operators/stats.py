@@ -156,7 +156,7 @@ def mmd2(points: DataFrame, by: str, gamma: float, rows: int = BLOCK_ROWS) -> Da
     return p.groupBy(by).agg((xx + yy - 2 * F.try_divide(F.sum("k2"), F.sum("n2"))).alias("mmd2"))
 
 
-def permutation_test(points: DataFrame, by: str, gamma: float, n_perm: int = 200, seed: int = 0, continuity: bool = True, rows: int = BLOCK_ROWS) -> DataFrame:
+def permutation_test(points: DataFrame, by: str, gamma: float, n_perm: int = 1000, seed: int = 0, continuity: bool = True, rows: int = BLOCK_ROWS) -> DataFrame:
     """(group, mmd2, p): labels permuted by index. Each block pair adds its part to the kernel sums of all permutations."""
     w = Window.partitionBy(by)
     p = points.select(by, "side", "vec_id", "v").withColumns({"at": F.row_number().over(w.orderBy("side", "vec_id")) - 1, "m": F.count_if(F.col("side") == 0).over(w), "n": F.count("*").over(w)})

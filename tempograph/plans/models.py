@@ -9,13 +9,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.operators import stats
+from tempograph.operators import evaluate, stats
 from tempograph.operators.temporal import blocks, decay_weights
 from tempograph.sources.graph import TRAIN_END, VAL_END
 
 ESTIMATORS = {
     "lr": lambda: LogisticRegression(labelCol="label", featuresCol="vec", weightCol="weight", maxIter=50, regParam=1e-4),
-    "rf": lambda: RandomForestClassifier(labelCol="label", featuresCol="vec", weightCol="weight", numTrees=20, maxDepth=5, seed=7),
+    "rf": lambda: RandomForestClassifier(labelCol="label", featuresCol="vec", weightCol="weight", numTrees=200, maxDepth=5, seed=7),
     "gbt": lambda: GBTClassifier(labelCol="label", featuresCol="vec", weightCol="weight", maxDepth=3, maxIter=10, stepSize=0.1, seed=7),
 }
 
@@ -34,13 +34,20 @@ def static_scores(x: DataFrame, kind: str, width: int) -> DataFrame:
 
 
 def walk_forward_scores(x: DataFrame, kind: str, width: int, steps: list[int], available: list[int], lam: float = 0.25, window: int | None = None) -> DataFrame:
-    """For each step: train on its block, score the step. Fits run side by side."""
+    """For each step: train on its block, calibrate on the step before, score the step. Fits run side by side.
+
+    The threshold is 0.5 where the calibration step has no labelled rows.
+    """
 
     def one(tau: int) -> DataFrame:
-        train, _ = blocks(available, tau, window)
-        part = x.filter(F.col("tau").isin(*train, tau))
-        z = stats.zscore(part, width, F.col("tau") < tau)
-        return _score(kind, z.filter(F.col("tau") < tau), z.filter((F.col("tau") == tau) & (F.col("label") != -1)), lam)
+        train, cal = blocks(available, tau, window)
+        held = [tau] if cal is None else [cal, tau]
+        z = stats.zscore(x.filter(F.col("tau").isin(*train, *held)), width, F.col("tau").isin(train))
+        p = _score(kind, z.filter(F.col("tau").isin(train)), z.filter(F.col("tau").isin(held) & (F.col("label") != -1)), lam)
+        t = evaluate.calibrated_threshold(p.filter(F.col("tau") == (-1 if cal is None else cal)), ["tau"]).select("threshold", "fallback")
+        p = p.filter(F.col("tau") == tau).join(F.broadcast(t), F.lit(True), "left")
+        p = p.withColumns({"threshold": F.coalesce("threshold", F.lit(0.5)), "fallback": F.coalesce("fallback", F.lit(False))})
+        return p.withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int"))
 
     with ThreadPool(4) as pool:
         parts = pool.map(one, steps)

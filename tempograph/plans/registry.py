@@ -526,7 +526,7 @@ def gbt_static(spark, d):
 
 @query()
 def lr_walk_forward_decay(spark, d):
-    return models.walk_forward_scores(g.features(spark, d), "lr", 4, [35, 42, 43, 49], list(range(1, 50)))
+    return models.walk_forward_scores(g.features(spark, d), "lr", 4, list(range(g.VAL_END + 1, 50)), list(range(1, 50)))
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tempograph.functions import names
 from tempograph.operators import evaluate, graph, stats, temporal
 from tempograph.plans.registry import ORACLES, QUERIES
+from tempograph.sources import graph as g
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("events", "embeddings", "documents", "labels", "orders", "lineitem")
@@ -144,3 +145,13 @@ def test_block_pairs_against_brute_force(spark):
     at = np.arange(1, len(mu) + 1)
     mu, q = mu[at <= 0.9 * len(mu)], -np.log(1 - at / len(mu) + 1e-10)[at <= 0.9 * len(mu)]
     assert math.isclose(stats.two_nn(df, "label", rows=32).first()["dimension"], (mu * q).sum() / (mu * mu).sum(), rel_tol=1e-6)
+
+
+def test_walk_forward_takes_every_step(spark):
+    x = QUERIES["lr_walk_forward_decay"](spark, SF).cache()
+    want = {(r["tau"], r["txid"]) for r in g.nodes(spark, SF).filter("tau >= 35 and label <> -1").collect()}
+    got = x.collect()
+    assert {(r["tau"], r["txid"]) for r in got} == want and len(got) == len(want)
+    assert all(r["predicted"] == int(r["score"] >= r["threshold"]) for r in got)
+    assert len({(r["tau"], r["threshold"]) for r in got}) == len({r["tau"] for r in got})
+    assert any(r["threshold"] != 0.5 for r in got)
