@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -231,26 +232,69 @@ def two_nn(points: DataFrame, by: str, frac: float = 0.9, rows: int = BLOCK_ROWS
 
 
 def wasserstein_1d(points: DataFrame, by: str, value: str) -> DataFrame:
-    """Mean difference of sorted values of the two equally large sides of each group."""
-    w = Window.partitionBy(by, "side").orderBy(value, "vec_id")
-    r = points.withColumn("r", F.row_number().over(w))
-    a, b = (r.filter(F.col("side") == s).select(by, "r", F.col(value).alias(f"v{s}")) for s in (0, 1))
-    return a.join(b, [by, "r"]).groupBy(by).agg(F.avg(F.abs(F.col("v0") - F.col("v1"))).alias("wasserstein"))
+    """Area between the distribution functions of the two sides of each group, whatever their sizes; null if a side is empty."""
+    g, w = Window.partitionBy(by), Window.partitionBy(by).orderBy("x")
+    at = points.groupBy(by, F.col(value).alias("x")).agg(*[F.count_if(F.col("side") == s).alias(f"c{s}") for s in (0, 1)])
+    share = [F.try_divide(F.sum(f"c{s}").over(w), F.sum(f"c{s}").over(g)) for s in (0, 1)]
+    area = F.abs(share[0] - share[1]) * F.coalesce(F.lead("x").over(w) - F.col("x"), F.lit(0.0))
+    return at.select(by, area.alias("area")).groupBy(by).agg(F.sum("area").alias("wasserstein"))
 
 
-def wasserstein_nd(points: DataFrame, by: str, solve: Callable | None = None) -> DataFrame:
-    """Optimal matching cost of two equally large bounded sides, by the auction of shortest augmenting paths."""
+def wasserstein_nd(points: DataFrame, by: str) -> DataFrame:
+    """Optimal transport cost of the two sides of each group, each of weight 1, whatever their sizes; null if a side is empty."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         x, y = (np.array(p.loc[p["side"] == s].sort_values("vec_id")["v"].tolist()) for s in (0, 1))
-        m = min(len(x), len(y))
-        x, y = x[:m], y[:m]
+        if not len(x) or not len(y):
+            return pd.DataFrame({by: [int(p[by].iloc[0])], "wasserstein": [None]})
         c = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
-        return pd.DataFrame({by: [int(p[by].iloc[0])], "wasserstein": [assignment_cost(c) / max(m, 1)]})
+        cost = assignment_cost(c) / len(x) if len(x) == len(y) else transport_cost(c)
+        return pd.DataFrame({by: [int(p[by].iloc[0])], "wasserstein": [cost]})
 
     return points.select(by, "side", "vec_id", "v").groupBy(by).applyInPandas(run, f"{by} int, wasserstein double")
 
 
+def transport_cost(c: np.ndarray) -> float:
+    """Least cost of moving weight 1/m on each row to 1/n on each column (shortest augmenting paths, whole units)."""
+    m, n = c.shape
+    unit = m * n // math.gcd(m, n)
+    supply, demand = np.full(m, unit // m), np.full(n, unit // n)
+    flow = np.zeros((m, n), np.int64)
+    u, v = np.zeros(m), np.zeros(n)  # potentials: c - u - v >= 0, and 0 where there is flow
+    for i in range(m):
+        while supply[i]:
+            row, col = np.full(m, np.inf), np.full(n, np.inf)
+            from_row, from_col = np.zeros(n, int), np.full(m, -1)  # row before a column, column before a row
+            row[i], done, at, base = 0.0, np.zeros(n, bool), [i], 0.0
+            while True:
+                for r in at:
+                    d = base + np.maximum(c[r] - u[r] - v, 0)
+                    better = ~done & (d < col)
+                    col[better], from_row[better] = d[better], r
+                j = int(np.argmin(np.where(done, np.inf, col)))
+                base, done[j] = col[j], True
+                if demand[j]:
+                    break
+                at = np.flatnonzero((flow[:, j] > 0) & np.isinf(row))
+                row[at], from_col[at] = base, j
+            u += np.maximum(base - row, 0)
+            v -= np.where(done, base - col, 0)
+            path, k = [], j
+            while True:
+                r = from_row[k]
+                path.append((r, k, 1))
+                if r == i:
+                    break
+                k = from_col[r]
+                path.append((r, k, -1))
+            part = min(supply[i], demand[j], *(flow[r, k] for r, k, s in path if s < 0)) if len(path) > 1 else min(supply[i], demand[j])
+            for r, k, s in path:
+                flow[r, k] += s * part
+            supply[i] -= part
+            demand[j] -= part
+    return float((flow * c).sum() / unit)
+
+
 def assignment_cost(c: np.ndarray) -> float:
     """Least total cost of a perfect matching (Hungarian method with potentials)."""
     n = len(c)

@@ -155,3 +155,20 @@ def test_walk_forward_takes_every_step(spark):
     assert all(r["predicted"] == int(r["score"] >= r["threshold"]) for r in got)
     assert len({(r["tau"], r["threshold"]) for r in got}) == len({r["tau"] for r in got})
     assert any(r["threshold"] != 0.5 for r in got)
+
+
+def test_transport_of_unequal_sides(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for m, n in ((1, 4), (4, 6), (5, 3), (7, 9)):
+        c = rng.random((m, n))
+        k = m * n // math.gcd(m, n)
+        whole = np.repeat(np.repeat(c, k // m, 0), k // n, 1)  # equal weights as copies
+        assert math.isclose(stats.transport_cost(c), stats.assignment_cost(whole) / k, rel_tol=1e-9)
+    v, side, df = _cloud(spark, 60, 1)
+    x, y = np.sort(v[side == 0, 0]), np.sort(v[side == 1, 0])
+    want = np.abs(np.repeat(x, len(y)) - np.repeat(y, len(x))).mean()
+    assert len(x) != len(y)
+    assert math.isclose(stats.wasserstein_1d(df.withColumn("x", F.col("v")[0]), "label", "x").first()["wasserstein"], want, rel_tol=1e-9)
+    assert math.isclose(stats.wasserstein_nd(df, "label").first()["wasserstein"], want, rel_tol=1e-6)
