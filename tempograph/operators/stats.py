@@ -343,9 +343,11 @@ def pca_project(df: DataFrame, mean: np.ndarray, components: np.ndarray) -> Data
     return df.withColumn("features", F.array(*out))
 
 
-def incremental_moments(df: DataFrame, width: int) -> DataFrame:
-    """Per step the expanding (n, sums, sums of squares) of all steps so far."""
+def incremental_moments(df: DataFrame, width: int, cross: bool = False) -> DataFrame:
+    """Per step the expanding (n, sums, sums of squares) of all steps so far; with ``cross`` the sums of products too (p0_1 and so on)."""
     f = F.col("features")
-    step = df.groupBy("tau").agg(F.count("*").alias("n"), *[F.sum(f[i]).alias(f"s{i}") for i in range(width)], *[F.sum(f[i] * f[i]).alias(f"q{i}") for i in range(width)])
+    cells = {c: x for i in range(width) for c, x in ((f"s{i}", f[i]), (f"q{i}", f[i] * f[i]))}
+    cells |= {f"p{i}_{j}": f[i] * f[j] for i in range(width) for j in range(i + 1, width)} if cross else {}
+    step = df.groupBy("tau").agg(F.count("*").alias("n"), *[F.sum(x).alias(c) for c, x in cells.items()])
     w = Window.orderBy("tau").rowsBetween(Window.unboundedPreceding, 0)
-    return step.select("tau", F.sum("n").over(w).alias("n"), *[F.round(F.sum(c).over(w), 4).alias(c) for i in range(width) for c in (f"s{i}", f"q{i}")])
+    return step.select("tau", F.sum("n").over(w).alias("n"), *[F.round(F.sum(c).over(w), 4).alias(c) for c in cells])

@@ -172,3 +172,14 @@ def test_transport_of_unequal_sides(spark):
     assert len(x) != len(y)
     assert math.isclose(stats.wasserstein_1d(df.withColumn("x", F.col("v")[0]), "label", "x").first()["wasserstein"], want, rel_tol=1e-9)
     assert math.isclose(stats.wasserstein_nd(df, "label").first()["wasserstein"], want, rel_tol=1e-6)
+
+
+def test_moments_hold_the_covariance(spark):
+    import numpy as np
+
+    v = np.random.default_rng(2).normal(size=(40, 4))
+    df = spark.createDataFrame([(1 + i // 10, [float(x) for x in v[i]]) for i in range(40)], "tau int, features array<double>")
+    for r in stats.incremental_moments(df, 4, cross=True).collect():
+        x = v[: 10 * r["tau"]]
+        got = [[r[f"q{i}"] if i == j else r[f"p{min(i, j)}_{max(i, j)}"] for j in range(4)] for i in range(4)]
+        assert r["n"] == len(x) and np.allclose(got, x.T @ x, atol=1e-4) and np.allclose([r[f"s{i}"] for i in range(4)], x.sum(0), atol=1e-4)
