@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +15,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes (of words and about 150 for each entry) after which a worker's table of words met before starts anew.
+MEMO_BYTES = 48 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it; only where that is unset (tests, local
-    mode) a folder of this machine is used.
+    ``spark.checkpoint.dir`` names it. Only in local mode, where driver and
+    executors are one process, a folder of this machine stands in if it is unset.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
@@ -24,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     if kept.isDefined():
         return kept.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="tempograph-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -40,6 +49,113 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(*frames: DataFrame) -> None:
+    """Delete the checkpoints behind frames from ``cut``, or projections of them, that nothing reads any more."""
+    for df in frames:
+        node = df._jdf.queryExecution().analyzed()
+        while node.children().size() == 1:
+            node = node.children().apply(0)
+        file = node.rdd().getCheckpointFile()
+        if file.isDefined():
+            delete(df.sparkSession, file.get())
+
+
+#: Plan nodes whose rows are the same, in the same partitions and order, whenever they are computed.
+_STABLE = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation", "LogicalRDD", "Range", "Sample"}
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df``, or its checkpoint if a second computation could number its rows differently.
+
+    Row numbers (``monotonically_increasing_id``) that are computed twice agree
+    over files and checkpoints, also on another executor; after a shuffle they
+    need not.
+    """
+    waiting = [df._jdf.queryExecution().optimizedPlan()]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName().split(" ")[0] not in _STABLE:
+            return cut(df)
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return df
+
+
+#: Keys with more rows than this are hot; the most frequent HOT_KEYS of them are spread, which affects balance only.
+HOT_ROWS, HOT_KEYS, SALTS = 500, 1000, 32
+
+
+def hot_keys(df: DataFrame, keys: list[str]) -> list:
+    """Rows of ``keys`` with very many rows in ``df``, HOT_KEYS at most; counts are combined before the shuffle."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > HOT_ROWS)
+    return counts.orderBy(F.desc("__n")).limit(HOT_KEYS).select(*keys).collect()
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner", hot: list | None = None, null_safe: bool = False) -> DataFrame:
+    """``left`` joined with ``right`` (few rows a key) on ``keys``; hot keys' rows are dealt to SALTS tasks by ``by``.
+
+    ``left`` is counted first unless ``hot`` is given, so it should be a
+    checkpoint or cheap. Key columns come once; with ``null_safe`` null meets null.
+    """
+
+    def joined(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        if not null_safe:
+            return a.join(b, on, how)
+        b = b.withColumnsRenamed({k: f"__r_{k}" for k in on})
+        cond = F.lit(True)
+        for k in on:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        return a.join(b, cond, how).drop(*[f"__r_{k}" for k in on])
+
+    hot = hot_keys(left, keys) if hot is None else hot
+    if not hot:
+        return joined(left, right, keys)
+    schema = left.select(*[F.col(k).alias(f"__h_{k}") for k in keys]).schema
+    marks = F.broadcast(left.sparkSession.createDataFrame(hot, schema).withColumn("__hot", F.lit(True)))
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__h_{k}"))
+    drop = ["__hot", *[f"__h_{k}" for k in keys]]
+    a = left.join(marks, cond, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)).drop(*drop)
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    b = right.join(marks, cond, "left").withColumn("__salt", F.explode(salts)).drop(*drop)
+    return joined(a, b, [*keys, "__salt"]).drop("__salt")
+
+
+def number_in_order(rows: DataFrame, keys: list[str], out: str, weight: str | None = None) -> DataFrame:
+    """Number rows from 0 in the order of their distinct keys: range partitions, then offsets.
+
+    With ``weight`` the number is the sum of that column over all rows before.
+    """
+    w = F.lit(1) if weight is None else F.col(weight)
+    parts = cut(rows.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
+    sums = {r["__part"]: r["n"] for r in parts.groupBy("__part").agg(F.sum(w).cast("long").alias("n")).collect()}  # one row a partition
+    order = sorted(sums)
+    before = dict(zip(order, np.r_[0, np.cumsum([sums[p] for p in order])].tolist()))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for b in it:
+            if not b.num_rows:
+                continue
+            if at is None:
+                at = before[b.column(b.num_columns - 1)[0].as_py()]
+            n = np.ones(b.num_rows, np.int64) if weight is None else b.column(weight).to_numpy()
+            upto = at + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(upto - n)], [*b.schema.names[:-1], out])
+            at = int(upto[-1])
+
+    schema = parts.drop("__part").withColumn(out, F.lit(0).cast("long")).schema
+    return parts.sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def no_clash(df: DataFrame, names: list[str]) -> None:
+    """Raise if a column that an operator appends is there already (names compare without case)."""
+    have = {c.lower() for c in df.columns}
+    if bad := [n for n in names if n.lower() in have]:
+        raise ValueError(f"column {bad[0]} exists; rename it first")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a path through Hadoop's file systems; missing paths are fine."""
     jvm = spark.sparkContext._jvm

@@ -1,12 +1,18 @@
 """Exact Jaccard similarity join of word-shingle sets by PartEnum signatures.
 
 Sizes are split into bands so that a set's partner lies in its own band or a
-neighbouring one. In a band, sets that are similar enough differ in at most k
-features, so of ``k + 1 + e`` parts of the feature domain they agree on at least
-``e + 1``: each set gets one signature for each part (the sum of its features
-there), for its own band and the next. Sets with at most e empty parts need no
-signature for empty ones; the rare others enumerate those as well, so no similar
-pair is missed.
+neighbouring one; a set gets the signatures of two instances, its own band's and
+the next. In an instance, sets that are similar enough differ in at most k
+features. Up to ``SUBSET_K`` the feature domain is cut into ``k + 2`` parts and
+each pair of parts makes a signature, of which one at least holds no differing
+feature. Beyond, subsets of more than one part cost more signatures than their
+selectivity saves, so of ``k + 1 + e`` parts each makes a signature, and similar
+sets agree on at least ``e + 1``. Sets with at most e empty parts need no
+signature for empty ones; the rare others enumerate those as well.
+
+The surplus e also removes the crowded groups without losing a pair: in one
+order of all signatures, by size of group, each set leaves its e largest (less
+its empty parts), and the smallest of the e + 1 shared ones stays on both sides.
 
 Signature groups are never expanded into pairs. All members are held against the
 group's smallest member first, through parity sketches (a lower bound on the
@@ -14,20 +20,26 @@ symmetric difference) and then exactly. Groups whose members are by then in one
 component are done; in the others, only members of different components are
 still compared, by their whole sets in blocks of bounded size. What is exact:
 every pair that shares a signature is linked, refuted, or already connected.
+
+Skew: of the most frequent equal sets one copy is signed and the others take its
+label; signatures frequent in a sample are dealt to several tasks; joins on hot
+keys are salted. These lists are of bounded length and affect balance only.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import cut, free_name
+from tempograph.llm.common import MEMO_BYTES, SALTS, cut, free, free_name, hot_keys, spread_join, stable
 
 WORDS = 5
 PERCENT = 80
@@ -35,6 +47,14 @@ BLOCK = 1024
 #: Most features on a block's side, as far as single sets allow.
 BLOCK_FEATURES = 1 << 20
 FILTER_WORDS = 1 << 17
+#: Up to so many differing features, pairs of parts are enumerated.
+SUBSET_K = 3
+#: Part of k by which the number of parts exceeds k + 1.
+SURPLUS = 8
+#: Most equal sets that are signed once for all their copies, and most signatures that are dealt to several tasks.
+HEAVY_SETS, HEAVY_SIGNATURES = 20_000, 10_000
+#: Rows read of each sampled partition, and partitions sampled at least (one in 50 of many).
+SAMPLE_ROWS, SAMPLE_PARTITIONS = 250, 8
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -47,22 +67,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct hashes of the n-word shingles of whole texts, ascending."""
 
-    def __init__(self, n: int, most: int = 1_000_000):
-        self.n, self.most, self.known = n, most, {}
+    def __init__(self, n: int, most: int = MEMO_BYTES):
+        self.n, self.most, self.size, self.known = n, most, 0, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > self.most:
+        if self.size > self.most:
             known.clear()
+            self.size = 0
         try:
             ids = [known[w] for w in words]
         except KeyError:
             for w in words:
                 if w not in known:
                     known[w] = xxhash.xxh64_intdigest(w)
+                    self.size += len(w) + 150
             ids = [known[w] for w in words]
         w = np.array(ids, np.uint64)
         n = min(self.n, len(w))
@@ -86,41 +108,65 @@ class Bands:
             self.last.append(low * 100 // self.percent)
         return int(np.searchsorted(self.last, size))
 
-    def parts(self, band: int) -> tuple[int, int]:
-        """(number of parts, empty parts that need no signature) of a band's instance."""
+    def parts(self, band: int) -> tuple[int, int, int]:
+        """(most differing features k, number of parts, surplus e) of a band's instance."""
         while len(self.last) <= band:
             self.of(self.last[-1] + 1)
         k = 2 * self.last[band] * (100 - self.percent) // (100 + self.percent)
-        if not k:
-            return 1, 0
-        e = max(2, k // 24)
-        return k + 1 + e, e
+        if k <= SUBSET_K:
+            return k, k + 2 if k else 1, 0
+        e = max(2, k // SURPLUS)
+        return k, k + 1 + e, e
+
+    def of_parts(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The parts (of n) that ascending hashes fall into, and where each begins."""
+        part = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+        at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        return part[at], at
+
+    def spare(self, h: np.ndarray) -> tuple[int, int]:
+        """How many of its largest groups a set may leave, in its instance of even and of odd number."""
+        out, band = [0, 0], self.of(len(h))
+        for j in (band, band + 1):
+            _, n, e = self.parts(j)
+            if e:
+                out[j & 1] = max(0, e - (n - len(self.of_parts(h, n)[0])))
+        return out[0], out[1]
 
 
 def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """PartEnum signatures of one set, for the instance of its own band and the next."""
+    """PartEnum signatures of one set, for the instance of its own band and the next; the last bit is the instance's."""
     band, out = bands.of(len(h)), []
     mixed = _mix(h + _A)
     for j in (band, band + 1):
-        n, e = bands.parts(j)
-        # Ascending hashes fall into ascending parts.
-        part = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-        at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        p, total = part[at], np.add.reduceat(mixed, at)
-        if n - len(at) > e:
+        k, n, e = bands.parts(j)
+        p, at = bands.of_parts(h, n)
+        total = np.add.reduceat(mixed, at)
+        if 0 < k <= SUBSET_K:
+            sums = np.zeros(n, np.uint64)
+            sums[p.astype(np.int64)] = total
+            a, b = np.array(list(itertools.combinations(range(n), 2))).T
+            p, total = (a * n + b).astype(np.uint64), _mix(sums[a] + _A) + sums[b]
+        elif n - len(at) > e:
             empty = np.setdiff1d(np.arange(n, dtype=np.uint64), p)
             p, total = np.r_[p, empty], np.r_[total, np.zeros(len(empty), np.uint64)]
-        out.append(_mix(total + _mix(p * _A + np.uint64(j))))
+        sig = _mix(total + _mix(p * _A + np.uint64(j)))
+        out.append((sig & ~np.uint64(1)) | np.uint64(j & 1))
     return np.concatenate(out)
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """Parity of the features falling on each of two to four times as many bits, a power of two."""
-    bits = max(64, 2 << int(len(h) - 1).bit_length()) if len(h) else 64
+    """Parity of the features falling on each of one to two times as many bits, a power of two."""
+    bits = max(64, 1 << int(len(h) - 1).bit_length()) if len(h) else 64
     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _sums(h: np.ndarray) -> tuple[int, int]:
+    """128 bits by which equal sets are known."""
+    return (int(_mix(h).sum()) & (2**63 - 1), int(_mix(h ^ _C).sum()) & (2**63 - 1)) if len(h) else (0, 0)
+
+
 def _list(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)))
@@ -210,46 +256,109 @@ def connected_components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     Every round takes the smallest label among the neighbours and then the
     label's own label, so that chains shorten by half; labels only fall.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    ends = both.select(F.col("a").alias("uid")).distinct()
-    labels = cut(nodes.join(ends, "uid", "left_semi").select("uid", F.col("rank").alias("label")))
+    both = cut(links.select(F.col("a").alias("node"), F.col("b").alias("uid")).union(links.select("b", "a")).distinct())
+    ends = both.select(F.col("node").alias("uid")).distinct()
+    hubs = hot_keys(both, ["uid"])
+    state = cut(nodes.join(ends, "uid", "left_semi").select("uid", F.col("rank").alias("label"), F.lit(True).alias("moved")))
     while True:
-        told = both.join(labels, both["b"] == labels["uid"]).select(F.col("a").alias("uid"), "label")
+        labels = state.select("uid", "label")
+        told = spread_join(both, labels, ["uid"], ["node"], hot=hubs).select(F.col("node").alias("uid"), "label")
         low = labels.unionByName(told).groupBy("uid").agg(F.min("label").alias("label"))
         to = labels.select(F.col("uid").alias("root"), F.col("label").alias("jump"))
-        new = low.join(to, F.col("label.uid") == F.col("root"), "left").select("uid", F.least("label", F.coalesce("jump", "label")).alias("label"))
+        hot = hot_keys(state.select(F.col("label.uid").alias("root")), ["root"])
+        new = spread_join(low.withColumn("root", F.col("label.uid")), to, ["root"], ["uid"], "left", hot)
+        new = new.select("uid", F.least("label", F.coalesce("jump", "label")).alias("label"))
         old = labels.select(F.col("uid").alias("o_uid"), F.col("label").alias("o_label"))
         new = cut(new.join(old, F.col("uid") == F.col("o_uid")).select("uid", "label", (F.col("label") != F.col("o_label")).alias("moved")))
-        labels = new.select("uid", "label")
-        if not new.filter("moved").limit(1).count():
-            return labels
+        free(state)
+        state = new
+        if not state.filter("moved").limit(1).count():
+            free(both)
+            return state.select("uid", "label")
 
 
 class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int):
         self.words, self.percent, self.block = words, percent, block
-        self.base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        self.docs = stable(docs)
+        self.base = self.docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def _signed(self) -> DataFrame:
+    def _info(self) -> DataFrame:
+        """Size, 128-bit sum, sketch and spare signatures of every set."""
         words, percent = self.words, self.percent
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             to, bands = Shingler(words), Bands(percent)
-            none = np.zeros(0, np.uint64)
             for b in it:
                 uid, ids, texts = b.columns
                 texts = texts.to_pylist()
                 for at in range(0, len(texts), 2048):
                     sets = [to(t) for t in texts[at : at + 2048]]
-                    n = [len(h) for h in sets]
-                    sums = [(int(_mix(h).sum()) & (2**63 - 1), int(_mix(h ^ _C).sum()) & (2**63 - 1)) if len(h) else (0, 0) for h in sets]
+                    sums, spare = [_sums(h) for h in sets], [bands.spare(h) if len(h) else (0, 0) for h in sets]
+                    longs = [[len(h) for h in sets], *zip(*sums), *zip(*spare)] if sets else [[]] * 5
                     yield pa.RecordBatch.from_arrays(
-                        [uid.slice(at, 2048), ids.slice(at, 2048), pa.array(n, pa.int64()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()),
-                         _list([sketch(h) for h in sets]), _list([signatures(h, bands) if len(h) else none for h in sets])],
-                        ["uid", "doc_id", "n", "h1", "h2", "sketch", "sigs"],
+                        [uid.slice(at, 2048), ids.slice(at, 2048), *(pa.array(x, pa.int64()) for x in longs), _list([sketch(h) for h in sets])],
+                        ["uid", "doc_id", "n", "h1", "h2", "spare0", "spare1", "sketch"],
                     )
 
-        return self.base.mapInArrow(run, "uid long, doc_id long, n long, h1 long, h2 long, sketch array<long>, sigs array<long>")
+        return self.base.mapInArrow(run, "uid long, doc_id long, n long, h1 long, h2 long, spare0 long, spare1 long, sketch array<long>")
+
+    def _signed(self, copies: dict[tuple[int, int, int], int], heavy: np.ndarray | None) -> DataFrame:
+        """(sig, uid, salt): a row for each signature; heavy ones are dealt out by ``salt`` from 1, others have 0.
+
+        Of equal sets in ``copies`` the named row alone is signed. Without
+        ``heavy``, the signatures of a sample of partitions, uncounted.
+        """
+        words, percent, sampled = self.words, self.percent, heavy is None
+        shared = self.docs.sparkSession.sparkContext.broadcast((copies, np.sort(heavy) if heavy is not None else np.zeros(0, np.int64)))
+        step = max(1, min(50, self.base.rdd.getNumPartitions() // SAMPLE_PARTITIONS)) if sampled else 1
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if TaskContext.get().partitionId() % step:
+                return
+            to, bands, (copies, heavy) = Shingler(words), Bands(percent), shared.value
+            seen = 0
+            for b in it:
+                uids, texts = b.column(0).to_pylist(), b.column(2).to_pylist()
+                if sampled:
+                    uids, texts = uids[: SAMPLE_ROWS - seen], texts[: SAMPLE_ROWS - seen]
+                    seen += len(uids)
+                for at in range(0, len(texts), 1024):
+                    own, sigs = [], []
+                    for u, t in zip(uids[at : at + 1024], texts[at : at + 1024]):
+                        h = to(t)
+                        if len(h) and (not copies or copies.get((len(h), *_sums(h)), u) == u):
+                            own.append(u)
+                            sigs.append(signatures(h, bands).view(np.int64))
+                    if own:
+                        sig, uid = np.concatenate(sigs), np.repeat(np.array(own, np.int64), [len(x) for x in sigs])
+                        salt = np.zeros(len(sig), np.int32)
+                        if len(heavy):
+                            on = heavy[np.minimum(np.searchsorted(heavy, sig), len(heavy) - 1)] == sig
+                            salt[on] = 1 + ((uid[on].view(np.uint64) * _B) >> np.uint64(33)).astype(np.int64) % SALTS
+                        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(uid), pa.array(salt)], ["sig", "uid", "salt"])
+                if sampled and seen >= SAMPLE_ROWS:
+                    return
+
+        return self.base.mapInArrow(run, "sig long, uid long, salt int")
+
+    def _members(self, info: DataFrame, copies: dict[tuple[int, int, int], int]) -> DataFrame:
+        """(sig, uid, salt, g, pivot): the groups that remain once each set has left its largest ones."""
+        often = self._signed(copies, None).groupBy("sig").agg(F.count("*").alias("c")).filter("c > 20").orderBy(F.desc("c")).limit(HEAVY_SIGNATURES)
+        heavy = np.array([r["sig"] for r in often.select("sig").collect()], np.int64)  # HEAVY_SIGNATURES at most
+        group = Window.partitionBy("sig", "salt")
+        m = self._signed(copies, heavy).withColumn("g", F.count("*").over(group)).filter("g > 1 or salt > 0")
+        # One order of all groups, heavy ones first: each set leaves the first ones, as many as it can spare.
+        m = m.join(info.select("uid", "spare0", "spare1"), "uid").withColumn("odd", F.col("sig").bitwiseAND(F.lit(1)))
+        first = Window.partitionBy("uid", "odd").orderBy((F.col("salt") == 0), F.when(F.col("salt") == 0, -F.col("g")), "sig")
+        m = m.withColumn("k", F.row_number().over(first)).filter(F.col("k") > F.when(F.col("odd") == 0, F.col("spare0")).otherwise(F.col("spare1")))
+        m = m.select("sig", "uid", "salt", F.count("*").over(group).alias("g"), F.min("uid").over(group).alias("pivot")).filter("g > 1 or salt > 0")
+        m = cut(m)
+        if len(heavy):
+            whole = m.filter("salt > 0").groupBy("sig").agg(F.sum(F.lit(1)).alias("all"), F.min("pivot").alias("least"))  # HEAVY_SIGNATURES rows at most
+            m = m.join(F.broadcast(whole.withColumnRenamed("sig", "h_sig")), (F.col("salt") > 0) & (F.col("sig") == F.col("h_sig")), "left")
+            m = m.select("sig", "uid", "salt", F.coalesce("all", "g").alias("g"), F.coalesce("least", "pivot").alias("pivot")).filter("g > 1")
+        return m
 
     def _sets(self, needed: DataFrame) -> DataFrame:
         """(uid, h): the sets of the needed documents and few others, by a filter of fixed size."""
@@ -283,7 +392,7 @@ class _Join:
             return sure
         needed = rest.select(F.col("a").alias("uid")).union(rest.select(F.col("b").alias("uid"))).distinct()
         sets = self._sets(needed)
-        x = rest.join(sets.select(F.col("uid").alias("a"), F.col("h").alias("ha")), "a")
+        x = spread_join(rest, sets.select(F.col("uid").alias("a"), F.col("h").alias("ha")), ["a"], ["b"])
         x = x.join(sets.select(F.col("uid").alias("b"), F.col("h").alias("hb")), "b")
         x = x.select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("i"))
         x = x.filter(100 * F.col("i").cast("long") >= self.percent * (F.col("na") + F.col("nb") - F.col("i")).cast("long"))
@@ -291,21 +400,25 @@ class _Join:
 
     def _candidates(self, pairs: DataFrame, info: DataFrame) -> DataFrame:
         """Pairs (a, b) that sizes and sketches allow, with ``same``."""
-        for side in ("a", "b"):
-            pairs = pairs.join(info.select(F.col("uid").alias(side), *[F.col(c).alias(c + side) for c in ("n", "h1", "h2", "sketch")]), side)
+        hot = hot_keys(pairs, ["a"])
+        for side, other in (("a", "b"), ("b", "a")):
+            of = info.select(F.col("uid").alias(side), *[F.col(c).alias(c + side) for c in ("n", "h1", "h2", "sketch")])
+            pairs = spread_join(pairs, of, [side], [other], hot=hot if side == "a" else [])
         same = (F.col("na") == F.col("nb")) & (F.col("h1a") == F.col("h1b")) & (F.col("h2a") == F.col("h2b"))
         near = (100 + self.percent) * _apart(F.col("sketcha"), F.col("sketchb")) <= (100 - self.percent) * (F.col("na") + F.col("nb"))
         return pairs.filter(_sized(F.col("na"), F.col("nb"), self.percent)).filter(same | near).select("a", "b", same.alias("same"))
 
     def _open(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """(sig, uid, root, g, minor, major): the members of the groups that still span several components."""
+        """(sig, uid, root, major): the members of the groups that still span several components."""
         m = members.join(labels.select("uid", F.col("label.uid").alias("root")), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
         m = cut(m.select("sig", "uid", "root"))
         sizes = m.groupBy("sig", "root").agg(F.count("*").alias("c"))
         groups = sizes.groupBy("sig").agg(F.sum("c").alias("g"), F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("most"))
         # Two members were held against each other already.
-        groups = groups.filter("g > 2 and most < g").select("sig", "g", "major", (F.col("g") - F.col("most")).alias("minor"))
-        return cut(m.join(groups, "sig"))
+        groups = groups.filter("g > 2 and most < g").select("sig", "major")
+        open_ = cut(spread_join(m, groups, ["sig"], ["uid"]))
+        free(m)
+        return open_
 
     def _rest(self, m: DataFrame, info: DataFrame) -> DataFrame:
         """Links (a, b) between different components of open groups, exact, compared in blocks of bounded size.
@@ -328,7 +441,7 @@ class _Join:
             rows, features = F.count_if(F.col("side") == side), F.sum(F.when(F.col("side") == side, F.col("n")))
             return F.greatest(F.ceil(rows / block), F.ceil(features / BLOCK_FEATURES)).cast("int")
 
-        m = m.join(m.groupBy("key", "band").agg(number(0).alias("is"), number(1).alias("js")).filter("is > 0 and js > 0"), ["key", "band"])
+        m = spread_join(m, m.groupBy("key", "band").agg(number(0).alias("is"), number(1).alias("js")).filter("is > 0 and js > 0"), ["key", "band"], ["uid"])
         for c, side in (("i", 0), ("j", 1)):
             own = F.array(F.pmod(F.xxhash64("uid"), F.col(c + "s")).cast("int"))
             m = m.withColumn(c, F.explode(F.when(F.col("side") == side, own).otherwise(F.sequence(F.lit(0), F.col(c + "s") - 1))))
@@ -367,27 +480,38 @@ class _Join:
             links = links.join(labels.select(F.col("uid").alias(side), F.col("label.uid").alias("r" + side)), side, "left")
         up = connected_components(links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct(), nodes)
         to = up.select(F.col("uid").alias("root"), F.col("label").alias("lower"))
-        known = labels.join(to, F.col("label.uid") == F.col("root"), "left").select("uid", F.coalesce("lower", "label").alias("label"))
-        return cut(known.unionByName(up.join(labels.select("uid"), "uid", "left_anti")))
+        known = spread_join(labels.withColumn("root", F.col("label.uid")), to, ["root"], ["uid"], "left").select("uid", F.coalesce("lower", "label").alias("label"))
+        merged = cut(known.unionByName(up.join(labels.select("uid"), "uid", "left_anti")))
+        free(labels, up)
+        return merged
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(info, labels): all documents, and the labels of the linked ones."""
-        signed = self._signed()
-        signed = cut(signed)
-        info = signed.drop("sigs")
-        nodes = info.select("uid", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k"), "uid").alias("rank"))
-        s = signed.select("uid", F.explode("sigs").alias("sig"))
-        w = Window.partitionBy("sig")
-        members = s.select("sig", "uid", F.count("*").over(w).alias("g"), F.min("uid").over(w).alias("pivot")).filter("g > 1")
-        members = cut(members)
-        pairs = members.filter("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
-        links = cut(self._linked(cut(self._candidates(pairs, info))))
+        info = cut(self._info())
+        rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k"), "uid")
+        nodes = info.select("uid", rank.alias("rank"))
+        equal = info.filter("n > 0").groupBy("n", "h1", "h2").agg(F.count("*").alias("c"), F.min(rank).alias("rank"))
+        equal = equal.filter("c > 1").orderBy(F.desc("c")).limit(HEAVY_SETS).select("n", "h1", "h2", "rank").collect()  # HEAVY_SETS at most
+        members = self._members(info, {(r["n"], r["h1"], r["h2"]): r["rank"]["uid"] for r in equal})
+        pairs = cut(members.filter("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct())
+        near = cut(self._candidates(pairs, info))
+        free(pairs)
+        links = cut(self._linked(near))
+        free(near)
         labels = connected_components(links, nodes)
+        free(links)
         open_ = self._open(members.filter("g > 2").select("sig", "uid"), labels)
         if open_.limit(1).count():
             rest = cut(self._rest(open_, info))
             if rest.limit(1).count():
                 labels = self._merged(labels, rest, nodes)
+            free(rest)
+        free(open_)
+        if equal:
+            one = info.sparkSession.createDataFrame([(r["n"], r["h1"], r["h2"], r["rank"]) for r in equal], "n long, h1 long, h2 long, rank struct<k:long,uid:long>")
+            one = one.join(labels.select(F.col("uid").alias("l_uid"), "label"), F.col("rank.uid") == F.col("l_uid"), "left").select("n", "h1", "h2", F.col("rank.uid").alias("own"), F.coalesce("label", "rank").alias("label"))
+            copies = info.join(F.broadcast(one), ["n", "h1", "h2"]).filter("uid <> own").select("uid", "label")
+            labels = labels.unionByName(copies)
         return info, labels
 
 
@@ -408,9 +532,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents, without those linked to one of smaller id; of equal ids the first row stays."""
+    """The documents, without those linked to one of smaller id; of equal ids the first row stays.
+
+    Null and empty texts are linked with nothing and stay; null ids come last, so
+    a group of null ids alone keeps its first row. Repeated rows are copies of
+    one another. All columns are kept, an empty table gives no rows.
+    """
     join = _Join(docs, "doc_id", "text", words, percent, BLOCK)
     _, labels = join.run()
     uid = free_name(docs, "__uid")
     drop = labels.filter("label.uid <> uid").select(F.col("uid").alias(uid))
-    return docs.withColumn(uid, F.monotonically_increasing_id()).join(drop, uid, "left_anti").drop(uid)
+    return join.docs.withColumn(uid, F.monotonically_increasing_id()).join(drop, uid, "left_anti").drop(uid)
