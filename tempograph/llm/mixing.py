@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import cut, free_name, word_count
+from tempograph.llm.common import cut, free, free_name, spread_join, stable, word_count
 
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -125,19 +125,21 @@ def ranked_sources(sizes: DataFrame) -> DataFrame:
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED, size: Column | None = None,
+    weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED, size: Column | None = None, key_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: (id, size, source_size, target, taken).
+    """One row per document: (doc_id, size, source_size, target, taken), then ``key`` if ``key_col`` names a row key.
 
     ``size`` defaults to the number of words. ``taken`` is the size times the
     number of copies the mix takes (0 to ``max_repeats``). Documents of size 0
     take nothing. Null sources form one source, numbered last; null ids and
     repeated rows are documents of their own. Documents with equal hash are
     ordered by id and size only, so which of several equal rows is taken does
-    not show. An empty table gives no rows.
+    not show. Long texts are counted whole, other columns are not looked at. An
+    empty table gives no rows.
     """
     size = word_count(text_col) if size is None else size
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    key = [] if key_col is None else ["key"]
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *[F.col(key_col).alias(k) for k in key])
     slim = cut(slim.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")))
     hist = cut(slim.groupBy("source", "size").agg(F.count("*").alias("n")))
     sizes = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
@@ -161,10 +163,10 @@ def mix_sources(
     # Seeded choice inside a (source, length) group without gathering it: about sqrt(n) hash
     # buckets; whole buckets are taken up to the one in which the count is met, which is ranked.
     partly = (F.col("take") > 0) & (F.col("take") < F.col("n"))
-    j = slim.alias("s").join(plans.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.size") == F.col("p.size")))
-    rows = j.select("doc_id", F.col("s.source").alias("source"), F.col("s.size").alias("size"), "h", "n", "source_size", "target", "full", "take")
+    rows = spread_join(slim, plans, ["source", "size"], ["h"], null_safe=True)
     rows = rows.withColumn("bucket", F.when(partly, F.pmod(F.col("h"), F.ceil(F.sqrt("n")).cast("long"))))
     rows = cut(rows)
+    free(slim, hist, targets, plans)
     whole = rows.filter(~partly).withColumn("extra", (F.col("take") > 0).cast("int"))
     some = rows.filter(partly)
     buckets = some.groupBy("source", "size", "bucket").agg(F.count("*").alias("b"), F.first("take").alias("take"))
@@ -173,27 +175,23 @@ def mix_sources(
     buckets = cut(buckets.select(F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("bucket").alias("b_bucket"), (F.col("take") - F.col("before")).alias("need"), "state"))
     some = some.join(buckets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("bucket") == F.col("b_bucket")))
     sure = some.filter("state < 2").withColumn("extra", F.col("state"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id", *key))
     edge = some.filter("state = 2").withColumn("extra", (rank <= F.col("need")).cast("int"))
-    out = ["doc_id", "size", "source_size", "target", (F.col("size") * (F.col("full") + F.col("extra"))).cast("long").alias("taken")]
+    out = ["doc_id", "size", "source_size", "target", (F.col("size") * (F.col("full") + F.col("extra"))).cast("long").alias("taken"), *key]
     return whole.select(*out).unionByName(sure.select(*out)).unionByName(edge.select(*out))
 
 
 def apply_mix(docs: DataFrame, **kw) -> DataFrame:
-    """The documents the mix takes, repeated as often as it takes them; columns are kept.
+    """The documents the mix takes, repeated as often as it takes them; columns are kept, whatever their names.
 
-    A repeated document has its rows next to it. Rows are matched by id and
-    size; of repeated rows each carries its own copies. Documents that the mix
-    takes 0 times, and those of size 0, are dropped.
+    A repeated document has its rows next to it. Documents that the mix takes 0
+    times, and those of size 0 (null and empty texts), are dropped. Null sources
+    form one source; null ids and repeated rows are documents of their own. Long
+    texts are counted whole. An empty table gives no rows.
     """
-    size_c, key, copies, no = (free_name(docs, x) for x in ("__size", "__key", "__copies", "__no"))
-    taken = mix_sources(docs, **kw)
-    d = docs.withColumn(size_c, word_count("text"))
-    # Equal (id, size) rows are interchangeable: the k-th of one side meets the k-th of the other.
-    t = taken.select(F.col("doc_id").alias(key), F.col("size").alias(size_c), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int").alias(copies))
-    t = t.filter(F.col(copies) > 0).groupBy(key, size_c).agg(F.array_sort(F.collect_list(copies)).alias(copies))
-    w = Window.partitionBy("doc_id", size_c).orderBy(F.xxhash64("text"))
-    j = d.join(t.withColumnRenamed(size_c, size_c + "t"), F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(size_c) == F.col(size_c + "t")))
-    j = j.withColumn(no, F.row_number().over(w)).withColumn(copies, F.get(F.col(copies), F.col(no) - 1))
-    j = j.filter(F.col(copies).isNotNull())
-    return j.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(no)).select(*docs.columns)
+    docs = stable(docs)
+    uid, copies = free_name(docs, "__uid"), free_name(docs, "__copies")
+    d = docs.withColumn(uid, F.monotonically_increasing_id())
+    taken = mix_sources(d, key_col=uid, **kw).filter("size > 0 and taken > 0")
+    taken = taken.select(F.col("key").alias(uid), (F.col("taken") / F.col("size")).cast("int").alias(copies))
+    return d.join(taken, uid).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies)).drop(copies)

@@ -21,7 +21,6 @@ Workers map them and search them with sorted batches of queries.
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -32,13 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import fold, scratch
+from tempograph.llm.common import MEMO_BYTES, fold, free_name, no_clash, scratch
 
 #: No word contains a line feed, so these are never words.
 BEGIN, END = b"\n<s>", b"\n</s>"
 FREQUENT = 0.0005
 SHARD_BYTES = 8 << 20
-MAX_SHARDS = 8192
 FLUSH_TOKENS = 4_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD_ROW = np.dtype([("raw", "<u8"), ("cont", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
@@ -58,17 +56,18 @@ def mix(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 class Words:
     """Word hashes of texts, with a table of words met before."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = MEMO_BYTES):
         self.known: dict[bytes, int] = {}
-        self.most = most
+        self.size, self.most = 0, most
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all tokens, each text closed by the end token, and the texts' lengths in tokens."""
-        if len(self.known) > self.most:
-            self.known.clear()
         known, flat, sizes = self.known, [], []
         end = word_hash(END)
         for t in texts:
+            if self.size > self.most:
+                known.clear()
+                self.size = 0
             words = (t or "").encode("utf-8", "surrogatepass").lower().split()
             try:
                 flat += [known[w] for w in words]
@@ -76,6 +75,7 @@ class Words:
                 for w in words:
                     if w not in known:
                         known[w] = word_hash(w)
+                        self.size += len(w) + 150
                 flat += [known[w] for w in words]
             flat.append(end)
             sizes.append(len(words) + 1)
@@ -175,29 +175,40 @@ def _write(uri: str, *arrays: np.ndarray) -> None:
     f.move(temp, path)
 
 
-_mapped: dict[str, np.ndarray] = {}
+#: Most files a worker keeps mapped, and bytes of remote files it keeps in memory.
+MAPPED_FILES, FETCHED_BYTES = 4096, 256 << 20
+_mapped: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
+_fetched = 0
 
 
-def _map(uri: str, kind: np.dtype | str, rows: int, skip: int = 0) -> np.ndarray:
-    """Array of a model file, memory-mapped; files of remote stores are fetched once a worker."""
-    if not rows:
-        return np.zeros(0, kind)
-    p = urlparse(uri)
-    path = p.path
-    if p.scheme not in ("", "file"):
-        path = os.path.join(tempfile.gettempdir(), f"kn-{xxhash.xxh64_hexdigest(uri)}")
-        if not os.path.exists(path):
-            f, remote = _fs(uri)
-            with f.open_input_stream(remote) as src, open(temp := f"{path}.{os.getpid()}", "wb") as dst:
-                while chunk := src.read(1 << 24):
-                    dst.write(chunk)
-            os.replace(temp, path)
-    key = f"{path}:{skip}"
-    if key not in _mapped:
-        if len(_mapped) > 4 * MAX_SHARDS:
-            _mapped.clear()
-        _mapped[key] = np.memmap(path, kind, "r", skip, (rows,))
-    return _mapped[key]
+def _map(uri: str, kind: np.dtype | str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Sorted hashes and values of a model file, None if the shard has none.
+
+    Files of a mounted folder are memory-mapped; those of other stores are read
+    into memory, as many as FETCHED_BYTES allow, never onto a local disk.
+    """
+    global _fetched
+    if uri in _mapped:
+        return _mapped[uri]
+    if len(_mapped) >= MAPPED_FILES or _fetched > FETCHED_BYTES:
+        _mapped.clear()
+        _fetched = 0
+    p, kind = urlparse(uri), np.dtype(kind)
+    raw = np.zeros(0, "u1")
+    if p.scheme in ("", "file"):
+        if os.path.exists(p.path) and os.path.getsize(p.path):
+            raw = np.memmap(p.path, "u1", "r")
+    else:
+        from pyarrow import fs
+
+        f, remote = _fs(uri)
+        if f.get_file_info(remote).type != fs.FileType.NotFound:
+            with f.open_input_stream(remote) as src:
+                raw = np.frombuffer(src.read(), "u1")
+            _fetched += len(raw)
+    rows = len(raw) // (8 + kind.itemsize)
+    _mapped[uri] = (raw[: 8 * rows].view("<u8"), raw[8 * rows :].view(kind)) if rows else None
+    return _mapped[uri]
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -213,37 +224,36 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 class Model:
     """A counted model: totals, and where its shards lie."""
 
-    def __init__(self, path: str, sharding: Sharding, pair_rows: dict[int, int], word_rows: dict[int, int], totals: dict[str, int], d2: tuple, d1: tuple):
-        self.path, self.sharding, self.pair_rows, self.word_rows, self.d2, self.d1 = path, sharding, pair_rows, word_rows, d2, d1
+    def __init__(self, path: str, sharding: Sharding, totals: dict[str, int], d2: tuple, d1: tuple):
+        self.path, self.sharding, self.d2, self.d1 = path, sharding, d2, d1
         self.tokens, self.vocab, self.pairs = totals["tokens"], totals["vocab"], totals["pairs"]
         g = d1[0] * totals["c1"] + d1[1] * totals["c2"] + d1[2] * totals["c3"]
         self.rest = g / self.pairs if self.pairs else 1.0
 
-    def _find(self, name: str, rows: dict[int, int], kind, shard: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    def _find(self, name: str, kind, shard: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Rows of sorted shards for the keys, zeros where there is none."""
         out = np.zeros(len(keys), kind)
         order = np.lexsort((keys, shard))
         cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]) if len(order) else []
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
-            s = int(shard[order[a]])
-            n = rows.get(s, 0)
-            if not n:
+            found = _map(f"{self.path}/{name}-{int(shard[order[a]])}", kind)
+            if found is None:
                 continue
             at, q = order[a:b], keys[order[a:b]]
-            have = _map(f"{self.path}/{name}-{s}", "<u8", n)
-            i = np.minimum(np.searchsorted(have, q), n - 1)
+            have, values = found
+            i = np.minimum(np.searchsorted(have, q), len(have) - 1)
             hit = have[i] == q
-            out[at[hit]] = _map(f"{self.path}/{name}-{s}", kind, n, 8 * n)[i[hit]]
+            out[at[hit]] = values[i[hit]]
         return out
 
     def token_scores(self, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each token after its left neighbour, and each token's count."""
         both, back = np.unique(np.r_[w, u], return_inverse=True)
-        words = self._find("words", self.word_rows, _WORD_ROW, self.sharding.word(both), both)
+        words = self._find("words", _WORD_ROW, self.sharding.word(both), both)
         r, left = words[back[: len(w)]], words[back[len(w) :]]
         key = mix(u, w)
         pairs, pback = np.unique(key, return_index=True)
-        c = self._find("pairs", self.pair_rows, "<u4", self.sharding.pair(u[pback], w[pback]), pairs)[np.searchsorted(pairs, key)].astype(np.float64)
+        c = self._find("pairs", "<u4", self.sharding.pair(u[pback], w[pback]), pairs)[np.searchsorted(pairs, key)].astype(np.float64)
         d1, d2 = np.array([0.0, *self.d1]), np.array([0.0, *self.d2])
         cont = r["cont"].astype(np.float64)
         p = np.maximum(cont - d1[np.minimum(cont, 3).astype(int)], 0) / max(self.pairs, 1) + self.rest / (self.vocab + 1)
@@ -276,7 +286,7 @@ def _shard_count(docs: DataFrame) -> int:
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:  # unknown, as for rows made in memory
         return max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return max(4, min(MAX_SHARDS, -(-size // SHARD_BYTES)))
+    return max(4, -(-size // SHARD_BYTES))
 
 
 def train_model(train: DataFrame, path: str, frequent_share: float = FREQUENT) -> Model:
@@ -365,14 +375,14 @@ def train_model(train: DataFrame, path: str, frequent_share: float = FREQUENT) -
 
     out = "kind string, shard int, rows long, n array<long>, data binary"
     n = sharding.shards
-    pairs = train.select("text").mapInArrow(count, block).repartition(n, "shard").mapInArrow(reduce_pairs, out)
-    words = pairs.repartition(n, F.col("shard"), F.col("kind")).mapInArrow(reduce_words, out)
-    stats = words.select("kind", "shard", "rows", "n").collect()  # two rows a shard
-    pair_stats, word_stats = ([r for r in stats if r["kind"] == k] for k in ("pairs", "words"))
-    p = np.array([r["n"] for r in pair_stats], np.int64).reshape(-1, 4).sum(0)
-    w = np.array([r["n"] for r in word_stats], np.int64).reshape(-1, 8).sum(0)
-    totals = {"tokens": int(w[0]), "vocab": int(w[1]), "pairs": int(w[2]), "c1": int(w[4]), "c2": int(w[5]), "c3": int(w[3])}
-    return Model(path, sharding, {r["shard"]: r["rows"] for r in pair_stats}, {r["shard"]: r["rows"] for r in word_stats}, totals, discounts(p.tolist()), discounts(w[4:8].tolist()))
+    # One shard a task: the shard's number is the partition's.
+    pairs = train.select("text").mapInArrow(count, block).repartitionById(n, F.col("shard")).mapInArrow(reduce_pairs, out)
+    words = pairs.repartitionById(n, F.col("shard")).mapInArrow(reduce_words, out)
+    sums = words.groupBy("kind").agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(8)]).collect()  # one row a kind
+    got = {r["kind"]: [int(r[f"n{i}"] or 0) for i in range(8)] for r in sums}
+    p, w = got.get("pairs", [0] * 8)[:4], got.get("words", [0] * 8)
+    totals = {"tokens": w[0], "vocab": w[1], "pairs": w[2], "c1": w[4], "c2": w[5], "c3": w[3]}
+    return Model(path, sharding, totals, discounts(p), discounts(w[4:8]))
 
 
 def _small(rows: np.ndarray) -> bytes:
@@ -411,8 +421,10 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
                 out.append(pd.DataFrame({"n_tokens": sizes, "n_known": np.add.reduceat((c > 0).astype(np.int64), at), "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(logp, at)}))
             yield pd.concat(out) if out else pd.DataFrame({"n_tokens": [], "n_known": [], "base_score": [], "score": []})
 
-    found = docs.withColumn("__s", scored(F.coalesce(F.col(text_col), F.lit(""))))
-    return found.select(*docs.columns, "__s.n_tokens", "__s.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "__s.base_score", "__s.score")
+    no_clash(docs, ["n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    c = free_name(docs, "__s")
+    found = docs.withColumn(c, scored(F.coalesce(F.col(text_col), F.lit(""))))
+    return found.select(*docs.columns, f"{c}.n_tokens", f"{c}.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), f"{c}.base_score", f"{c}.score")
 
 
 def lm_scores(docs: DataFrame, spark: SparkSession, folds: int = 5, held_fold: int = 1) -> DataFrame:
@@ -420,8 +432,10 @@ def lm_scores(docs: DataFrame, spark: SparkSession, folds: int = 5, held_fold: i
 
     Null and empty texts are the end token alone. Repeated rows are counted and
     scored each. With no training text every token has probability 1. Perplexity
-    is ``10 ** (-score / n_tokens)``. The appended names must not be columns.
+    is ``10 ** (-score / n_tokens)``. Long texts are read whole. Other columns are
+    kept, the appended names must not be among them. An empty table gives no rows.
     """
+    no_clash(docs, ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     train = docs.filter(fold("doc_id", folds) != held_fold).select("text")
     model = train_model(train, scratch(spark, "kn"))
     return score_texts(docs.withColumn("held_out", fold("doc_id", folds) == held_fold), model)

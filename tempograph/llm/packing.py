@@ -109,7 +109,7 @@ class Packer:
         self.rest: list[tuple[object, np.ndarray, int, int]] = []  # key, ids of the piece, start, document's length
 
     def _emit(self, rows: list, key, ids: np.ndarray, start: int, total: int, seq: int, offset: int) -> None:
-        rows.append((key, start, len(ids), zlib.crc32(ids.tobytes()), total, seq, offset, ids.tolist() if self.keep else None))
+        rows.append((key, start, len(ids), zlib.crc32(ids.tobytes()), total, seq, offset, ids if self.keep else None))
 
     def add(self, docs: list[tuple[object, np.ndarray]]) -> list[tuple]:
         rows: list[tuple] = []
@@ -156,8 +156,9 @@ def byte_bpe_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     """Ids as the tokenizers library gives them for the vocabulary at ``path``.
 
     Texts without special strings are encoded by the same merges through
-    tiktoken, which is several times faster; the vocabulary and pattern are
-    read from the file itself. Everything else goes through the library.
+    tiktoken, which is several times faster; the vocabulary is read from the
+    file, the splitting pattern of such files is the one that
+    ``public_tokenizers`` names. Everything else goes through the library.
     """
     import json
 
@@ -210,8 +211,10 @@ def pack_documents(
     empty texts are that id alone. Each id lies in exactly one piece. Null ids
     and repeated rows are documents of their own. ``ids`` is null unless
     ``keep_ids``. Sequence ids count on from the task's number shifted by 33
-    bits, so they are unique and the same in a rerun of a task. An empty table
-    gives no rows.
+    bits, so they are unique and the same in a rerun of a task. Equal lengths
+    are packed in the order they come in, equal costs into the earlier sequence.
+    Long texts are encoded whole. Other columns are not looked at. An empty
+    table gives no rows.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -219,7 +222,12 @@ def pack_documents(
     types = [pa.int64()] * 7 + [pa.list_(pa.int32())]
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        cols = list(zip(*rows))
+        ids = pa.nulls(len(rows), types[-1])
+        if keep_ids:
+            flat = np.concatenate(cols[-1]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cols[2])].astype(np.int32)), pa.array(flat))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols[:-1], types)), ids], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe_encoder(tokenizer_path)

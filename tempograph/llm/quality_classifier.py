@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import cut, fold
+from tempograph.llm.common import cut, fold, no_clash
 
 BITS = 18
 #: Bound on the labelled rows the model is fitted on (those with the smallest seeded hash, half of them from each class at most).
@@ -149,7 +149,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     # A limit by hash for each class: a top-k, not a window over a class.
     h = F.xxhash64(F.lit(seed), "l_id")
     pick = lab.filter("y = 1").orderBy(h, "l_id").limit(half).unionByName(lab.filter("y = 0").orderBy(h, "l_id").limit(half))
-    return docs.join(F.broadcast(pick), F.col("doc_id") == F.col("l_id")).select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select("doc_id", "text").join(F.broadcast(pick), F.col("doc_id") == F.col("l_id")).select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -159,8 +159,11 @@ def classify_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TR
     labels other than 0 and 1 are ignored, of several labels for an id the
     lowest counts. Null and empty texts are scored like any other (no
     indicators). With labels of one class, or none, the score is constant.
-    Score, held_out and predicted must not be columns of ``docs``.
+    Repeated rows are scored each, ties in the training order go by id; long
+    texts are read whole. Other columns are kept; ``held_out``, ``score`` and
+    ``predicted`` must not be among them. An empty table gives no rows.
     """
+    no_clash(docs, ["held_out", "score", "predicted"])
     spark = docs.sparkSession
     train = training_rows(docs, labels, max_train).select("doc_id", "y", "text")
     fitted = cut(train.repartition(1).mapInPandas(_fit_task, "bias double, a double, b double, base double, weights array<float>"))
@@ -190,12 +193,10 @@ def _fit_task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The documents that the classifier accepts, with their own columns."""
-    from tempograph.llm.common import free_name
-
-    named = {c: free_name(docs, "__" + c) for c in ("held_out", "score", "predicted") if c in docs.columns}
-    d = docs
-    for c, n in named.items():
-        d = d.withColumnRenamed(c, n)
-    kept = classify_quality(d, labels, max_train).filter("predicted = 1")
-    return kept.select(*[F.col(named.get(c, c)).alias(c) for c in docs.columns])
+    """The documents that the classifier accepts, with their own columns whatever their names.
+
+    Nulls, empty and long texts, repeated rows and empty tables as in
+    ``classify_quality``; a score of exactly 0.5 is kept.
+    """
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    return classify_quality(rows, labels, max_train).filter("predicted = 1").select("row.*")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import cut
+from tempograph.llm.common import cut, free_name, no_clash
 
 N_TREES = 100
 SUBSAMPLE = 256
@@ -185,8 +185,9 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             p["rule_stats"] = [x for _, x in both]
             yield p
 
-    found = docs.withColumn("__s", stats(F.coalesce(F.col(text_col), F.lit(""))))
-    return found.select(*docs.columns, "__s.*")
+    no_clash(docs, [*BASE, "rule_stats"])
+    s = free_name(docs, "__s")
+    return docs.withColumn(s, stats(F.coalesce(F.col(text_col), F.lit("")))).select(*docs.columns, f"{s}.*")
 
 
 def base_failed() -> F.Column:
@@ -199,12 +200,15 @@ def rule_verdicts(docs: DataFrame, labels: DataFrame, text_col: str = "text") ->
     Null texts have no words and fail the base rules. Without labelled rows, or
     with labels of one kind only, the forest rejects nothing. Of several labels
     of an id the lowest counts; null ids have no label. Repeated rows are judged
-    each. The appended names must not be columns of ``docs``.
+    each; long texts are read whole. Rows with the threshold's own score are
+    kept. Other columns are kept, the appended names must not be among them. An
+    empty table gives no rows.
 
     All labelled rows set the threshold, by counts of each score (scores have
     ``DIGITS`` digits, which bounds what reaches the driver). The trees are fitted
     on the good rows of the smallest seeded hashes, as many as all trees can hold.
     """
+    no_clash(docs, ["base_failed", "anomaly", "kept"])
     spark = docs.sparkSession
     lab = labels.select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("y")).filter("y in (0, 1) and l_id is not null")
     lab = lab.groupBy("l_id").agg(F.min("y").alias("y"))

@@ -15,17 +15,21 @@ text's count is the sum of what its transitions emit.
   state goes to the start state where a space follows a non-space. Between two
   resets lies a *segment*; segments act as macro transitions from the start
   state to itself, annotated with the count they emit.
-* **Chunk maps.** A chunk of text maps any entry state to an exit state and a
-  count. With the reset it is described by: what precedes the first reset (run
-  from the entry state), the count between resets, and the open segment after
-  the last one. Such maps compose associatively; a text's chunks are combined
-  by a prefix scan in tree form, and texts above ``split_chars`` have their
-  chunks mapped by separate tasks.
+* **Chunk maps.** A chunk of a long text maps entry states to exit states and
+  counts. The entry states that can occur are those to which the characters
+  before the chunk lead from the start state, whichever of them the reading
+  begins at; states forget the past quickly, so these are few. Maps compose
+  associatively: a text's chunks are mapped apart, by separate tasks above
+  ``split_chars``, and combined by a prefix scan in tree form. Where a chunk's
+  true entry state is not among the mapped ones, the text is read in one go,
+  so counts are exact in any case.
 """
 
 from __future__ import annotations
 
 import gc
+import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -33,12 +37,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempograph.llm.common import MEMO_BYTES, free_name, no_clash, stable
+
 SPACE = "▁"
-#: Characters kept per open prefix; the longest piece bounds what is needed.
+#: Characters of a chunk, and of a text that separate tasks share.
 CHUNK_CHARS = 1 << 16
 SPLIT_CHARS = 1 << 20
-#: Segments remembered by one worker; beyond it the table starts anew.
-MEMO_SEGMENTS = 400_000
+#: Characters before a chunk from which its entry states are found.
+LOOK_BACK = 64
+#: States and bytes of segments remembered by one worker; beyond it the tables start anew.
+MEMO_STATES = 400_000
+
+Map = dict  # entry state -> (exit state, count)
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -93,6 +103,7 @@ class Transducer:
         self.ids = {self.states[0]: 0}
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
         self.memo: dict[str, int] = {}
+        self.memo_size = 0
 
     def _compatible(self, left: str, right: str) -> bool:
         """Do the merge rules leave these two adjacent pieces apart?
@@ -173,76 +184,99 @@ class Transducer:
         """Count emitted by a whole segment between two resets."""
         n = self.memo.get(text)
         if n is None:
-            if len(self.memo) >= MEMO_SEGMENTS:
+            if self.memo_size >= MEMO_BYTES:
                 self.memo.clear()
-            if len(self.states) >= MEMO_SEGMENTS:
-                self.states, self.moves = self.states[:1], [{}]
-                self.ids = {self.states[0]: 0}
+                self.memo_size = 0
             n = self.memo[text] = self.run(text)[1]
+            self.memo_size += 4 * len(text) + 150
         return n
 
     _cuts = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
-    def chunk_map(self, chunk: str) -> tuple[str, bool, int, str]:
-        """Map of a chunk: (before the first reset, any reset?, count between, open segment)."""
-        parts = self._cuts.findall(chunk.replace(" ", SPACE))
+    def advance(self, text: str, state: int) -> tuple[int, int]:
+        """As ``run``, with whole segments as single transitions."""
+        parts = self._cuts.findall(text.replace(" ", SPACE))
         if not parts:
-            return "", False, 0, ""
-        if len(parts) == 1:
-            return parts[0], False, 0, ""
-        memo, total = self.memo, 0
-        for p in parts[1:-1]:
-            n = memo.get(p)
-            total += self.segment(p) if n is None else n
-        return parts[0], True, total, parts[-1]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """Map of chunk a followed by chunk b; associative."""
-        (ah, ar, an, at), (bh, br, bn, bt) = a, b
-        joint = at if ar else ah
-        # The seam is a reset if a ends in a non-space and b starts with a space.
-        seam = bool(joint) and bool(bh) and joint[-1] != SPACE and bh[0] == SPACE
-        if not ar and not br:
-            return (ah, True, 0, bh) if seam else (ah + bh, False, 0, "")
-        if not ar:
-            return (ah, True, self.segment(bh) + bn, bt) if seam else (ah + bh, True, bn, bt)
-        if not br:
-            return (ah, True, an + self.segment(at), bh) if seam else (ah, True, an, at + bh)
-        inner = self.segment(at) + self.segment(bh) if seam else self.segment(at + bh)
-        return ah, True, an + inner + bn, bt
-
-    def scan(self, maps: list[tuple]) -> tuple:
+            return state, 0
+        state, total = self.run(parts[0], state)
+        if len(parts) > 1:
+            memo = self.memo
+            for p in parts[1:-1]:
+                n = memo.get(p)
+                total += self.segment(p) if n is None else n
+            state, n = self.run(parts[-1])
+            total += n
+        return state, total
+
+    def begin(self) -> int:
+        """State after the space mark that the model puts in front, with the tables made small again."""
+        if len(self.states) >= MEMO_STATES:
+            self.states, self.moves = self.states[:1], [{}]
+            self.ids = {self.states[0]: 0}
+        return self.run(SPACE)[0]
+
+    def chunk_map(self, chunk: str, before: str = "") -> Map:
+        """Map of a chunk, for the entry states that the characters ``before`` it allow; none before: the text's begin."""
+        if not before:
+            entries = [self.begin()]
+        else:
+            before = before[-LOOK_BACK:].replace(" ", SPACE)
+            entries = dict.fromkeys(self.run(before[i:])[0] for i in range(len(before) + 1))
+        out = {}
+        for e in entries:
+            to, n = self.advance(chunk, e)
+            out[self.states[e]] = (self.states[to], n)
+        return out
+
+    @staticmethod
+    def compose(a: Map, b: Map) -> Map:
+        """Map of chunk a followed by chunk b; associative. Entries that lead to a state b does not map are left out."""
+        return {e: (b[x][0], n + b[x][1]) for e, (x, n) in a.items() if x in b}
+
+    def scan(self, maps: list[Map]) -> Map:
         """Prefix scan in tree form; returns the map of all chunks."""
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         return maps[0]
 
-    def close(self, m: tuple) -> int:
-        """Count of a text whose chunks have map ``m``; the model adds a space mark in front."""
-        h, r, n, t = m
-        if not h:
-            return 0
-        first = self.run(SPACE)[0]
-        # The mark in front meets the text's own leading spaces in one segment.
-        head = self.run(SPACE)[1] + self.run(h, first)[1] if h else 0
-        return head + (n + self.segment(t) if r else 0)
+    def maps(self, text: str, chunk: int, before: str = "") -> list[Map]:
+        return [self.chunk_map(text[i : i + chunk], (text[max(0, i - LOOK_BACK) : i] or before)) for i in range(0, len(text), chunk)]
+
+    def close(self, m: Map) -> int | None:
+        """Count of a text whose chunks have map ``m``; None if a chunk was entered in a state it does not map."""
+        begin = self.states[self.begin()]
+        return m[begin][1] + self.run(SPACE)[1] if begin in m else None
 
     def count(self, text: str, chunk: int = CHUNK_CHARS) -> int:
         if not text:
             return 0
-        return self.close(self.scan([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]))
+        if len(text) > chunk:
+            n = self.close(self.scan(self.maps(text, chunk)))
+            if n is not None:
+                return n
+        return self.advance(text, self.begin())[1] + self.run(SPACE)[1]
+
+
+def pack_map(m: Map) -> str:
+    """A chunk map as text, the same from any worker."""
+    return json.dumps(list(m.items()))
 
 
-_workers: dict[int, Transducer] = {}
+def unpack_map(text: str) -> Map:
+    state = lambda s: (s[0], tuple((p, n) for p, n in s[1]))
+    return {state(e): (state(x), n) for e, (x, n) in json.loads(text)}
+
+
+_workers: dict[str, Transducer] = {}
 
 
 def _transducer(shared) -> Transducer:
     """This worker's transducer; its states outlive a task."""
-    key = hash(tuple(sorted(shared.value[0].items())[:50])) ^ len(shared.value[0])
+    key, pieces, splits = shared.value
     t = _workers.get(key)
     if t is None:
         gc.set_threshold(500_000, 20, 50)  # many small long-lived tuples, no cycles
-        t = _workers[key] = Transducer(*shared.value)
+        t = _workers[key] = Transducer(pieces, splits)
     return t
 
 
@@ -253,14 +287,16 @@ def count_tokens(
     """Append ``out_col`` (long): the number of pieces of every whole text.
 
     Null and empty texts count 0. Repeated rows are counted each. All columns
-    are kept; ``out_col`` must not be one of them. The vocabulary (as large as
-    the model, whatever the data) is broadcast; texts above ``split_chars``
-    have their chunk maps made by separate tasks and composed per text.
+    are kept, whatever their names; ``out_col`` must not be one of them. An
+    empty table gives no rows. The vocabulary (as large as the model, whatever
+    the data) is broadcast; texts above ``split_chars`` have their chunk maps
+    made by separate tasks and composed per text.
     """
-    if out_col in docs.columns:
-        raise ValueError(f"{out_col} exists")
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((pieces := load_pieces(model_path), compile_splits(pieces)))
+    no_clash(docs, [out_col])
+    spark, docs = docs.sparkSession, stable(docs)
+    pieces = load_pieces(model_path)
+    digest = hashlib.sha256(repr(sorted(pieces.items())).encode("utf-8", "surrogatepass")).hexdigest()
+    shared = spark.sparkContext.broadcast((digest, pieces, compile_splits(pieces)))
 
     @F.pandas_udf("long")
     def counted(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -268,29 +304,33 @@ def count_tokens(
         for s in it:
             yield pd.Series([t.count(x, chunk_chars) if x else 0 for x in s], dtype="int64")
 
-    @F.pandas_udf("head string, any boolean, n long, tail string")
-    def mapped(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def mapped(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         t = _transducer(shared)
-        for s in it:
-            yield pd.DataFrame([t.scan([t.chunk_map(x[i : i + chunk_chars]) for i in range(0, len(x), chunk_chars)]) for x in s], columns=["head", "any", "n", "tail"])
+        for texts, befores in it:
+            yield pd.Series([pack_map(t.scan(t.maps(x, chunk_chars, y))) for x, y in zip(texts, befores)], dtype=object)
 
     @F.pandas_udf("long")
     def closed(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = _transducer(shared)
         for s in it:
-            yield pd.Series([t.close(t.scan([(m["head"], m["any"], m["n"], m["tail"]) for m in ms])) for ms in s], dtype="int64")
+            yield pd.Series([t.close(t.scan([unpack_map(m) for m in ms])) for ms in s], dtype="Int64")
 
-    long_text = F.length(text_col) > split_chars
-    short = docs.filter(F.coalesce(~long_text, F.lit(True))).withColumn(out_col, counted(F.coalesce(F.col(text_col), F.lit(""))))
+    uid, n = free_name(docs, "__uid"), free_name(docs, "__n")
+    text = F.col(text_col)
+    long_text = F.length(text) > split_chars
+    short = docs.filter(F.coalesce(~long_text, F.lit(True))).withColumn(out_col, counted(F.coalesce(text, F.lit(""))))
     # Few texts are this long; each is cut into parts that go to separate tasks.
+    longs = docs.filter(long_text).withColumn(uid, F.monotonically_increasing_id())
+    starts = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / split_chars).cast("int"))
+    cuts = F.transform(starts, lambda i: F.struct(i.alias("k"), F.substring(text, i * split_chars + 1, F.lit(split_chars)).alias("part"), F.when(i > 0, F.substring(text, i * split_chars + 1 - LOOK_BACK, F.lit(LOOK_BACK))).otherwise("").alias("before")))
     parts = (
-        docs.filter(long_text)
-        .select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid"))
-        .select("uid", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length(f"row.{text_col}") - 1) / split_chars).cast("int")), lambda i: F.substring(F.col(f"row.{text_col}"), i * split_chars + 1, F.lit(split_chars)))).alias("k", "part"))
-        .repartition("uid", "k")
-        .select("uid", "k", mapped("part").alias("m"))
+        longs.select(F.col(uid).alias("uid"), F.explode(cuts).alias("c"))
+        .repartition("uid", "c.k")
+        .select("uid", "c.k", mapped("c.part", "c.before").alias("m"))
         .groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("maps"))
-        .select("uid", closed("maps").alias(out_col))
+        .select(F.col("uid").alias(uid), closed("maps").alias(n))
     )
-    longs = docs.filter(long_text).withColumn("__uid", F.monotonically_increasing_id()).join(parts, F.col("__uid") == F.col("uid")).select(*docs.columns, out_col)
+    whole = F.when(F.col(n).isNull(), counted(F.when(F.col(n).isNull(), text).otherwise("")))
+    longs = longs.join(parts, uid).withColumn(out_col, F.coalesce(F.col(n), whole)).select(*docs.columns, out_col)
     return short.unionByName(longs)

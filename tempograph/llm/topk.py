@@ -33,6 +33,8 @@ SCALE = 64.0
 HEAD_ROWS = 2048
 BAND_ROWS = 8192
 QUERY_BLOCK = 2048
+#: Most numbers of live query blocks that are broadcast; beyond, candidates are joined with them by a shuffle.
+BROADCAST_BLOCKS = 200_000
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -116,7 +118,7 @@ def exact_topk(
             m = np.array([np.pad(r, (0, d - len(r))) for r in x])
             yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([(m.T @ m).ravel().tolist()], pa.list_(pa.float64()))], ["d", "rows", "g"])
 
-    # Rows of d * d numbers, one per batch and then per partition of few.
+    # Rows of d * d numbers, one per batch.
     grams = v.select("v").mapInArrow(gram, "d int, rows long, g array<double>")
     sums = grams.groupBy("d").agg(F.sum("rows").alias("rows"), F.max(F.size("g")).alias("dd"))
     flat = grams.select("d", F.posexplode("g").alias("i", "x")).groupBy("d", "i").agg(F.sum("x").alias("x")).collect()  # d * d numbers for each vector length
@@ -166,10 +168,13 @@ def exact_topk(
                         yield x.assign(part=s_)[["id", "no", "v", "low", "band", "part"]]
 
     queries = v.filter(query_filter).select("id", "no", "v", "n").mapInPandas(route, "id long, no int, v array<double>, low double, band int, part int")
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("id", "no"), F.lit(max(1, -(-rows // (20 * query_block))))).cast("int"))
     n_blocks = max(1, -(-rows // (20 * query_block)))
+    queries = cut(queries.withColumn("block", F.pmod(F.xxhash64("id", "no"), F.lit(n_blocks)).cast("int")))
+    # A candidate goes to the query blocks in which a query can still be beaten by its band, and to no other.
+    live = queries.groupBy("band", "part").agg(F.collect_set("block").alias("blocks"))
+    live = F.broadcast(live) if sum(splits.values()) * n_blocks <= BROADCAST_BLOCKS else live
     part_of = F.pmod(F.xxhash64("id", "no"), F.element_at(F.create_map(*[F.lit(x) for b in bands for x in (b, splits[b])]), F.col("band"))).cast("int")
-    cands = v.withColumn("part", part_of).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    cands = v.withColumn("part", part_of).join(live, ["band", "part"]).withColumn("block", F.explode("blocks"))
 
     def join(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "query_no": [], "id": [], "no": [], "score": []}
