@@ -1,19 +1,21 @@
-"""Line-run deduplication: suffix ranks by distributed prefix doubling.
-
-Documents are sequences of line ids. The rank of a position after round k
-orders the runs of ``2**k`` lines that start there; round k + 1 ranks pairs of
-ranks ``2**k`` lines apart. Ranks are assigned to distinct pairs (counted with
-map-side combining, sorted by range, numbered by partition offsets), never to
-the positions of one group, so a line that a third of all documents share is
-one row of the sort. Positions whose run occurs once are final and leave.
-
-A maximal repeated run with enough words is an interval of suffixes whose
-longest common prefix reaches the first line count at which the words suffice.
-That depth m is known for each position, and membership is equality of the
-ranks of the two ``2**k``-line runs that cover m lines. Such shortest runs,
-taken forward from each line and backward from each line, together cover every
-line of every maximal run; of the occurrences of a run all but the first (by
-document id, then position) are deleted.
+"""Line-run deduplication: a suffix array over line-ID sequences by distributed prefix doubling.
+
+Documents are sequences of line ids; lines that occur once end a stretch, so the
+array holds the suffixes that begin with a repeated line. The rank of a suffix
+after round k is the number of suffixes whose first ``2**k`` lines are smaller;
+round k + 1 sorts the distinct pairs of ranks ``2**k`` lines apart and moves each
+within its class. Ranks are given to distinct pairs (counted with map-side
+combining, sorted by range, numbered by partition offsets), never to the
+positions of one group, so a line that a third of all documents share is one row
+of the sort. A suffix whose rank is its own is done; the rounds end when all are.
+
+In the order of the ranks, neighbours' longest common prefixes follow from the
+lines ahead. Intervals of prefixes of m lines or more hold the occurrences of
+runs of m lines. Prefixes are measured up to ``min_words`` lines, for no shortest
+run with so many words is longer. Such shortest runs, taken forward from each
+line and backward from each line, together cover every line of every maximal
+repeated run; of the occurrences of a run all but the first (by document id,
+then position) are deleted.
 """
 
 from __future__ import annotations
@@ -23,27 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import WORD, cut, free_name
+from tempograph.llm.common import WORD, cut, free, free_name, no_clash, number_in_order, spread_join, stable
 
 MIN_WORDS = 10
 
 
-def number_in_order(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """Number rows from 0 in the order of their distinct keys: range partitions, then offsets."""
-    parts = cut(rows.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
-    counts = {r["__part"]: r["count"] for r in parts.groupBy("__part").count().collect()}  # one row a partition
-    offsets, at = [], 0
-    for p in sorted(counts):
-        offsets += [F.lit(p), F.lit(at).cast("long")]
-        at += counts[p]
-    off = F.element_at(F.create_map(*offsets), F.col("__part")) if offsets else F.lit(0).cast("long")
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
-    return parts.withColumn(out, off + local - 1).drop("__part")
-
-
 def by_document(step) -> callable:
     """mapInArrow function that hands ``step`` one document's rows (sorted by uid) at a time."""
 
@@ -84,72 +73,144 @@ def shortest_runs(words: np.ndarray, run: np.ndarray, least: int) -> tuple[np.nd
     return ahead, low, high
 
 
+def suffix_ranks(start: DataFrame) -> DataFrame:
+    """(uid, q, r): each suffix's place in the suffix array, by prefix doubling.
+
+    ``start`` holds (uid, q, r): line q of document uid, whose line alone has
+    rank r, the number of positions with smaller lines. Every line occurs twice
+    or more; a missing q ends the suffix, and no two ends are equal.
+    """
+    state = start.select("uid", "q", "r", F.lit(True).alias("alive"))
+    done, old, k = [], None, 0
+    while True:
+        span = 1 << k
+
+        def step(t: pa.Table, span=span) -> Iterator[pa.RecordBatch]:
+            uid, q, r = (t.column(c).to_numpy() for c in ("uid", "q", "r"))
+            alive = t.column("alive").to_numpy()
+            # Positions sort by (uid, q); number documents to look positions up by one key.
+            doc = np.cumsum(np.r_[False, uid[1:] != uid[:-1]]).astype(np.int64)
+            key = (doc << 32) + q
+            i = np.minimum(np.searchsorted(key, key + span), len(key) - 1)
+            after = np.where(key[i] == key + span, r[i], -1)
+            busy = np.bincount(doc, weights=alive)[doc] > 0
+            cols = [pa.array(x) for x in (uid, q, r, alive, after, busy)]
+            yield pa.RecordBatch.from_arrays(cols, ["uid", "q", "r", "alive", "next", "busy"])
+
+        ranked = cut(state.repartition("uid").sortWithinPartitions("uid", "q").mapInArrow(by_document(step), "uid long, q int, r long, alive boolean, next long, busy boolean"))
+        if old is not None:
+            free(*old)
+        done.append(ranked.filter("not busy").select("uid", "q", "r"))
+        live = ranked.filter("alive and next >= 0")
+        if not ranked.filter("alive").limit(1).count():
+            break
+        # Distinct pairs with their counts; a suffix that ends here is alone and comes first in its class.
+        pairs = live.groupBy("r", "next").agg(F.count("*").alias("c")).select("r", "next", F.lit(0).cast("long").alias("uid"), F.lit(0).alias("q"), "c")
+        ends = ranked.filter("alive and next < 0").select("r", "next", "uid", "q", F.lit(1).cast("long").alias("c"))
+        entries = number_in_order(pairs.unionByName(ends), ["r", "next", "uid", "q"], "before", "c")
+        first = entries.groupBy("r").agg(F.min("before").alias("first"))
+        entries = cut(spread_join(entries, first, ["r"], ["next", "uid", "q"]).select("r", "next", "uid", "q", "c", (F.col("r") + F.col("before") - F.col("first")).alias("rank")))
+        moved = spread_join(live, entries.filter("next >= 0").select("r", "next", "rank", "c"), ["r", "next"], ["uid", "q"])
+        state = moved.select("uid", "q", F.col("rank").alias("r"), (F.col("c") > 1).alias("alive"))
+        state = state.unionByName(entries.filter("next < 0").select("uid", "q", F.col("rank").alias("r"), F.lit(False).alias("alive")))
+        state = state.unionByName(ranked.filter("busy and not alive").select("uid", "q", "r", "alive"))
+        old, k = (entries,), k + 1
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def common_prefixes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of leading equal entries of the rows of two matrices; -1 equals nothing."""
+    return np.logical_and.accumulate((a == b) & (a >= 0), axis=1).sum(1)
+
+
 def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(uid, start, n): runs of n lines from ``start`` that have an earlier copy.
 
     ``lines`` holds (uid, k, q, words, h1, h2): the document and its order key,
-    the line's number, its words and its 128-bit id.
+    the line's number, its words (one at least) and its 128-bit id.
     """
-    ids = lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
-    ids = number_in_order(ids, ["h1", "h2"], "r")
-    here = lines.join(ids, ["h1", "h2"]).select("uid", "k", "q", "words", "r")
+    depth = min_words
+    ids = lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1")
+    ids = number_in_order(ids, ["h1", "h2"], "r", "c").select("h1", "h2", "r")
+    here = spread_join(lines, ids, ["h1", "h2"], ["uid", "q"]).select("uid", "k", "q", "words", "r")
 
     def runs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        uid, q, words = (t.column(c).to_numpy() for c in ("uid", "q", "words"))
+        uid, q, r, words = (t.column(c).to_numpy() for c in ("uid", "q", "r", "words"))
         new = np.r_[True, (uid[1:] != uid[:-1]) | (q[1:] != q[:-1] + 1)]
-        lengths = shortest_runs(words, np.cumsum(new), min_words)
-        yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("uid", "k", "q", "r")), *(pa.array(x, pa.int32()) for x in lengths)], ["uid", "k", "q", "r", "ahead", "low", "high"])
-
-    names = "uid long, k long, q int, r long, ahead int, low int, high int"
-    state = here.repartition("uid").sortWithinPartitions("uid", "q").mapInArrow(by_document(runs), names)
-    state = cut(state)
-    deepest = state.agg(F.greatest(F.max("ahead"), F.max("high"))).first()[0] or 0
-    found = None
-    k = 0
-    while 1 << k <= deepest:
-        span = 1 << k
+        stretch = np.cumsum(new)
+        lengths = shortest_runs(words, stretch, min_words)
+        last = np.searchsorted(stretch, stretch, "right")
+        n = np.minimum(last - np.arange(len(q)), depth)
+        at = np.r_[0, np.cumsum(n)]
+        flat = r[np.arange(at[-1]) - np.repeat(at[:-1] - np.arange(len(q)), n)]
+        ahead = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("uid", "k", "q", "r")), *(pa.array(x, pa.int32()) for x in lengths), ahead], ["uid", "k", "q", "r", "ahead", "low", "high", "lines"])
 
-        def step(t: pa.Table, k=k, span=span) -> Iterator[pa.RecordBatch]:
-            uid, q, r, ahead, low, high = (t.column(c).to_numpy() for c in ("uid", "q", "r", "ahead", "low", "high"))
-            # Positions sort by (uid, q); number documents to look positions up by one key.
-            doc = np.cumsum(np.r_[False, uid[1:] != uid[:-1]]).astype(np.int64)
-            key = (doc << 32) + q
+    names = "uid long, k long, q int, r long, ahead int, low int, high int, lines array<long>"
+    state = cut(here.repartition("uid").sortWithinPartitions("uid", "q").mapInArrow(by_document(runs), names))
+    order = suffix_ranks(state.select("uid", "q", "r"))
+    array = state.drop("r").join(order, ["uid", "q"]).repartitionByRange("r").sortWithinPartitions("r").withColumn("part", F.spark_partition_id())
+    array = cut(array.select("uid", "k", "q", "r", "ahead", "low", "high", "lines", "part"))
+
+    def matrix(b: pa.RecordBatch) -> np.ndarray:
+        col = b.column("lines")
+        n, x = col.value_lengths().to_numpy(), np.full((b.num_rows, depth), -1, np.int64)
+        x[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = col.flatten().to_numpy()
+        return x
+
+    def ends(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition's first and last suffix, and how many neighbours in it share fewer than 1, 2, ... lines."""
+        first = last = part = None
+        breaks = np.zeros(depth, np.int64)
+        for b in it:
+            if b.num_rows:
+                x = matrix(b)
+                first, part = (x[0], b.column("part")[0].as_py()) if first is None else (first, part)
+                x = x if last is None else np.vstack([last, x])
+                breaks += (common_prefixes(x[:-1], x[1:])[:, None] < np.arange(1, depth + 1)).sum(0)
+                last = x[-1:]
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([v.tolist()], pa.list_(pa.int64())) for v in (first, last[0], breaks))], ["part", "first", "last", "breaks"])
+
+    found = sorted(array.mapInArrow(ends, "part int, first array<long>, last array<long>, breaks array<long>").collect())  # one row a partition
+    base, at, before = {}, np.zeros(depth, np.int64), None
+    for part, first, last, breaks in found:
+        if before is not None:
+            at = at + (common_prefixes(np.array([before]), np.array([first]))[0] < np.arange(1, depth + 1))
+        base[part] = at
+        at, before = at + np.array(breaks), last
+
+    def intervals(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shortest runs at each suffix, with the number of their interval at their depth."""
+        last = at = None
+        for b in it:
+            if not b.num_rows:
+                continue
+            x = matrix(b)
+            broken = np.zeros((len(x), depth), np.int64)
+            y = x if last is None else np.vstack([last, x])
+            broken[len(x) - len(y) + 1 :] = common_prefixes(y[:-1], y[1:])[:, None] < np.arange(1, depth + 1)
+            at = base[b.column("part")[0].as_py()] if at is None else at
+            number = at + np.cumsum(broken, axis=0)
+            last, at = x[-1:], number[-1]
+            ahead, low, high = (b.column(c).to_numpy() for c in ("ahead", "low", "high"))
+            many = np.maximum(high - low + 1, 0)
+            row = np.repeat(np.arange(len(x)), many)
+            n = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            own = np.flatnonzero((ahead > 0) & ((ahead < low) | (ahead > high)))
+            row, n = np.r_[row, own], np.r_[n, ahead[own]]
+            if len(row):
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("uid", "k", "q")), pa.array(n, pa.int32()), pa.array(number[row, n - 1])], ["uid", "k", "start", "n", "interval"])
 
-            def rank_at(where: np.ndarray) -> np.ndarray:
-                i = np.minimum(np.searchsorted(key, where), len(key) - 1)
-                return np.where(key[i] == where, r[i], -1)
-
-            # Runs of this level's lengths, from span to below twice that: two runs of span lines cover them.
-            lo, hi = np.maximum(low, span), np.minimum(high, 2 * span - 1)
-            many = np.maximum(hi - lo + 1, 0)
-            at = np.repeat(np.arange(len(q)), many)
-            n = lo[at] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-            own = np.flatnonzero((ahead >= span) & (ahead < 2 * span) & ((ahead < lo) | (ahead > hi)))
-            at, n = np.r_[at, own], np.r_[n, ahead[own]]
-            b = rank_at(key[at] + n - span)
-            at, n, b = at[b >= 0], n[b >= 0], b[b >= 0]
-            z = np.full(len(q), -1)
-            state_rows = [*(c.combine_chunks() for c in t.columns), *(pa.array(x, pa.int64()) for x in (rank_at(key + span), z, z, z))]
-            yield pa.RecordBatch.from_arrays(state_rows, [*t.column_names, "next", "n", "a", "b"])
-            if len(at):
-                c = t.take(pa.array(at)).combine_chunks()
-                rows = [*(c.column(i).combine_chunks() for i in range(c.num_columns)), *(pa.array(x, pa.int64()) for x in (np.full(len(at), -1), n, r[at], b))]
-                yield pa.RecordBatch.from_arrays(rows, [*t.column_names, "next", "n", "a", "b"])
-
-        ranked = cut(state.repartition("uid").sortWithinPartitions("uid", "q").mapInArrow(by_document(step), f"{names}, next long, n long, a long, b long"))
-        windows = ranked.filter("n > 0").select("uid", "k", F.col("q").alias("start"), F.col("n").cast("int").alias("n"), "a", "b")
-        found = windows if found is None else found.unionByName(windows)
-        k += 1
-        if 1 << k <= deepest:
-            pairs = ranked.filter("n < 0 and next >= 0").groupBy("r", "next").agg(F.count("*").alias("c")).filter("c > 1").select("r", "next")
-            ranks = number_in_order(pairs, ["r", "next"], "rank")
-            state = ranked.filter("n < 0").join(ranks, ["r", "next"]).select("uid", "k", "q", F.col("rank").alias("r"), "ahead", "low", "high")
-    if found is None:
-        return lines.sparkSession.createDataFrame([], "uid long, start int, n int")
-    found = cut(found)
+    found = cut(array.mapInArrow(intervals, "uid long, k long, start int, n int, interval long"))
+    free(state, array)
     at = F.struct("k", "uid", "start")
-    firsts = found.groupBy("n", "a", "b").agg(F.min(at).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    return found.join(firsts, ["n", "a", "b"]).filter(at > F.col("first")).select("uid", "start", "n")
+    firsts = found.groupBy("n", "interval").agg(F.min(at).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    return spread_join(found, firsts, ["n", "interval"], ["uid", "start"]).filter(at > F.col("first")).select("uid", "start", "n")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
@@ -161,8 +222,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     without deleted lines are kept byte for byte, null ones stay null; a text
     all of whose lines go becomes empty. Repeated rows are copies of one
     another. With ``counts``: n_lines and n_deleted (lines with words) follow
-    the columns, which must not have these names. Rows are never dropped.
+    the columns, which must not have these names. Rows are never dropped. Long
+    texts are read whole, other columns are kept whatever their names, and an
+    empty table gives no rows.
     """
+    no_clash(docs, ["n_lines", "n_deleted"] if counts else [])
+    docs = stable(docs)
     uid, gone = free_name(docs, "__uid"), free_name(docs, "__gone")
     base = docs.withColumn(uid, F.monotonically_increasing_id())
     parts = F.split(F.col(text_col), "\n")
