@@ -85,41 +85,31 @@ def stable(df: DataFrame) -> DataFrame:
 HOT_ROWS, HOT_KEYS, SALTS = 500, 1000, 32
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> list:
-    """Rows of ``keys`` with very many rows in ``df``, HOT_KEYS at most; counts are combined before the shuffle."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > HOT_ROWS)
-    return counts.orderBy(F.desc("__n")).limit(HOT_KEYS).select(*keys).collect()
+def hot_keys(df: DataFrame, keys: list[str]) -> list[int]:
+    """Hashes of the keys with very many rows in ``df``, HOT_KEYS at most; counts are combined before the shuffle."""
+    counts = df.groupBy(F.xxhash64(*keys).alias("__h")).agg(F.count("*").alias("__n")).filter(F.col("__n") > HOT_ROWS)
+    return [r["__h"] for r in counts.orderBy(F.desc("__n")).limit(HOT_KEYS).select("__h").collect()]
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner", hot: list | None = None, null_safe: bool = False) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner", hot: list[int] | None = None, null_safe: bool = False) -> DataFrame:
     """``left`` joined with ``right`` (few rows a key) on ``keys``; hot keys' rows are dealt to SALTS tasks by ``by``.
 
     ``left`` is counted first unless ``hot`` is given, so it should be a
-    checkpoint or cheap. Key columns come once; with ``null_safe`` null meets null.
+    checkpoint or cheap. Keys have equal names and types on both sides and come
+    once; with ``null_safe`` null meets null.
     """
-
-    def joined(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-        if not null_safe:
-            return a.join(b, on, how)
-        b = b.withColumnsRenamed({k: f"__r_{k}" for k in on})
-        cond = F.lit(True)
-        for k in on:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-        return a.join(b, cond, how).drop(*[f"__r_{k}" for k in on])
-
     hot = hot_keys(left, keys) if hot is None else hot
-    if not hot:
-        return joined(left, right, keys)
-    schema = left.select(*[F.col(k).alias(f"__h_{k}") for k in keys]).schema
-    marks = F.broadcast(left.sparkSession.createDataFrame(hot, schema).withColumn("__hot", F.lit(True)))
+    is_hot = F.xxhash64(*keys).isin(hot) if hot else F.lit(False)
+    a = left.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0))
+    b = right.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    on = [*keys, "__salt"]
+    if not null_safe:
+        return a.join(b, on, how).drop("__salt")
+    b = b.withColumnsRenamed({k: f"__r_{k}" for k in on})
     cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__h_{k}"))
-    drop = ["__hot", *[f"__h_{k}" for k in keys]]
-    a = left.join(marks, cond, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)).drop(*drop)
-    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    b = right.join(marks, cond, "left").withColumn("__salt", F.explode(salts)).drop(*drop)
-    return joined(a, b, [*keys, "__salt"]).drop("__salt")
+    for k in on:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return a.join(b, cond, how).drop("__salt", *[f"__r_{k}" for k in on])
 
 
 def number_in_order(rows: DataFrame, keys: list[str], out: str, weight: str | None = None) -> DataFrame:

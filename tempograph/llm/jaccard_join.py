@@ -401,9 +401,8 @@ class _Join:
     def _candidates(self, pairs: DataFrame, info: DataFrame) -> DataFrame:
         """Pairs (a, b) that sizes and sketches allow, with ``same``."""
         hot = hot_keys(pairs, ["a"])
-        for side, other in (("a", "b"), ("b", "a")):
-            of = info.select(F.col("uid").alias(side), *[F.col(c).alias(c + side) for c in ("n", "h1", "h2", "sketch")])
-            pairs = spread_join(pairs, of, [side], [other], hot=hot if side == "a" else [])
+        of_a, of_b = (info.select(F.col("uid").alias(side), *[F.col(c).alias(c + side) for c in ("n", "h1", "h2", "sketch")]) for side in ("a", "b"))
+        pairs = spread_join(pairs, of_a, ["a"], ["b"], hot=hot).join(of_b, "b")
         same = (F.col("na") == F.col("nb")) & (F.col("h1a") == F.col("h1b")) & (F.col("h2a") == F.col("h2b"))
         near = (100 + self.percent) * _apart(F.col("sketcha"), F.col("sketchb")) <= (100 - self.percent) * (F.col("na") + F.col("nb"))
         return pairs.filter(_sized(F.col("na"), F.col("nb"), self.percent)).filter(same | near).select("a", "b", same.alias("same"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import WORD, cut, free, free_name, no_clash, number_in_order, spread_join, stable
+from tempograph.llm.common import HOT_KEYS, HOT_ROWS, WORD, cut, free, free_name, no_clash, number_in_order, spread_join, stable
 
 MIN_WORDS = 10
 
@@ -73,6 +73,57 @@ def shortest_runs(words: np.ndarray, run: np.ndarray, least: int) -> tuple[np.nd
     return ahead, low, high
 
 
+def ranks_in_class(entries: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Entries (r, next, uid, q, c) with ``rank``: r, and the sum of c over the class's entries before in order.
+
+    Sorted by range; a class may lie in many partitions, whose sums meet on the
+    driver (one row a partition). Also the checkpoint behind; None without entries.
+    """
+    order = ["r", "next", "uid", "q"]
+    parts = cut(entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+
+    def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = first = last = None
+        total = tail = 0  # of all, and of the last class
+        for b in it:
+            if b.num_rows:
+                r, c = b.column("r").to_numpy(), b.column("c").to_numpy()
+                part, first = (b.column("part")[0].as_py(), int(r[0])) if part is None else (part, first)
+                mine = int(c[r == r[-1]].sum())
+                tail = mine + (tail if last == r[-1] else 0)
+                total, last = total + int(c.sum()), int(r[-1])
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, first, last, total, tail)], ["part", "first", "last", "total", "tail"])
+
+    found = sorted(parts.mapInArrow(sums, "part long, first long, last long, total long, tail long").collect())  # one row a partition
+    if not found:
+        free(parts)
+        return None
+    carry, class_, held = {}, None, 0  # what of a partition's first class lies before it
+    for part, first, last, total, tail in found:
+        carry[part] = held if first == class_ else 0
+        held = tail + (carry[part] if first == last else 0)
+        class_ = last
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, 0
+        for b in it:
+            if not b.num_rows:
+                continue
+            r, c = b.column("r").to_numpy(), b.column("c").to_numpy()
+            if last is None:
+                last, held = int(r[0]), carry[b.column("part")[0].as_py()]
+            before = np.cumsum(c) - c
+            at = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            inside = before - np.repeat(before[at], np.diff(np.r_[at, len(r)]))
+            inside[r == last] += held
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(r + inside)], ["r", "next", "uid", "q", "c", "rank"])
+            held = int(inside[-1] + c[-1])
+            last = int(r[-1])
+
+    return parts.mapInArrow(run, "r long, next long, uid long, q int, c long, rank long"), parts
+
+
 def suffix_ranks(start: DataFrame) -> DataFrame:
     """(uid, q, r): each suffix's place in the suffix array, by prefix doubling.
 
@@ -81,7 +132,7 @@ def suffix_ranks(start: DataFrame) -> DataFrame:
     or more; a missing q ends the suffix, and no two ends are equal.
     """
     state = start.select("uid", "q", "r", F.lit(True).alias("alive"))
-    done, old, k = [], None, 0
+    done, old, k = [], (), 0
     while True:
         span = 1 << k
 
@@ -98,23 +149,23 @@ def suffix_ranks(start: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["uid", "q", "r", "alive", "next", "busy"])
 
         ranked = cut(state.repartition("uid").sortWithinPartitions("uid", "q").mapInArrow(by_document(step), "uid long, q int, r long, alive boolean, next long, busy boolean"))
-        if old is not None:
-            free(*old)
+        free(*old)
         done.append(ranked.filter("not busy").select("uid", "q", "r"))
         live = ranked.filter("alive and next >= 0")
-        if not ranked.filter("alive").limit(1).count():
-            break
         # Distinct pairs with their counts; a suffix that ends here is alone and comes first in its class.
         pairs = live.groupBy("r", "next").agg(F.count("*").alias("c")).select("r", "next", F.lit(0).cast("long").alias("uid"), F.lit(0).alias("q"), "c")
         ends = ranked.filter("alive and next < 0").select("r", "next", "uid", "q", F.lit(1).cast("long").alias("c"))
-        entries = number_in_order(pairs.unionByName(ends), ["r", "next", "uid", "q"], "before", "c")
-        first = entries.groupBy("r").agg(F.min("before").alias("first"))
-        entries = cut(spread_join(entries, first, ["r"], ["next", "uid", "q"]).select("r", "next", "uid", "q", "c", (F.col("r") + F.col("before") - F.col("first")).alias("rank")))
-        moved = spread_join(live, entries.filter("next >= 0").select("r", "next", "rank", "c"), ["r", "next"], ["uid", "q"])
+        found = ranks_in_class(pairs.unionByName(ends))
+        if found is None:
+            break
+        entries, kept = found
+        often = kept.filter(F.col("c") > HOT_ROWS).orderBy(F.desc("c")).limit(HOT_KEYS).select(F.xxhash64("r", "next").alias("h"))
+        hot = [x["h"] for x in often.collect()]  # HOT_KEYS at most
+        moved = spread_join(live, entries.filter("next >= 0").select("r", "next", "rank", "c"), ["r", "next"], ["uid", "q"], hot=hot)
         state = moved.select("uid", "q", F.col("rank").alias("r"), (F.col("c") > 1).alias("alive"))
         state = state.unionByName(entries.filter("next < 0").select("uid", "q", F.col("rank").alias("r"), F.lit(False).alias("alive")))
         state = state.unionByName(ranked.filter("busy and not alive").select("uid", "q", "r", "alive"))
-        old, k = (entries,), k + 1
+        old, k = (kept,), k + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
