@@ -1,4 +1,9 @@
-"""Run names that encode a configuration, as column expressions."""
+"""Run names that encode a configuration, as column expressions.
+
+A name is read once into sections (between colons) and words (between blanks,
+commas and brackets); everything else looks a word up by its key, as in K=2, or
+by the word before it, as in Seed 42.
+"""
 
 from __future__ import annotations
 
@@ -6,69 +11,118 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = ("family", "family_tag", "lam", "k", "dir", "topo", "seed", "variation")
+#: Sections that wrap another name, models of baselines (text in the name, family), topology words.
+WRAPPERS = ("Best WF", "WF Champion")
+MODELS = (("XGB", "XGBoost"), ("RandomForest", "RandomForest"), ("IsolationForest", "IsolationForest"), ("Logistic Regression", "LogisticRegression"), ("GCN", "GCN"))
+TOPOLOGY = ("none", "early", "late")
 
 
-def _get(s: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(s, pattern, group), F.lit(""))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(text, " *= *", "="), "[ ,()]"), lambda w: w != "")
 
 
-def parse_name(name: Column) -> Column:
-    """Struct of FIELDS; the first matching kind of name wins, absent parts are null."""
-    s = F.trim(name)
-    positional = r"(?i)\b{}\s+([123])\s+([TF])\s+(early|late|None)"
-    decay, ipca = s.startswith("Ablation: Decay"), s.startswith("Ablation: IPCA")
-    sweep = s.rlike(r"(?:^|(?:Best WF|WF Champion):\s*)Sweep\s+\d+:")
-    base, grid = s.startswith("Baseline:"), s.contains("Grid:")
-    on_xgb, on_nomp, on_grid, on_sweep = (s.contains(x) for x in ("on XGBoost", "on NoMP Grid:", "on Grid:", "on Sweep "))
-    body = s.rlike(positional.format("on") + r"\s+(Base|PCA)") & decay & ~on_xgb & ~on_nomp & ~on_grid & ~on_sweep
-    body_i = s.rlike(positional.format("IPCA").replace(r"\b", "")) & ipca & ~decay
-    on, ip = positional.format("on"), positional.format("IPCA").replace(r"\b", "")
-    none = F.lit(None)
-    ek, ed, et = _get(s, r"\bK\s*=\s*([0-9]+)"), F.upper(_get(s, r"(?i)\bDir\s*=\s*([TF])")), _get(s, r"(?i)\bTopo\s*=\s*(None|early|late)")
-
-    def pick(explicit: Column, group: int) -> Column:
-        c = F.when(body, _get(s, on, group)).when(body_i, _get(s, ip, group))
-        return c.when((decay & ~on_xgb) | (ipca & ~decay) | (~decay & ~ipca & ~base & (sweep | grid)), explicit)
+def _keyed(words: Column, key: str) -> Column:
+    """Value of the first word ``key=value``, whatever the key's case."""
+    hit = F.filter(words, lambda w: F.lower(w).startswith(f"{key}="))
+    return F.substring_index(F.get(hit, F.lit(0)), "=", -1)
+
+
+def _after(words: Column, word: str) -> Column:
+    """The word after ``word``."""
+    at = F.array_position(words, word)
+    return F.when(at > 0, F.get(words, at.cast("int")))
+
+
+def _digits(c: Column) -> Column:
+    return F.when(c.rlike("^[0-9]+$"), c).cast("int")
+
+
+def _one_of(c: Column, allowed: tuple[str, ...]) -> Column:
+    return F.when(F.lower(c).isin(*allowed), c)
+
+
+def _triple(words: Column) -> Column:
+    """Struct (k, dir, topo, next) of the first hop count, direction and topology that follow one another."""
+    at = F.sequence(F.lit(0), F.size(words) - 1)
+    four = F.transform(at, lambda i: F.struct(_digits(F.get(words, i)).alias("k"), F.upper(F.get(words, i + 1)).alias("dir"), F.get(words, i + 2).alias("topo"), F.get(words, i + 3).alias("next")))
+    good = F.filter(four, lambda x: x["k"].between(1, 3) & x["dir"].isin("T", "F") & F.lower(x["topo"]).isin(*TOPOLOGY))
+    return F.get(good, F.lit(0))
 
+
+def _read(x: Column) -> Column:
+    """Struct of FIELDS from a struct (name, sections, words)."""
+    name, words, sections = x["name"], x["words"], x["sections"]
+    inner = F.when(F.get(sections, F.lit(0)).isin(*WRAPPERS), F.get(sections, F.lit(1))).otherwise(F.get(sections, F.lit(0)))
+    ablation, baseline, ensemble = (F.get(sections, F.lit(0)) == k for k in ("Ablation", "Baseline", "Ensemble"))
+    body = F.get(sections, F.lit(1))
+    decay, ipca = ablation & body.startswith("Decay"), ablation & body.startswith("IPCA")
+    subject = F.when(decay, F.substring_index(body, " on ", -1))
+    on_trees, on_bare, on_grid, on_sweep = subject.startswith("XGBoost"), subject == "NoMP Grid", subject == "Grid", subject.startswith("Sweep ")
+    sweep = ~ablation & inner.rlike("^Sweep [0-9]+$")
+    bare, grid = ~ablation & F.array_contains(sections, "NoMP Grid"), ~ablation & F.exists(sections, lambda s: s.endswith("Grid"))
+    three = _triple(words)
+    placed = F.when(decay & ~on_trees & ~on_bare & ~on_grid & ~on_sweep & three["next"].isin("Base", "PCA") | ipca, three)
+    keyed = decay & ~on_trees | ipca | sweep | grid & ~baseline
+    model = F.lit(None)
+    for text, family in reversed(MODELS):
+        model = F.when(name.contains(text), family).otherwise(model)
     family = (
-        F.when(decay & on_xgb, "XGBoost").when(decay & on_nomp, "NoMP Grid").when(decay & on_grid, "Grid").when(decay, "SGC").when(ipca, "IPCA")
-        .when(base & s.contains("XGB"), "XGBoost").when(base & s.contains("RandomForest"), "RandomForest").when(base & s.contains("IsolationForest"), "IsolationForest")
-        .when(base & s.contains("Logistic Regression"), "LogisticRegression").when(base & s.contains("GCN"), "GCN").when(base, none)
-        .when(sweep & s.contains("MLP Head"), "SGC+MLP").when(sweep, "SGC").when(grid, none).when(s.startswith("Ensemble:"), "Ensemble")
+        F.when(on_trees, "XGBoost").when(on_bare, "NoMP Grid").when(on_grid, "Grid").when(decay, "SGC").when(ipca, "IPCA").when(baseline, model)
+        .when(sweep, F.when(name.contains("MLP Head"), "SGC+MLP").otherwise("SGC")).when(ensemble, "Ensemble")
     )
-    tag = F.when(decay | ipca, "Ablation").when(base, "Baseline").when(sweep, none).when(s.contains("NoMP Grid:"), "NoMP Grid").when(grid, "Grid").when(s.startswith("Ensemble:"), "Ensemble")
-    direction = F.upper(pick(ed, 2))
-    direction = F.when(~(sweep & ~decay & ~ipca) & ~(decay & on_sweep & ~on_xgb & ~on_nomp & ~on_grid), direction == "T")
+    tag = F.when(decay | ipca, "Ablation").when(baseline, "Baseline").when(sweep, F.lit(None)).when(bare, "NoMP Grid").when(grid, "Grid").when(ensemble, "Ensemble")
+    way = F.coalesce(placed["dir"], F.when(keyed & ~sweep & ~F.coalesce(on_sweep, F.lit(False)), _one_of(F.upper(_keyed(words, "dir")), ("t", "f"))))
     return F.struct(
-        family.alias("family"), tag.alias("family_tag"), F.try_to_number(_get(s, r"λ\s*=\s*([0-9]*\.?[0-9]+)"), F.lit("9999.999999")).cast("double").alias("lam"),
-        pick(ek, 1).cast("int").alias("k"), direction.alias("dir"), pick(et, 3).alias("topo"),
-        _get(s, r"Seed\s+([0-9]+)").cast("int").alias("seed"),
-        F.when(body, _get(s, on + r"\s+(Base|PCA)", 4)).otherwise(_get(s, r"\bVar\s+([A-Za-z0-9]+)")).alias("variation"),
+        family.alias("family"), tag.alias("family_tag"), _number(_keyed(words, "λ")).alias("lam"),
+        F.coalesce(placed["k"], F.when(keyed, _digits(_keyed(words, "k")))).alias("k"), (way == "T").alias("dir"),
+        F.coalesce(placed["topo"], F.when(keyed, _one_of(_keyed(words, "topo"), TOPOLOGY))).alias("topo"),
+        _digits(_after(words, "Seed")).alias("seed"),
+        F.coalesce(F.when(decay, placed["next"]), _after(words, "Var")).alias("variation"),
     )
 
 
+def _number(c: Column) -> Column:
+    return F.when(c.rlike("^[0-9]*[.]?[0-9]+$"), c).cast("double")
+
+
+def parse_name(name: Column) -> Column:
+    """Struct of FIELDS; absent parts are null. The name is split once."""
+    sections = F.transform(F.split(name, ":"), lambda s: F.trim(s))
+    x = F.struct(name.alias("name"), sections.alias("sections"), _words(name).alias("words"))
+    return F.transform(F.array(x), _read)[0]
+
+
 def config_id(name: Column) -> Column:
-    """The name without its (Seed n, Var x) or (Var x) part."""
-    return F.trim(F.regexp_replace(name, r"\s*\((?:Seed\s+\d+,\s*)?Var\s+[^)]+\)", ""))
+    """The name without the bracket that holds its variation (and seed)."""
+    return F.trim(F.regexp_replace(name, r" *\([^()]*\bVar [^()]*\)", ""))
+
+
+def without_seed(name: Column) -> Column:
+    """The name up to a bracket that begins with its seed; other brackets stay."""
+    at = F.locate(" (Seed ", name)
+    return F.when(at > 0, F.substring(name, F.lit(1), at - 1)).otherwise(name)
 
 
 def canonical_grid(name: Column, variation: Column) -> Column:
     """Grid names carry their variation, never their seed; other names give null."""
-    seeded = F.regexp_replace(name, r"^(Grid: .*?) \(Seed \d+, Var ([^)]+)\)$", "$1 (Var $2)")
-    done = seeded.rlike(r"^Grid: .*? \(Var [^)]+\)$")
-    return F.when(name.startswith("Grid:"), F.when(done, seeded).otherwise(F.concat(name, F.lit(" (Var "), F.coalesce(variation, F.lit("Base")), F.lit(")"))))
+    own = F.regexp_extract(name, r"\bVar ([^()]*)\)", 1)
+    return F.when(name.startswith("Grid:"), F.concat(config_id(name), F.lit(" (Var "), F.coalesce(F.nullif(own, F.lit("")), variation, F.lit("Base")), F.lit(")")))
 
 
 def grid_target(canonical: Column) -> Column:
     """Struct (base, k, dir, topo, variation) of a canonical grid name, null if it is none."""
-    p = r"^(Grid: K=(\d+), Dir=(T|F), Topo=(None|late|early)) \(Var ([^)]+)\)$"
-    g = lambda i: F.regexp_extract(canonical, p, i)
-    return F.when(canonical.rlike(p), F.struct(g(1).alias("base"), g(2).cast("int").alias("k"), (g(3) == "T").alias("dir"), g(4).alias("topo"), g(5).alias("variation")))
+
+    def read(w: Column) -> Column:
+        k, way, topo, variation = _digits(_keyed(w, "k")), _keyed(w, "dir"), _keyed(w, "topo"), _after(w, "Var")
+        whole = k.isNotNull() & way.isin("T", "F") & F.lower(topo).isin(*TOPOLOGY) & variation.isNotNull() & canonical.startswith("Grid:")
+        return F.when(whole, F.struct(config_id(canonical).alias("base"), k.alias("k"), (way == "T").alias("dir"), topo.alias("topo"), variation.alias("variation")))
+
+    return F.transform(F.array(_words(canonical)), read)[0]
 
 
 def safe_name(name: Column) -> Column:
     """Characters other than letters of any alphabet, digits, _ and - become _."""
-    return F.regexp_replace(name, r"(?U)[^\w\-]", "_")
+    return F.regexp_replace(name, r"[^\p{L}\p{N}_-]", "_")
 
 
 def with_parsed(df: DataFrame, name_col: str, explicit: dict[str, str] | None = None) -> DataFrame:
