@@ -86,3 +86,20 @@ def macro_pooled(p: DataFrame, threshold: float = 0.5) -> DataFrame:
     macro = step.agg(F.avg("f1").alias("macro_f1"), F.avg(F.round("ap", 4)).alias("macro_ap"))
     pooled = confusion(p.withColumn("g", F.lit(1)), ["g"], threshold).select(F.col("f1").alias("pooled_f1"))
     return macro.join(F.broadcast(pooled))
+
+
+def regime_metrics(p: DataFrame, threshold: float = 0.5, low: int = LOW_SUPPORT) -> DataFrame:
+    """Precision, recall, F1 and average precision for each regime and over all, with positives and a low-support flag; macro_f1 is the mean of rounded step F1."""
+    q = p.filter("label <> -1").withColumn("regime", regime())
+    both = q.unionByName(q.withColumn("regime", F.lit("all")))
+    pooled = confusion(both, ["regime"], threshold).withColumn("n_pos", F.col("tp") + F.col("fn"))
+    step = confusion(q, ["tau"], threshold).select(regime().alias("regime"), F.round("f1", 4).alias("f1"))
+    macro = step.unionByName(step.withColumn("regime", F.lit("all"))).groupBy("regime").agg(F.avg("f1").alias("macro_f1"))
+    out = pooled.join(average_precision(both, ["regime"]), "regime").join(macro, "regime")
+    return out.select("regime", "n", "n_pos", "precision", "recall", "f1", "ap", "macro_f1", (F.col("n_pos") < low).alias("low_support"))
+
+
+def static_macro(p: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Mean step F1 over the steps that have both classes, and how many those are."""
+    two = p.filter("label <> -1").groupBy("tau").agg(F.countDistinct("label").alias("kinds")).filter("kinds = 2")
+    return confusion(p, ["tau"], threshold).join(two, "tau").agg(F.avg("f1").alias("macro_f1"), F.count("*").alias("steps"))

@@ -187,3 +187,39 @@ def attention_pool(x: DataFrame, score: str, width: int) -> DataFrame:
     return y.groupBy("tau").agg(F.array(*[F.sum(F.col("a") * F.col("features")[i]) / F.sum("a") for i in range(width)]).alias("pooled"))
 
 
+def inject_topology(s: DataFrame, x: DataFrame, topo: DataFrame, mode: str, k: int, width: int, topo_width: int) -> DataFrame:
+    """Propagated features with topology columns put in before propagation (early), after it (late) or not at all (none).
+
+    ``topo`` holds (tau, txid, topo), an array of ``topo_width``; nodes without it have zeros.
+    """
+    if mode not in ("early", "late", "none"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "none":
+        return propagate(s, x, k, width)
+    zeros = F.array(*[F.lit(0.0)] * topo_width)
+
+    def put(y: DataFrame) -> DataFrame:
+        return y.join(topo, ["tau", "txid"], "left").select("tau", "txid", F.concat("features", F.coalesce("topo", zeros)).alias("features"))
+
+    return propagate(s, put(x), k, width + topo_width) if mode == "early" else put(propagate(s, x, k, width))
+
+
+def degree_histogram(d: DataFrame, col: str = "out_degree", most: int = 12) -> DataFrame:
+    """Share of each label's nodes by degree, degrees above ``most`` in one bin."""
+    c = d.groupBy("label", F.least(F.col(col), F.lit(most)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return c.withColumn("density", F.col("n") / F.sum("n").over(Window.partitionBy("label")))
+
+
+class LeakError(ValueError):
+    """A feature list holds the id or the step."""
+
+
+def feature_columns(columns: list[str], keys: tuple[str, ...] = ("txid", "tau", "ts", "label")) -> list[str]:
+    """Columns that a model may see: all but keys, steps, times and labels, in order."""
+    return [c for c in columns if c.lower() not in keys]
+
+
+def check_features(chosen: list[str], keys: tuple[str, ...] = ("txid", "tau", "ts", "label")) -> None:
+    bad = [c for c in chosen if c.lower() in keys]
+    if bad:
+        raise LeakError(f"{bad[0]} must not be a feature")

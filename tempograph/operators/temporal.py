@@ -87,3 +87,21 @@ def decay_weights(rows: DataFrame, lam: float = 0.25) -> DataFrame:
     j = j.withColumn("raw", raw)
     m = j.agg(F.avg("raw").alias("mean"))
     return j.join(F.broadcast(m)).select("tau", "txid", "label", (F.col("raw") / F.col("mean")).alias("weight"))
+
+
+def consecutive_sides(rows: DataFrame) -> DataFrame:
+    """Each row as side 1 of its own step and side 0 of the next, for steps that have both sides."""
+    x = rows.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    x = x.withColumn("tau", F.when(F.col("side") == 1, F.col("tau")).otherwise(F.col("tau") + 1))
+    both = rows.select("tau").distinct()
+    both = both.join(both.select((F.col("tau") + 1).alias("tau")), "tau")
+    return x.join(F.broadcast(both), "tau")  # one row a step
+
+
+def onestep_sets(steps: DataFrame, first: int) -> DataFrame:
+    """(tau, step, role): for each step from ``first`` the steps its state is calibrated on (up to tau - 2) and inferred on (also tau - 1)."""
+    t = steps.select("tau").distinct()
+    pairs = t.filter(F.col("tau") >= first).select("tau", F.explode(F.sequence(F.lit(1), F.col("tau") - 1)).alias("step"))
+    pairs = pairs.join(t.select(F.col("tau").alias("step")), "step", "left_semi")
+    roles = F.when(F.col("step") <= F.col("tau") - 2, F.array(F.lit("calibrate"), F.lit("infer"))).otherwise(F.array(F.lit("infer")))
+    return pairs.select("tau", "step", F.explode(roles).alias("role"))

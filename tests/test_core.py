@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tempograph.functions import names
 from tempograph.operators import evaluate, graph, stats, temporal
+from tempograph.plans import reports
 from tempograph.plans.registry import ORACLES, QUERIES
 from tempograph.sources import graph as g
 
@@ -91,7 +92,7 @@ def test_assignment():
     assert math.isclose(stats.assignment_cost(c), min(sum(c[i, p[i]] for i in range(5)) for p in itertools.permutations(range(5))))
 
 
-@pytest.mark.parametrize("name", ["snapshot_topology", "degree_in_out", "homophily_by_step", "pagerank_fixed20", "clustering_coeff", "average_precision_by_step", "calibrated_threshold", "champion_topn_union"])
+@pytest.mark.parametrize("name", ["snapshot_topology", "degree_in_out", "homophily_by_step", "pagerank_fixed20", "clustering_coeff", "average_precision_by_step", "calibrated_threshold", "champion_topn_union", "parse_names", "topo_early", "topo_late", "drift_rank", "drift_alarm", "regime_metrics_full", "class_weights_walk_forward", "onestep_state_sets", "fallback_lookup", "separability_verdict"])
 def test_against_sql(spark, name):
     c = duckdb.connect()
     for t in TABLES:
@@ -193,3 +194,19 @@ def test_moments_hold_the_covariance(spark):
         x = v[: 10 * r["tau"]]
         got = [[r[f"q{i}"] if i == j else r[f"p{min(i, j)}_{max(i, j)}"] for j in range(4)] for i in range(4)]
         assert r["n"] == len(x) and np.allclose(got, x.T @ x, atol=1e-4) and np.allclose([r[f"s{i}"] for i in range(4)], x.sum(0), atol=1e-4)
+
+
+def test_injection_and_leak_guard(spark):
+    x = spark.createDataFrame([(1, 1, [2.0]), (1, 2, [4.0])], "tau int, txid long, features array<double>")
+    s = spark.createDataFrame([(1, r, c, 0.5) for r in (1, 2) for c in (1, 2)], "tau int, r long, c long, w double")
+    topo = spark.createDataFrame([(1, 1, [10.0])], "tau int, txid long, topo array<double>")
+    got = lambda mode: {r["txid"]: r["features"] for r in graph.inject_topology(s, x, topo, mode, 1, 1, 1).collect()}
+    assert got("early") == {1: [3.0, 5.0], 2: [3.0, 5.0]} and got("late") == {1: [3.0, 10.0], 2: [3.0, 0.0]} and got("none") == {1: [3.0], 2: [3.0]}
+    assert graph.feature_columns(["txid", "ts", "a", "Tau", "b"]) == ["a", "b"]
+    with pytest.raises(graph.LeakError):
+        graph.check_features(["a", "ts"])
+
+
+def test_every_report_has_a_twin():
+    made = [n for n, f in QUERIES.items() if f.__module__ == reports.__name__]
+    assert len(made) > 25 and set(made) <= set(ORACLES)
