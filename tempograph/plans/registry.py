@@ -71,7 +71,7 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("side", (F.col("vec_id") % 2).cast("int"))
 
 
-POINTS = "pts AS (SELECT vec_id, CAST(label AS INT) AS label, list_transform(embedding, lambda x: x::DOUBLE) AS v, CAST(vec_id % 2 AS INT) AS side FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k <= 60)"
+POINTS = "pts AS (SELECT vec_id, CAST(label AS INT) AS label, list_transform(embedding, lambda x: x::DOUBLE) AS v, CAST(vec_id % 2 AS INT) AS side FROM embeddings)"
 
 
 @query(W + """, c AS (SELECT tau, count(*) n, count(*) FILTER (label = 1) i, count(*) FILTER (label = 0) c, count(*) FILTER (label = -1) u FROM nodes GROUP BY tau),
@@ -468,7 +468,9 @@ def twonn_dim(spark, d):
     return stats.two_nn(_points(spark, d), "label").withColumn("dimension", F.round("dimension", 5))
 
 
-@query(f"WITH {POINTS}, r AS (SELECT label, side, v[1] AS x, row_number() OVER (PARTITION BY label, side ORDER BY v[1], vec_id) AS r FROM pts) SELECT a.label, round(avg(abs(a.x - b.x)), 6) AS wasserstein FROM r a JOIN r b ON a.label = b.label AND a.r = b.r AND a.side = 0 AND b.side = 1 GROUP BY a.label")
+@query(f"""WITH {POINTS}, n AS (SELECT label, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM pts GROUP BY label),
+e AS (SELECT label, v[1] AS x, sum(CASE WHEN side = 0 THEN 1.0::DOUBLE / a ELSE -1.0::DOUBLE / b END) AS w FROM pts JOIN n USING (label) GROUP BY label, v[1]),
+c AS (SELECT label, x, sum(w) OVER k AS f, lead(x) OVER k AS next FROM e WINDOW k AS (PARTITION BY label ORDER BY x)) SELECT label, round(coalesce(sum(abs(f) * (next - x)), 0), 6) AS wasserstein FROM c GROUP BY label""")
 def wasserstein_1d(spark, d):
     return stats.wasserstein_1d(_points(spark, d).withColumn("x", F.col("v")[0]), "label", "x").withColumn("wasserstein", F.round("wasserstein", 6))
 
