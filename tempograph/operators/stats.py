@@ -198,11 +198,11 @@ def permutation_test(points: DataFrame, by: str, gamma: float, n_perm: int = 100
 
 
 def robust_z(df: DataFrame, value: str) -> DataFrame:
-    """(v - median) / (1.4826 MAD)."""
+    """(v - median) / (1.4826 MAD); infinite where the MAD is 0."""
     m = df.agg(F.median(value).alias("med"))
     j = df.join(F.broadcast(m))
     mad = j.agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
-    return j.join(F.broadcast(mad)).withColumn("z", F.try_divide(F.col(value) - F.col("med"), 1.4826 * F.col("mad"))).drop("med", "mad")
+    return j.join(F.broadcast(mad)).withColumn("z", F.when(F.col("mad") == 0, float("inf")).otherwise(F.try_divide(F.col(value) - F.col("med"), 1.4826 * F.col("mad")))).drop("med", "mad")
 
 
 def two_nn(points: DataFrame, by: str, frac: float = 0.9, rows: int = BLOCK_ROWS) -> DataFrame:

@@ -210,3 +210,8 @@ def test_injection_and_leak_guard(spark):
 def test_every_report_has_a_twin():
     made = [n for n, f in QUERIES.items() if f.__module__ == reports.__name__]
     assert len(made) > 25 and set(made) <= set(ORACLES)
+
+
+def test_robust_z_without_spread(spark):
+    z = stats.robust_z(spark.createDataFrame([(1, 2.0), (2, 2.0), (3, 2.0)], "tau int, v double"), "v").collect()
+    assert all(r["z"] == math.inf for r in z)
