@@ -98,6 +98,16 @@ def symmetric_operator(n: DataFrame, e: DataFrame) -> DataFrame:
     return a.select("tau", "r", "c", (1 / F.sqrt(F.col("d") * F.col("dc").cast("double"))).alias("w"))
 
 
+def summed_operator(n: DataFrame, e: DataFrame) -> DataFrame:
+    """(tau, r, c, w): D^-1/2 (max(A, A') + I) D^-1/2 where repeated edges add up and a node's own loop comes on top of I."""
+    m = e.groupBy("tau", F.col("src").alias("r"), F.col("dst").alias("c")).agg(F.count("*").alias("m"))
+    m = m.unionAll(m.select("tau", F.col("c").alias("r"), F.col("r").alias("c"), "m")).groupBy("tau", "r", "c").agg(F.max("m").alias("m"))
+    a = m.unionAll(n.select("tau", "txid", "txid", F.lit(1).cast("long"))).groupBy("tau", "r", "c").agg(F.sum("m").alias("m"))
+    d = a.groupBy("tau", "r").agg(F.sum("m").alias("d"))
+    a = a.join(d, ["tau", "r"]).join(d.select("tau", F.col("r").alias("c"), F.col("d").alias("dc")), ["tau", "c"])
+    return a.select("tau", "r", "c", (F.col("m") / F.sqrt(F.col("d") * F.col("dc").cast("double"))).alias("w"))
+
+
 def row_operator(e: DataFrame, reverse: bool = False, loops: DataFrame | None = None) -> DataFrame:
     """(tau, r, c, w): D^-1 A with duplicates summed; ``reverse`` follows edges backwards."""
     r, c = ("dst", "src") if reverse else ("src", "dst")

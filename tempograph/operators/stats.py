@@ -343,6 +343,13 @@ def pca_project(df: DataFrame, mean: np.ndarray, components: np.ndarray) -> Data
     return df.withColumn("features", F.array(*out))
 
 
+def step_moments(df: DataFrame, width: int) -> DataFrame:
+    """Per step n, sums s0.. and sums of products p0_0..: mergeable by addition."""
+    f = F.col("features")
+    cells = [F.sum(f[i]).alias(f"s{i}") for i in range(width)] + [F.sum(f[i] * f[j]).alias(f"p{i}_{j}") for i in range(width) for j in range(i, width)]
+    return df.groupBy("tau").agg(F.count("*").alias("n"), *cells)
+
+
 def incremental_moments(df: DataFrame, width: int, cross: bool = False) -> DataFrame:
     """Per step the expanding (n, sums, sums of squares) of all steps so far; with ``cross`` the sums of products too (p0_1 and so on)."""
     f = F.col("features")

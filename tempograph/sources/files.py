@@ -56,6 +56,33 @@ def append_rows(df: DataFrame, path: str, schema: T.StructType) -> None:
     conform(df, schema).write.mode("append").parquet(path)
 
 
+def append_csv(df: DataFrame, path: str, schema: T.StructType) -> None:
+    """Append to a folder of headered CSV files with a fixed schema; ``read_csv`` reads them as one table."""
+    conform(df, schema).write.mode("append").option("header", True).csv(path)
+
+
+_CACHED: dict[tuple[str, str], DataFrame] = {}
+
+
+def cached(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table kept by the session after its first use; a new application reads it again."""
+    key = spark.sparkContext.applicationId, path
+    if key not in _CACHED:
+        _CACHED[key] = spark.read.parquet(path).cache()
+    return _CACHED[key]
+
+
+def schema_diff(spark: SparkSession, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(side, name, kind) of the columns that only one of two tables has, or has with another type."""
+    one, two = (spark.createDataFrame(sorted(d.dtypes), "name string, kind string") for d in (left, right))
+    return one.exceptAll(two).select(F.lit("left").alias("side"), "name", "kind").unionAll(two.exceptAll(one).select(F.lit("right").alias("side"), "name", "kind"))
+
+
+def json_manifest(df: DataFrame) -> DataFrame:
+    """One JSON line a row, nulls included."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+
+
 def overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tempograph.operators.store import upsert
+from tempograph.operators.stats import step_moments
+from tempograph.operators.store import keep_last, upsert
 
 
 def event_stream(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
@@ -58,14 +59,34 @@ def smoothed(stream: DataFrame, key: str, alpha: float = 0.3) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, ema double, n long", "h double", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_sink(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Query that keeps a keyed table current: each batch is one new version, so a repeated batch changes nothing."""
+def upsert_sink(stream: DataFrame, path: str, keys: list[str], checkpoint: str, order: list[str]):
+    """Query that keeps a keyed table current, the last row of a key by ``order`` in each batch.
+
+    Each batch is one new version, so a repeated batch changes nothing.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
+        new = keep_last(batch, keys, order)
         if number:
             new = upsert(spark.read.parquet(f"{path}/v{number - 1}"), new, keys)
         new.write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def moments_sink(stream: DataFrame, path: str, width: int, checkpoint: str):
+    """Query that adds each batch's mergeable sums a step as one file of its number; ``read_moments`` merges them.
+
+    A repeated batch replaces its own file, so nothing is counted twice.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        step_moments(batch, width).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_moments(spark: SparkSession, path: str) -> DataFrame:
+    m = spark.read.parquet(path).drop("batch")
+    return m.groupBy("tau").agg(*[F.sum(c).alias(c) for c in m.columns if c != "tau"])
