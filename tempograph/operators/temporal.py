@@ -77,8 +77,8 @@ def class_weight(total: Column, count: Column, classes: int = 2) -> Column:
     return total / (classes * F.greatest(count, F.lit(1)).cast("double"))
 
 
-def decay_weights(rows: DataFrame, lam: float = 0.25) -> DataFrame:
-    """exp(-lam (last - tau)) times the class weight, scaled to mean 1; labelled rows only."""
+def decay_weights(rows: DataFrame, lam: float = 0.25, keep: tuple[str, ...] = ()) -> DataFrame:
+    """exp(-lam (last - tau)) times the class weight, scaled to mean 1; labelled rows only, with the columns ``keep``."""
     y = rows.filter("label <> -1")
     c = y.agg(F.max("tau").alias("last"), F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
     j = y.join(F.broadcast(c))
@@ -86,7 +86,7 @@ def decay_weights(rows: DataFrame, lam: float = 0.25) -> DataFrame:
     raw = F.exp(-lam * (F.col("last") - F.col("tau"))) * class_weight(total, F.when(F.col("label") == 1, F.col("n1")).otherwise(F.col("n0")))
     j = j.withColumn("raw", raw)
     m = j.agg(F.avg("raw").alias("mean"))
-    return j.join(F.broadcast(m)).select("tau", "txid", "label", (F.col("raw") / F.col("mean")).alias("weight"))
+    return j.join(F.broadcast(m)).select("tau", "txid", "label", *keep, (F.col("raw") / F.col("mean")).alias("weight"))
 
 
 def consecutive_sides(rows: DataFrame) -> DataFrame:

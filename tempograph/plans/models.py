@@ -21,6 +21,8 @@ ESTIMATORS = {
     "gbt": lambda: GBTClassifier(labelCol="label", featuresCol="vec", weightCol="weight", maxDepth=3, maxIter=10, stepSize=0.1, seed=7),
     "l1": lambda: LogisticRegression(labelCol="label", featuresCol="vec", weightCol="weight", maxIter=50, regParam=1e-3, elasticNetParam=1.0),
 }
+#: Fits that run at once in a walk forward.
+FITS = 8
 #: Hidden units of the two-layer head.
 HIDDEN = 16
 
@@ -35,8 +37,7 @@ def mlp_scores(x: DataFrame, width: int, seed: int = 7) -> DataFrame:
 
 
 def _score(kind: str, train: DataFrame, test: DataFrame, lam: float) -> DataFrame:
-    w = decay_weights(train, lam).select("tau", "txid", "weight")
-    t = train.filter("label <> -1").join(w, ["tau", "txid"]).withColumn("vec", array_to_vector("features")).withColumn("label", F.col("label").cast("double"))
+    t = decay_weights(train, lam, ("features",)).withColumn("vec", array_to_vector("features")).withColumn("label", F.col("label").cast("double"))
     model = ESTIMATORS[kind]().fit(t)
     return model.transform(test.withColumn("vec", array_to_vector("features"))).select("tau", "txid", "label", vector_to_array("probability")[1].alias("score"))
 
@@ -65,7 +66,7 @@ def walk_forward_scores(x: DataFrame, kind: str, width: int, steps: list[int], a
         p = p.withColumns({"threshold": F.coalesce("threshold", F.lit(0.5)), "fallback": F.coalesce("fallback", F.lit(False))})
         return p.withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int"))
 
-    with ThreadPool(4) as pool:
+    with ThreadPool(FITS) as pool:
         parts = pool.map(one, steps)
     out = parts[0]
     for p in parts[1:]:
