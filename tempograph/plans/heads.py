@@ -35,14 +35,6 @@ def lr_walk_forward_window(spark, d):
     return models.walk_forward_scores(g.features(spark, d), "lr", 4, TEST, ALL, lam=0.0, window=10)
 
 
-@query()
-def walk_forward_metrics_propagated(spark, d):
-    n, x = g.nodes(spark, d), g.features(spark, d)
-    s = graph.symmetric_operator(n, g.dirty_edges(g.edges_of(n)))
-    p = graph.propagate(s, x, 1, 4).join(x.select("tau", "txid", "label"), ["tau", "txid"]).cache()  # each of the fits reads it
-    return models.walk_forward_metrics(models.walk_forward_scores(p, "lr", 4, TEST, ALL, lam=0.0))
-
-
 @query()
 def ipca_walk_forward(spark, d):
     return models.ipca_walk_forward(g.features(spark, d), "lr", 4, 3, TEST, ALL)
