@@ -1,21 +1,27 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, memory-mapped by workers.
-
-Counting. Each task turns its texts into word hashes and emits its distinct
-bigrams with counts, packed into one block for each shard; a shard's blocks meet
-in one task, which sums them and writes a sorted array of bigram hashes with
-counts. A second exchange of the same form brings together, for each word, its
-count, its number of distinct left neighbours (continuation count) and how many
-bigrams it starts with counts 1, 2 and 3 or more. All of it grows with the
-corpus; nothing but a few totals reaches the driver.
-
-Balance. A shard holds all bigrams of its left words, so that these figures need
-no further exchange; left words with a large share of the corpus (at most
-``1 / FREQUENT`` of them, estimated from a sample, which affects balance only)
-are spread over all shards by their right word.
-
-Model. Files of sorted hashes in the shared folder, one pair a shard, written
-under a temporary name and renamed, so a task that runs again does no harm.
-Workers map them and search them with sorted batches of queries.
+"""Interpolated modified Kneser-Ney trigram model: counted in Spark, memory-mapped by workers.
+
+Counting. Each task numbers its words, sorts its trigrams as numbers and emits
+the distinct ones with counts, packed into one block for each shard. A shard
+holds all trigrams of its middle words: so one exchange completes the trigrams'
+counts, the totals of their contexts (first two words) and the continuation
+counts of their last two words. A second exchange brings together what each word
+needs. All of it grows with the corpus; nothing but a few totals reaches the
+driver.
+
+Balance. Middle words that would fill much of a shard (at most ``1 / FREQUENT``
+of them, estimated from a sample, which affects balance only) are spread over
+all shards by their left neighbour; their continuation counts are summed in the
+second exchange, by the last word, and their totals go to the driver.
+
+Texts start with one begin token, so a text's first token has a context of one
+word; no word stands before the begin token, whose bigrams count as often as
+they occur.
+
+Model. Files of sorted hashes in the shared folder, one of a kind a shard,
+written under a temporary name and renamed, so a task that runs again does no
+harm. Within a shard n-grams are known by 40 bits of their hash: in a shard of
+four million n-grams some 4 in a million unseen ones meet another's count.
+Workers map the files and search them with sorted batches of queries.
 """
 
 from __future__ import annotations
@@ -37,9 +43,11 @@ from tempograph.llm.common import MEMO_BYTES, fold, free_name, no_clash, scratch
 BEGIN, END = b"\n<s>", b"\n</s>"
 FREQUENT = 0.0005
 SHARD_BYTES = 8 << 20
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 3_000_000
+#: Word numbers that fit a packed trigram; a worker starts new numbers at half of them.
+NUMBERS = 1 << 21
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_WORD_ROW = np.dtype([("raw", "<u8"), ("cont", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
+_WORD_ROW = np.dtype([("raw", "<u8"), ("cont", "<u4"), ("total", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
 
 
 def word_hash(w: bytes) -> int:
@@ -47,67 +55,76 @@ def word_hash(w: bytes) -> int:
 
 
 def mix(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Hash of a bigram of word hashes."""
+    """Hash of a pair of hashes."""
     h = (u ^ (u >> np.uint64(31))) * _A + w
     h = (h ^ (h >> np.uint64(29))) * _B
     return h ^ (h >> np.uint64(32))
 
 
 class Words:
-    """Word hashes of texts, with a table of words met before."""
+    """Numbers of the words of texts (0 begins, 1 ends a text) and the words' hashes by number."""
 
     def __init__(self, most: int = MEMO_BYTES):
-        self.known: dict[bytes, int] = {}
-        self.size, self.most = 0, most
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {BEGIN: 0, END: 1}
+        self.hashes = [word_hash(BEGIN), word_hash(END)]
+        self.size = 0
+
+    def full(self) -> bool:
+        return self.size > self.most or len(self.hashes) > NUMBERS // 2
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all tokens, each text closed by the end token, and the texts' lengths in tokens."""
-        known, flat, sizes = self.known, [], []
-        end = word_hash(END)
+        """Numbers of all tokens, each text closed by the end token, and the texts' lengths in tokens."""
+        known, hashes, flat, sizes = self.known, self.hashes, [], []
         for t in texts:
-            if self.size > self.most:
-                known.clear()
-                self.size = 0
             words = (t or "").encode("utf-8", "surrogatepass").lower().split()
             try:
                 flat += [known[w] for w in words]
             except KeyError:
                 for w in words:
                     if w not in known:
-                        known[w] = word_hash(w)
-                        self.size += len(w) + 150
+                        known[w] = len(hashes)
+                        hashes.append(word_hash(w))
+                        self.size += len(w) + 200
                 flat += [known[w] for w in words]
-            flat.append(end)
+            flat.append(1)
             sizes.append(len(words) + 1)
-        return np.array(flat, np.uint64), np.array(sizes, np.int64)
+        return np.array(flat, np.int32), np.array(sizes, np.int64)
 
 
-def left_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Each token's left neighbour; the begin token for a text's first."""
-    left = np.empty_like(tokens)
-    left[1:] = tokens[:-1]
-    left[np.r_[0, np.cumsum(sizes)[:-1]]] = np.uint64(word_hash(BEGIN))
-    return left
+def left_of(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's second and first left neighbour; the begin token where there is none."""
+    u, v = np.zeros_like(tokens), np.zeros_like(tokens)
+    first = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
+    v[1:], u[2:] = tokens[:-1], tokens[:-2]
+    v[first] = u[first] = 0
+    u[first[sizes > 1] + 1] = 0
+    return u, v
 
 
 class Sharding:
+    """Shards of words, and the words whose trigrams are spread (the begin token among them)."""
+
     def __init__(self, shards: int, frequent: np.ndarray):
-        self.shards, self.frequent = shards, np.sort(frequent.astype(np.uint64))
+        self.shards = shards
+        self.frequent = np.unique(np.r_[frequent.astype(np.uint64), np.uint64(word_hash(BEGIN))])
 
     def word(self, w: np.ndarray) -> np.ndarray:
         return ((w * _B) >> np.uint64(33)).astype(np.int64) % self.shards
 
-    def is_frequent(self, u: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return np.zeros(len(u), bool)
-        at = np.minimum(np.searchsorted(self.frequent, u), len(self.frequent) - 1)
-        return self.frequent[at] == u
+    def place(self, v: np.ndarray) -> np.ndarray:
+        """A word's place among the frequent ones, -1 for others."""
+        at = np.minimum(np.searchsorted(self.frequent, v), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == v, at, -1)
 
-    def pair(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        s = self.word(u)
-        f = self.is_frequent(u)
-        s[f] = self.word(mix(u[f], w[f]))
-        return s
+    def trigram(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Shard of trigrams: by middle word, frequent ones by first and middle, first tokens by themselves."""
+        begin = v == np.uint64(word_hash(BEGIN))
+        key = np.where(begin, w, np.where(self.place(v) >= 0, mix(u, v), v))
+        return self.word(key)
 
 
 def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -120,42 +137,54 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (k[at], *(np.add.reduceat(v[order], at) for v in values))
 
 
-def _distinct_pairs(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    h = mix(u, w)
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
-    return h[at], u[order[at]], w[order[at]], np.add.reduceat(c[order], at) if len(at) else c
+def _cuts(s: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal values of a sorted array."""
+    at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+    return list(zip(at.tolist(), [*at[1:].tolist(), len(s)]))
 
 
-def _pack(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
-    """Block of bigrams: by left word, which is written once; counts as bytes where they fit."""
-    order = np.argsort(u, kind="stable")
-    u, w, c = u[order], w[order], c[order].astype("<u4")
-    at = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-    runs = np.diff(np.r_[at, len(u)]).astype("<u4")
-    big, big_runs = np.flatnonzero(c > 255).astype("<u4"), np.flatnonzero(runs > 255).astype("<u4")
-    head = np.array([len(at), len(u), len(big), len(big_runs)], "<u4")
-    return b"".join(x.tobytes() for x in (head, u[at], w, np.minimum(c, 255).astype("u1"), np.minimum(runs, 255).astype("u1"), big, c[big], big_runs, runs[big_runs]))
+def _bytes(c: np.ndarray) -> bytes:
+    """Counts as bytes, with those above 254 behind them."""
+    big = np.flatnonzero(c > 254)
+    return b"".join(x.tobytes() for x in (np.array([len(c), len(big)], "<u4"), big.astype("<u4"), c[big].astype("<u8"), np.minimum(c, 255).astype("u1")))
 
 
-def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n_u, n, n_big, n_runs = np.frombuffer(b, "<u4", 4)
-    at = 16
+class _Reader:
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
 
-    def take(kind: str, k: int) -> np.ndarray:
-        nonlocal at
-        x = np.frombuffer(b, kind, k, at)
-        at += x.nbytes
+    def take(self, kind: str, k: int) -> np.ndarray:
+        x = np.frombuffer(self.data, kind, k, self.at)
+        self.at += x.nbytes
         return x
 
-    u, w = take("<u8", n_u), take("<u8", n)
-    c, runs = take("u1", n).astype(np.int64), take("u1", n_u).astype(np.int64)
-    big = take("<u4", n_big)
-    c[big] = take("<u4", n_big)
-    big_runs = take("<u4", n_runs)
-    runs[big_runs] = take("<u4", n_runs)
-    return np.repeat(u, runs), w, c
+    def counts(self) -> np.ndarray:
+        n, n_big = self.take("<u4", 2)
+        big, values = self.take("<u4", n_big), self.take("<u8", n_big)
+        c = self.take("u1", n).astype(np.int64)
+        c[big] = values
+        return c
+
+
+def _pack(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray, hashes: np.ndarray) -> bytes:
+    """Block of trigrams in order of their middle words: the block's word hashes once, then places among them."""
+    words, place = np.unique(np.concatenate([u, v, w]), return_inverse=True)
+    kind, n = ("<u2" if len(words) <= 1 << 16 else "<u4"), len(u)
+    place = place.astype(kind)
+    runs = _cuts(v)
+    at = np.array([a for a, _ in runs], np.int64)
+    head = np.array([len(words), n, len(runs)], "<u4")
+    return b"".join([head.tobytes(), hashes[words].tobytes(), place[n : 2 * n][at].tobytes(), _bytes(np.diff(np.r_[at, n])), place[:n].tobytes(), place[2 * n :].tobytes(), _bytes(c)])
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    r = _Reader(data)
+    n_words, n, n_runs = r.take("<u4", 3)
+    kind = "<u2" if n_words <= 1 << 16 else "<u4"
+    words, v = r.take("<u8", n_words), r.take(kind, n_runs)
+    v = np.repeat(v, r.counts())
+    u, w = r.take(kind, n), r.take(kind, n)
+    return words[u], words[v], words[w], r.counts()
 
 
 def _fs(uri: str):
@@ -175,14 +204,70 @@ def _write(uri: str, *arrays: np.ndarray) -> None:
     f.move(temp, path)
 
 
+def _write_table(uri: str, h: np.ndarray, cols: list[np.ndarray], plain: tuple[int, ...]) -> None:
+    """Sorted hashes with counts; rows that equal ``plain``, the most frequent one, are hashes only."""
+    order = np.argsort(h)
+    h, cols = h[order], [c[order] for c in cols]
+    is_plain = np.logical_and.reduce([c == x for c, x in zip(cols, plain)])
+    out = [np.array([is_plain.sum(), (~is_plain).sum()], "<u8")]
+    keys = [h[is_plain], h[~is_plain]]
+    out += [(k >> np.uint64(32)).astype("<u4") for k in keys]
+    out += [(k >> np.uint64(24)).astype("u1") for k in keys]
+    _write(uri, *out, *(np.frombuffer(_bytes(c[~is_plain]), "u1") for c in cols))
+
+
+class _Table:
+    def __init__(self, raw: np.ndarray, plain: tuple[int, ...]):
+        r = _Reader(raw)
+        sizes = [int(x) for x in r.take("<u8", 2)]
+        hi = [r.take("<u4", n) for n in sizes]
+        lo = [r.take("u1", n) for n in sizes]
+        self.keys, self.plain, self.cols = list(zip(hi, lo)), plain, []
+        for _ in plain:
+            n, n_big = (int(x) for x in r.take("<u4", 2))
+            big, values = r.take("<u4", n_big), r.take("<u8", n_big)
+            self.cols.append((r.take("u1", n), big, values))
+
+    @staticmethod
+    def _match(keys: tuple[np.ndarray, np.ndarray], hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 where there is none."""
+        have, low = keys
+        out = np.full(len(hi), -1, np.int64)
+        if not len(have):
+            return out
+        at, left = np.searchsorted(have, hi), np.arange(len(hi))
+        while len(left):
+            left = left[at[left] < len(have)]
+            left = left[have[at[left]] == hi[left]]
+            hit = low[at[left]] == lo[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+        return out
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Counts of the hashes, in order, one row a column of the table; zeros where there is none."""
+        hi, lo = (h >> np.uint64(32)).astype("<u4"), (h >> np.uint64(24)).astype("u1")
+        out = np.zeros((len(self.plain), len(h)))
+        out[:, self._match(self.keys[0], hi, lo) >= 0] = np.array(self.plain, float)[:, None]
+        row = self._match(self.keys[1], hi, lo)
+        hit = np.flatnonzero(row >= 0)
+        for x, (small, big, values) in zip(out, self.cols):
+            c = small[row[hit]].astype(float)
+            e = c == 255
+            c[e] = values[np.searchsorted(big, row[hit[e]])]
+            x[hit] = c
+        return out
+
+
 #: Most files a worker keeps mapped, and bytes of remote files it keeps in memory.
 MAPPED_FILES, FETCHED_BYTES = 4096, 256 << 20
-_mapped: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
+_mapped: dict[str, object] = {}
 _fetched = 0
 
 
-def _map(uri: str, kind: np.dtype | str) -> tuple[np.ndarray, np.ndarray] | None:
-    """Sorted hashes and values of a model file, None if the shard has none.
+def _map(uri: str, read):
+    """``read`` of a model file's bytes, None if the shard has none.
 
     Files of a mounted folder are memory-mapped; those of other stores are read
     into memory, as many as FETCHED_BYTES allow, never onto a local disk.
@@ -193,7 +278,7 @@ def _map(uri: str, kind: np.dtype | str) -> tuple[np.ndarray, np.ndarray] | None
     if len(_mapped) >= MAPPED_FILES or _fetched > FETCHED_BYTES:
         _mapped.clear()
         _fetched = 0
-    p, kind = urlparse(uri), np.dtype(kind)
+    p = urlparse(uri)
     raw = np.zeros(0, "u1")
     if p.scheme in ("", "file"):
         if os.path.exists(p.path) and os.path.getsize(p.path):
@@ -206,11 +291,15 @@ def _map(uri: str, kind: np.dtype | str) -> tuple[np.ndarray, np.ndarray] | None
             with f.open_input_stream(remote) as src:
                 raw = np.frombuffer(src.read(), "u1")
             _fetched += len(raw)
-    rows = len(raw) // (8 + kind.itemsize)
-    _mapped[uri] = (raw[: 8 * rows].view("<u8"), raw[8 * rows :].view(kind)) if rows else None
+    _mapped[uri] = read(raw) if len(raw) else None
     return _mapped[uri]
 
 
+def _word_table(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // (8 + _WORD_ROW.itemsize)
+    return raw[: 8 * n].view("<u8"), raw[8 * n :].view(_WORD_ROW)
+
+
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """D1, D2, D3+ from the numbers of n-grams seen once to four times; fixed ones where the corpus has none."""
     n1, n2, n3, n4 = n
@@ -222,48 +311,72 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 class Model:
-    """A counted model: totals, and where its shards lie."""
+    """A counted model: totals, the frequent words' totals, and where its shards lie."""
 
-    def __init__(self, path: str, sharding: Sharding, totals: dict[str, int], d2: tuple, d1: tuple):
-        self.path, self.sharding, self.d2, self.d1 = path, sharding, d2, d1
+    def __init__(self, path: str, sharding: Sharding, totals: dict[str, int], hot: np.ndarray, d3: tuple, d2: tuple, d1: tuple):
+        self.path, self.sharding, self.hot, self.d3, self.d2, self.d1 = path, sharding, hot, d3, d2, d1
         self.tokens, self.vocab, self.pairs = totals["tokens"], totals["vocab"], totals["pairs"]
         g = d1[0] * totals["c1"] + d1[1] * totals["c2"] + d1[2] * totals["c3"]
         self.rest = g / self.pairs if self.pairs else 1.0
 
-    def _find(self, name: str, kind, shard: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Rows of sorted shards for the keys, zeros where there is none."""
-        out = np.zeros(len(keys), kind)
-        order = np.lexsort((keys, shard))
-        cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]) if len(order) else []
-        for a, b in zip(cuts, [*cuts[1:], len(order)]):
-            found = _map(f"{self.path}/{name}-{int(shard[order[a]])}", kind)
-            if found is None:
+    def _by_shard(self, shard: np.ndarray, h: np.ndarray):
+        order = np.argsort((shard.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
+        for a, b in _cuts(shard[order]):
+            yield int(shard[order[a]]), order[a:b]
+
+    def words(self, h: np.ndarray) -> np.ndarray:
+        """Rows of words, with the totals of frequent ones; zeros for unknown words."""
+        out = np.zeros(len(h), _WORD_ROW)
+        for s, at in self._by_shard(self.sharding.word(h), h):
+            if (found := _map(f"{self.path}/words-{s}", _word_table)) is None:
                 continue
-            at, q = order[a:b], keys[order[a:b]]
-            have, values = found
-            i = np.minimum(np.searchsorted(have, q), len(have) - 1)
-            hit = have[i] == q
-            out[at[hit]] = values[i[hit]]
+            have, rows = found
+            i = np.minimum(np.searchsorted(have, h[at]), len(have) - 1)
+            hit = have[i] == h[at]
+            out[at[hit]] = rows[i[hit]]
+        place = self.sharding.place(h)
+        for j, name in enumerate(("total", "n1", "n2", "n3")):
+            out[name][place >= 0] = self.hot[place[place >= 0], j]
+        return out
+
+    def _counts(self, name: str, shard: np.ndarray, h: np.ndarray, plain: tuple[int, ...]) -> np.ndarray:
+        out = np.zeros((len(plain), len(h)))
+        for s, at in self._by_shard(shard, h):
+            if (t := _map(f"{self.path}/{name}-{s}", lambda raw: _Table(raw, plain))) is not None:
+                out[:, at] = t.find(h[at])
         return out
 
-    def token_scores(self, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token after its left neighbour, and each token's count."""
-        both, back = np.unique(np.r_[w, u], return_inverse=True)
-        words = self._find("words", _WORD_ROW, self.sharding.word(both), both)
-        r, left = words[back[: len(w)]], words[back[len(w) :]]
-        key = mix(u, w)
-        pairs, pback = np.unique(key, return_index=True)
-        c = self._find("pairs", "<u4", self.sharding.pair(u[pback], w[pback]), pairs)[np.searchsorted(pairs, key)].astype(np.float64)
-        d1, d2 = np.array([0.0, *self.d1]), np.array([0.0, *self.d2])
-        cont = r["cont"].astype(np.float64)
-        p = np.maximum(cont - d1[np.minimum(cont, 3).astype(int)], 0) / max(self.pairs, 1) + self.rest / (self.vocab + 1)
-        n1, n2, n3 = (left[x].astype(np.float64) for x in ("n1", "n2", "n3"))
-        # A left word's bigrams sum to its own count (all tokens but the end have a right neighbour).
-        total = left["raw"].astype(np.float64)
-        seen = (n1 + n2 + n3) > 0
-        safe = np.where(seen, total, 1.0)
-        two = np.maximum(c - d2[np.minimum(c, 3).astype(int)], 0) / safe + (d2[1] * n1 + d2[2] * n2 + d2[3] * n3) / safe * p
-        return np.log10(np.where(seen, two, p)), r["raw"].astype(np.float64)
+    def token_scores(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """log10 probability of each token w after u and v: numbers of words with these hashes and rows."""
+
+        def level(c, total, n, d, below):
+            seen = total > 0
+            safe = np.where(seen, total, 1.0)
+            d = np.array([0.0, *d])
+            p = (np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) + (d[1] * n[0] + d[2] * n[1] + d[3] * n[2]) * below) / safe
+            return np.where(seen, p, below)
+
+        d1 = np.array([0.0, *self.d1])
+        cont = rows["cont"].astype(np.float64)
+        p = (np.maximum(cont - d1[np.minimum(cont, 3).astype(int)], 0) / max(self.pairs, 1) + self.rest / (self.vocab + 1))[w]
+        frequent = self.sharding.place(hashes) >= 0
+        of = self.sharding.word(hashes)
+        two = mix(hashes[v], hashes[w])
+        a = np.zeros(len(w))
+        hot = frequent[v]
+        for name, on, shard in (("hot", hot, of[w]), ("conts", ~hot, of[v])):
+            i = np.flatnonzero(on)
+            a[i] = self._counts(name, shard[i], two[i], (1,))[0]
+        p = level(a, rows["total"][v].astype(np.float64), [rows[x][v].astype(np.float64) for x in ("n1", "n2", "n3")], self.d2, p)
+        i = np.flatnonzero(v != 0)  # a first token has no third word
+        context = mix(hashes[u[i]], hashes[v[i]])
+        shard = np.where(hot[i], self.sharding.word(context), of[v[i]])
+        total, *n = self._counts("contexts", shard, context, (1, 1, 0, 0))
+        c = np.zeros(len(i))
+        known = np.flatnonzero(total > 0)
+        c[known] = self._counts("trigrams", shard[known], mix(context[known], hashes[w[i[known]]]), (1,))[0]
+        p[i] = level(c, total, n, self.d3, p[i])
+        return np.log10(p)
 
 
 def _frequent_words(train: DataFrame, share: float) -> np.ndarray:
@@ -273,13 +386,16 @@ def _frequent_words(train: DataFrame, share: float) -> np.ndarray:
         to = Words()
         for b in it:
             t, _ = to(b.column(0).to_pylist())
-            k, n = _sum_by(t, np.ones(len(t), np.int64))
-            top = n >= max(2, share * len(t) / 2)
-            yield pa.RecordBatch.from_arrays([pa.array(k[top].view(np.int64)), pa.array(n[top]), pa.array([len(t)] * int(top.sum()), pa.int64())], ["w", "n", "of"])
+            n = np.bincount(t, minlength=len(to.hashes))
+            top = np.flatnonzero(n >= max(2, share * len(t) / 2))
+            h = np.array(to.hashes, np.uint64)[top].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n[top]), pa.array([len(t)] * len(top), pa.int64())], ["w", "n", "of"])
+            if to.full():
+                to.clear()
 
-    got = train.sample(0.02, 7).select("text").mapInArrow(words, "w long, n long, of long").groupBy("w").agg(F.sum(F.col("n") / F.col("of")).alias("x"))
-    rows = got.orderBy(F.desc("x")).limit(int(1 / share)).collect()
-    return np.array([*(r["w"] for r in rows), np.uint64(word_hash(BEGIN)).astype(np.int64)], np.int64).view(np.uint64)
+    got = train.sample(0.02, 7).select("text").mapInArrow(words, "w long, n long, of long").groupBy("w").agg(F.sum("n").alias("x"))
+    rows = got.orderBy(F.desc("x")).limit(int(1 / FREQUENT)).collect()
+    return np.array([r["w"] for r in rows], np.int64).view(np.uint64)
 
 
 def _shard_count(docs: DataFrame) -> int:
@@ -289,136 +405,200 @@ def _shard_count(docs: DataFrame) -> int:
     return max(4, -(-size // SHARD_BYTES))
 
 
-def train_model(train: DataFrame, path: str, frequent_share: float = FREQUENT) -> Model:
-    """Count the texts of ``train`` (column text) into a model below ``path``."""
-    sharding = Sharding(_shard_count(train), _frequent_words(train, frequent_share))
-    block = "shard int, data binary"
+def train_model(train: DataFrame, path: str, frequent_share: float | None = None) -> Model:
+    """Count the texts of ``train`` (column text) into a model below ``path``.
 
-    def blocks(u, w, c) -> Iterator[pa.RecordBatch]:
-        _, u, w, c = _distinct_pairs(u, w, c)
-        s = sharding.pair(u, w)
-        order = np.argsort(s, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(s[order]) != 0])
-        for a, b in zip(cuts, [*cuts[1:], len(order)]):
+    Words of at least ``frequent_share`` of a sample's tokens are spread over all
+    shards; by default, those that would fill a tenth of one.
+    """
+    n = _shard_count(train)
+    sharding = Sharding(n, _frequent_words(train, max(FREQUENT, 0.1 / n) if frequent_share is None else frequent_share))
+    start = np.uint64(word_hash(BEGIN))
+
+    def blocks(parts: list[tuple[np.ndarray, ...]], hashes: list[int]) -> Iterator[pa.RecordBatch]:
+        u, v, w = (np.concatenate(x).astype(np.uint64) for x in zip(*parts))
+        h = np.array(hashes, np.uint64)
+        if len(h) <= NUMBERS:
+            bits, low = np.uint64(21), np.uint64(NUMBERS - 1)
+            key = np.sort((v << (bits + bits)) | (u << bits) | w)
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            c, key = np.diff(np.r_[at, len(key)]), key[at]
+            u, v, w = ((x & low).astype(np.int32) for x in (key >> bits, key >> (bits + bits), key))
+            del key
+        else:
+            order = np.lexsort((w, u, v))
+            u, v, w = (x[order].astype(np.int32) for x in (u, v, w))
+            at = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
+            c = np.diff(np.r_[at, len(u)])
+            u, v, w = u[at], v[at], w[at]
+        s = sharding.trigram(h[u], h[v], h[w])
+        order = np.argsort(s.astype(np.uint16) if sharding.shards <= 1 << 16 else s, kind="stable")
+        s = s[order]
+        for a, b in _cuts(s):
             i = order[a:b]
-            yield pa.RecordBatch.from_arrays([pa.array([int(s[i[0]])], pa.int32()), pa.array([_pack(u[i], w[i], c[i])])], ["shard", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(s[a])], pa.int32()), pa.array([_pack(u[i], v[i], w[i], c[i], h)])], ["shard", "data"])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to, us, ws, n = Words(), [], [], 0
+        to, parts, size = Words(), [], 0
         for b in it:
-            t, sizes = to(b.column(0).to_pylist())
-            if len(sizes):
-                ws.append(t)
-                us.append(left_of(t, sizes))
-                n += len(t)
-            if n >= FLUSH_TOKENS:
-                yield from blocks(np.concatenate(us), np.concatenate(ws), np.ones(n, np.int64))
-                us, ws, n = [], [], 0
-        if n:
-            yield from blocks(np.concatenate(us), np.concatenate(ws), np.ones(n, np.int64))
-
-    def reduce_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list] = {}
+            for a in range(0, b.num_rows, 256):
+                t, sizes = to(b.column(0).slice(a, 256).to_pylist())
+                parts.append((*left_of(t, sizes), t))
+                size += len(t)
+                if size >= FLUSH_TOKENS or to.full():
+                    yield from blocks(parts, to.hashes)
+                    parts, size = [], 0
+                    if to.full():
+                        to.clear()
+        if size:
+            yield from blocks(parts, to.hashes)
+
+    names = ["kind", "shard", "rows", "n", "data"]
+
+    def row(kind: str, s: int, rows: int, counts: list[int] | None, data: bytes | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([s], pa.int32()), pa.array([rows], pa.int64()), pa.array([counts], pa.list_(pa.int64())), pa.array([data], pa.binary())], names)
+
+    def tally(c: np.ndarray) -> list[int]:
+        return [int((c == k).sum()) for k in (1, 2, 3, 4)]
+
+    def by_count(c: np.ndarray) -> list[np.ndarray]:
+        return [(c == 1).astype(np.int64), (c == 2).astype(np.int64), (c >= 3).astype(np.int64)]
+
+    def reduce_trigrams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list[bytes]] = {}
         for b in it:
             for s, d in zip(b.column(0).to_pylist(), b.column(1)):
-                got.setdefault(s, []).append(_unpack(d.as_buffer().to_pybytes()))
+                got.setdefault(s, []).append(d.as_buffer().to_pybytes())
         for s in sorted(got):
-            parts = got.pop(s)
-            h, u, w, c = _distinct_pairs(*(np.concatenate(x) for x in zip(*parts)))
-            del parts
-            _write(f"{path}/pairs-{s}", h.astype("<u8"), c.astype("<u4"))
-            yield stats_row("pairs", s, len(h), [int((c == k).sum()) for k in (1, 2, 3, 4)])
-            # What each word needs, by the word's own shard.
-            left, n1, n2, n3 = _sum_by(u, *((c == 1).astype(np.int64), (c == 2).astype(np.int64), (c >= 3).astype(np.int64)))
-            # The begin token's count is its number of bigram tokens.
-            begin = u == np.uint64(word_hash(BEGIN))
-            right, raw, cont = _sum_by(w, c.astype(np.int64), np.ones(len(w), np.int64))
-            key = np.r_[right, left, np.full(1, word_hash(BEGIN), np.uint64)]
+            u, v, w, c = (np.concatenate(x) for x in zip(*[_unpack(d) for d in got.pop(s)]))
+            h = mix(mix(u, v), w)
+            order = np.argsort(h)
+            h = h[order]
+            at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            c, h, order = np.add.reduceat(c[order], at), h[at], order[at]
+            u, v, w = u[order], v[order], w[order]
+            del order, at
+            real = v != start
+            if real.any():
+                _write_table(f"{path}/trigrams-{s}", h[real], [c[real]], (1,))
+                key, *stats = _sum_by(mix(u[real], v[real]), c[real], *by_count(c[real]))
+                _write_table(f"{path}/contexts-{s}", key, stats, (1, 1, 0, 0))
+            yield row("trigrams", s, int(real.sum()), tally(c[real]))
+            del h, u
+            # Bigrams of the last two words: how many words stand before them; of first tokens, how often they occur.
+            two = mix(v, w)
+            order = np.argsort(two)
+            two = two[order]
+            at = np.flatnonzero(np.r_[True, two[1:] != two[:-1]])
+            a = np.add.reduceat(np.where(real, 1, c)[order], at)
+            raw = np.add.reduceat(c[order], at)
+            two, v, w = two[at], v[order[at]], w[order[at]]
+            place = sharding.place(v)
+            own = place < 0
+            if own.any():
+                _write_table(f"{path}/conts-{s}", two[own], [a[own]], (1,))
+            yield row("conts", s, int(own.sum()), tally(a[own]))
+            left, *totals = _sum_by(v[own], a[own], *by_count(a[own]))
+            right, raw, conts = _sum_by(w, raw, own.astype(np.int64))
             z = np.zeros
-            cols = [np.r_[raw, z(len(left), np.int64), int(c[begin].sum())], np.r_[cont, z(len(left) + 1, np.int64)]] + [np.r_[z(len(right), np.int64), x, 0] for x in (n1, n2, n3)]
-            key, *cols = _sum_by(key, *cols)
+            cols = [np.r_[x, z(len(left), np.int64)] for x in (raw, conts)] + [np.r_[z(len(right), np.int64), x] for x in totals]
+            key, *cols = _sum_by(np.r_[right, left], *cols)
             to = sharding.word(key)
             order = np.argsort(to, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0])
-            for a, b_ in zip(cuts, [*cuts[1:], len(order)]):
-                i = order[a:b_]
-                rows = np.zeros(len(i), _WORD_ROW)
-                for name, x in zip(_WORD_ROW.names, cols):
-                    rows[name] = x[i]
-                data = key[i].tobytes() + _small(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(["word"]), pa.array([int(to[i[0]])], pa.int32()), pa.array([len(i)], pa.int64()), pa.array([None], pa.list_(pa.int64())), pa.array([data])], ["kind", "shard", "rows", "n", "data"])
-
-    def stats_row(kind: str, s: int, rows: int, n: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([s], pa.int32()), pa.array([rows], pa.int64()), pa.array([n], pa.list_(pa.int64())), pa.array([None], pa.binary())], ["kind", "shard", "rows", "n", "data"])
+            for x, y in _cuts(to[order]):
+                i = order[x:y]
+                yield row("word", int(to[i[0]]), len(i), None, key[i].tobytes() + b"".join(_bytes(k[i]) for k in cols))
+            spread = np.flatnonzero(~own)
+            to = sharding.word(w[spread])
+            order = np.argsort(to, kind="stable")
+            for x, y in _cuts(to[order]):
+                i = spread[order[x:y]]
+                yield row("spread", int(to[order[x]]), len(i), None, w[i].tobytes() + place[i].astype("<u4").tobytes() + _bytes(a[i]))
 
     def reduce_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list] = {}
+        got: dict[int, dict[str, list]] = {}
         for b in it:
-            cols = dict(zip(b.schema.names, b.columns))
-            for kind, s, n, t, d in zip(cols["kind"].to_pylist(), cols["shard"].to_pylist(), cols["rows"].to_pylist(), cols["n"].to_pylist(), cols["data"]):
-                if kind != "word":
-                    yield stats_row(kind, s, n, t)
-                    continue
-                raw = d.as_buffer().to_pybytes()
-                got.setdefault(s, []).append((np.frombuffer(raw, "<u8", n), _large(raw[8 * n :], n)))
+            for kind, s, k, t, d in zip(*(b.column(x).to_pylist() for x in names)):
+                if kind in ("word", "spread"):
+                    got.setdefault(s, {"word": [], "spread": []})[kind].append((k, d))
+                else:
+                    yield row(kind, s, k, t)
         for s in sorted(got):
             parts = got.pop(s)
-            rows = np.concatenate([p[1] for p in parts])
-            key, *cols = _sum_by(np.concatenate([p[0] for p in parts]), *(rows[x].astype(np.int64) for x in _WORD_ROW.names))
+            keys, cols = [], [[] for _ in _WORD_ROW.names]
+            for k, d in parts["word"]:
+                r = _Reader(d)
+                keys.append(r.take("<u8", k))
+                for x in cols:
+                    x.append(r.counts())
+            pairs = []
+            for k, d in parts["spread"]:
+                r = _Reader(d)
+                pairs.append((r.take("<u8", k), r.take("<u4", k), r.counts()))
+            if pairs:
+                w, place, a = (np.concatenate(x) for x in zip(*pairs))
+                two = mix(sharding.frequent[place], w)
+                order = np.argsort(two)
+                two = two[order]
+                at = np.flatnonzero(np.r_[True, two[1:] != two[:-1]])
+                a, two, w, place = np.add.reduceat(a[order], at), two[at], w[order[at]], place[order[at]]
+                _write_table(f"{path}/hot-{s}", two, [a], (1,))
+                yield row("conts", s, len(a), tally(a))
+                hot, *stats = _sum_by(place, a, *by_count(a))
+                for i, x in zip(hot.tolist(), zip(*(x.tolist() for x in stats))):
+                    yield row("hot", i, 0, list(x))
+                w, more = _sum_by(w, np.ones(len(w), np.int64))
+                keys.append(w)
+                for name, x in zip(_WORD_ROW.names, cols):
+                    x.append(more if name == "cont" else np.zeros(len(w), np.int64))
+            key, *sums = _sum_by(np.concatenate(keys), *(np.concatenate(x) for x in cols))
             out = np.zeros(len(key), _WORD_ROW)
-            for name, x in zip(_WORD_ROW.names, cols):
+            for name, x in zip(_WORD_ROW.names, sums):
                 out[name] = x
             _write(f"{path}/words-{s}", key.astype("<u8"), out)
-            real = key != np.uint64(word_hash(BEGIN))
-            cont = cols[1][real]
-            yield stats_row("words", s, len(key), [int(cols[0][real].sum()), int((cols[0][real] > 0).sum()), int(cont.sum()), int((cont >= 3).sum()), *(int((cont == k).sum()) for k in (1, 2, 3, 4))])
+            raw, cont = sums[0], sums[1]
+            yield row("words", s, len(key), [int(raw.sum()), int((raw > 0).sum()), int(cont.sum()), int((cont >= 3).sum()), *tally(cont)])
 
     out = "kind string, shard int, rows long, n array<long>, data binary"
-    n = sharding.shards
     # One shard a task: the shard's number is the partition's.
-    pairs = train.select("text").mapInArrow(count, block).repartitionById(n, F.col("shard")).mapInArrow(reduce_pairs, out)
-    words = pairs.repartitionById(n, F.col("shard")).mapInArrow(reduce_words, out)
-    sums = words.groupBy("kind").agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(8)]).collect()  # one row a kind
-    got = {r["kind"]: [int(r[f"n{i}"] or 0) for i in range(8)] for r in sums}
-    p, w = got.get("pairs", [0] * 8)[:4], got.get("words", [0] * 8)
+    trigrams = train.select("text").mapInArrow(count, "shard int, data binary").repartitionById(n, F.col("shard")).mapInArrow(reduce_trigrams, out)
+    words = trigrams.repartitionById(n, F.col("shard")).mapInArrow(reduce_words, out)
+    place = F.when(F.col("kind") == "hot", F.col("shard")).otherwise(-1)
+    sums = words.groupBy("kind", place.alias("place")).agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(8)]).collect()  # one row a kind and frequent word
+    hot, got = np.zeros((len(sharding.frequent), 4), np.int64), {}
+    for r in sums:
+        x = [int(r[f"n{i}"] or 0) for i in range(8)]
+        if r["kind"] == "hot":
+            hot[r["place"]] = x[:4]
+        else:
+            got[r["kind"]] = x
+    w = got.get("words", [0] * 8)
     totals = {"tokens": w[0], "vocab": w[1], "pairs": w[2], "c1": w[4], "c2": w[5], "c3": w[3]}
-    return Model(path, sharding, totals, discounts(p), discounts(w[4:8]))
-
-
-def _small(rows: np.ndarray) -> bytes:
-    """Rows by column, each in as few bytes as its largest value needs."""
-    out = []
-    for name in _WORD_ROW.names:
-        kind = np.min_scalar_type(int(rows[name].max(initial=0)))
-        out += [bytes([kind.itemsize]), rows[name].astype(kind).tobytes()]
-    return b"".join(out)
-
-
-def _large(b: bytes, n: int) -> np.ndarray:
-    rows, at = np.zeros(n, _WORD_ROW), 0
-    for name in _WORD_ROW.names:
-        size = b[at]
-        rows[name] = np.frombuffer(b, f"<u{size}", n, at + 1)
-        at += 1 + size * n
-    return rows
+    return Model(path, sharding, totals, hot, *(discounts(got.get(k, [0] * 4)[:4]) for k in ("trigrams", "conts")), discounts(w[4:8]))
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Append n_tokens, n_known, train_tokens (long), base_score and score (double)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # totals and shard sizes only
+    shared = spark.sparkContext.broadcast(model)  # totals and at most 1 / FREQUENT words
 
     @F.pandas_udf("n_tokens long, n_known long, base_score double, score double")
     def scored(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m, to = shared.value, Words()
+        hashes, rows = np.zeros(0, np.uint64), np.zeros(0, _WORD_ROW)
         for s in it:
             out = []
-            for a in range(0, len(s), 4096):
-                w, sizes = to(s.iloc[a : a + 4096].tolist())
-                logp, c = m.token_scores(w, left_of(w, sizes))
-                at = np.r_[0, np.cumsum(sizes)[:-1]]
-                base = np.log10((c + 0.5) / (m.tokens + 0.5 * (m.vocab + 1)))
-                out.append(pd.DataFrame({"n_tokens": sizes, "n_known": np.add.reduceat((c > 0).astype(np.int64), at), "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(logp, at)}))
+            for a in range(0, len(s), 1024):
+                w, sizes = to(s.iloc[a : a + 1024].tolist())
+                new = np.array(to.hashes[len(hashes) :], np.uint64)
+                hashes, rows = np.r_[hashes, new], np.r_[rows, m.words(new)]
+                raw = rows["raw"].astype(np.float64)
+                logp, at = m.token_scores(*left_of(w, sizes), w, hashes, rows), np.r_[0, np.cumsum(sizes)[:-1]]
+                base = np.log10((raw + 0.5) / (m.tokens + 0.5 * (m.vocab + 1)))[w]
+                out.append(pd.DataFrame({"n_tokens": sizes, "n_known": np.add.reduceat((raw > 0).astype(np.int64)[w], at), "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(logp, at)}))
+                if to.full():
+                    to.clear()
+                    hashes, rows = np.zeros(0, np.uint64), np.zeros(0, _WORD_ROW)
             yield pd.concat(out) if out else pd.DataFrame({"n_tokens": [], "n_known": [], "base_score": [], "score": []})
 
     no_clash(docs, ["n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -235,29 +235,69 @@ def test_jaccard(spark):
     assert jaccard_join.keep_one(docs(spark, texts[:4])).count() == 3
 
 
-def test_kneser_ney(spark):
+@pytest.mark.parametrize("spread", ["", "abc"])
+def test_kneser_ney(spark, monkeypatch, spread):
+    monkeypatch.setattr(ngram_lm, "_frequent_words", lambda train, share: np.array([ngram_lm.word_hash(x.encode()) for x in spread], np.uint64))
     rng = random.Random(4)
-    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 30))) for _ in range(120)] + [None]
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(0, 30))) for _ in range(120)] + [None, "a", "x y a b", "b " * 700]
     got = {r["doc_id"]: r for r in ngram_lm.lm_scores(docs(spark, texts), spark).collect()}
     toks = {i: (t or "").lower().split() + ["</s>"] for i, t in enumerate(texts)}
     train = [i for i in toks if zlib.crc32(str(i).encode()) % 5 != 1]
     from collections import Counter
 
-    uni, bi = Counter(w for i in train for w in toks[i]), Counter(p for i in train for p in zip(["<s>", *toks[i]], toks[i]))
-    cont = Counter(w for _, w in bi)
-    d2 = ngram_lm.discounts([sum(c == k for c in bi.values()) for k in (1, 2, 3, 4)])
-    d1 = ngram_lm.discounts([sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)])
-    disc = lambda d, c: (0, *d)[min(c, 3)]
-    rest = sum(disc(d1, c) for c in cont.values()) / len(bi)
+    grams = lambda ws: zip(["", "<s>", *ws], ["<s>", *ws], ws)
+    uni, tri = Counter(w for i in train for w in toks[i]), Counter(g for i in train for g in grams(toks[i]))
+    two = Counter((v, w) for u, v, w in tri if u)
+    two.update({(v, w): c for (u, v, w), c in tri.items() if not u})
+    tri = Counter({g: c for g, c in tri.items() if g[0]})
+    one = Counter(w for _, w in two)
+    d = [ngram_lm.discounts([sum(c == k for c in x.values()) for k in (1, 2, 3, 4)]) for x in (one, two, tri)]
+    disc = lambda k, c: (0, *d[k])[min(c, 3)]
+    rest = sum(disc(0, c) for c in one.values()) / len(two)
+
+    def level(k, after, w, p):
+        if not after:
+            return p
+        n = sum(after.values())
+        return max(after.get(w, 0) - disc(k, after.get(w, 0)), 0) / n + sum(disc(k, c) for c in after.values()) / n * p
+
+    after2, after3 = {}, {}
+    for (v, w), c in two.items():
+        after2.setdefault(v, {})[w] = c
+    for (u, v, w), c in tri.items():
+        after3.setdefault((u, v), {})[w] = c
+
+    def prob(u, v, w):
+        p = max(one[w] - disc(0, one[w]), 0) / len(two) + rest / (len(uni) + 1)
+        return level(2, after3.get((u, v)), w, level(1, after2.get(v), w, p))
+
     for i, ws in toks.items():
-        s = 0.0
-        for u, w in zip(["<s>", *ws], ws):
-            p = max(cont[w] - disc(d1, cont[w]), 0) / len(bi) + rest / (len(uni) + 1)
-            after = {x: c for (a, x), c in bi.items() if a == u}
-            if after:
-                n = sum(after.values())
-                p = max(after.get(w, 0) - disc(d2, after.get(w, 0)), 0) / n + sum(disc(d2, c) for c in after.values()) / n * p
-            s += math.log10(p)
+        s = sum(math.log10(prob(*g)) for g in grams(ws))
         assert math.isclose(got[i]["score"], s, rel_tol=1e-9) and got[i]["n_tokens"] == len(ws)
         base = sum(math.log10((uni[w] + 0.5) / (sum(uni.values()) + 0.5 * (len(uni) + 1))) for w in ws)
         assert math.isclose(got[i]["base_score"], base, rel_tol=1e-9) and got[i]["train_tokens"] == sum(uni.values())
+    # The words of the corpus and an unknown one share all probability after any context.
+    for u, v in [("", "<s>"), ("<s>", "a"), ("a", "b"), ("b", "b"), ("zz", "zz")]:
+        assert math.isclose(sum(prob(u, v, w) for w in [*uni, "?"]), 1, rel_tol=1e-9)
+
+
+def test_kneser_ney_tables():
+    rng = np.random.default_rng(1)
+    h = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(1))
+    h = np.unique(np.r_[h, h[:50] ^ np.uint64(1 << 25)])  # equal upper halves
+    c, d = rng.geometric(0.6, len(h)), rng.integers(1, 1000, len(h))
+    c[:3] = (254, 255, 70000)
+    out = []
+    real = ngram_lm._write
+    try:
+        ngram_lm._write = lambda uri, *x: out.extend(x)
+        ngram_lm._write_table("", h, [c, d], (1, 1))
+    finally:
+        ngram_lm._write = real
+    t = ngram_lm._Table(np.frombuffer(b"".join(x.tobytes() for x in out), "u1"), (1, 1))
+    assert (t.find(h) == np.array([c, d])).all() and not t.find(h ^ np.uint64(1 << 60)).any()
+    u, v, w = (rng.integers(0, 40, 900).astype(np.int32) for _ in range(3))
+    v.sort()
+    n = rng.integers(1, 400, 900)
+    got = ngram_lm._unpack(ngram_lm._pack(u, v, w, n, h))
+    assert all((x == y).all() for x, y in zip(got, (h[u], h[v], h[w], n)))
