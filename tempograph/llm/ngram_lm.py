@@ -21,6 +21,7 @@ Model. Files of sorted hashes in the shared folder, one of a kind a shard,
 written under a temporary name and renamed, so a task that runs again does no
 harm. Within a shard n-grams are known by 40 bits of their hash: in a shard of
 four million n-grams some 4 in a million unseen ones meet another's count.
+Words are known by 48 bits.
 Workers map the files and search them with sorted batches of queries.
 """
 
@@ -51,7 +52,8 @@ _WORD_ROW = np.dtype([("raw", "<u8"), ("cont", "<u4"), ("total", "<u8"), ("n1",
 
 
 def word_hash(w: bytes) -> int:
-    return xxhash.xxh64_intdigest(w)
+    """Hash of a word: 48 bits, as the upper ones of 64."""
+    return xxhash.xxh64_intdigest(w) & ~0xFFFF
 
 
 def mix(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -149,6 +151,12 @@ def _bytes(c: np.ndarray) -> bytes:
     return b"".join(x.tobytes() for x in (np.array([len(c), len(big)], "<u4"), big.astype("<u4"), c[big].astype("<u8"), np.minimum(c, 255).astype("u1")))
 
 
+def _hash_bytes(h: np.ndarray) -> bytes:
+    """Word hashes in ascending order, about five bytes each: steps of the upper 16 bits, and 32 bits."""
+    upper = (h >> np.uint64(48)).astype(np.int64)
+    return _bytes(np.diff(upper, prepend=0)) + (h >> np.uint64(16)).astype("<u4").tobytes()
+
+
 class _Reader:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
@@ -165,23 +173,30 @@ class _Reader:
         c[big] = values
         return c
 
+    def hashes(self) -> np.ndarray:
+        upper = np.cumsum(self.counts()).astype(np.uint64)
+        return (upper << np.uint64(48)) | (self.take("<u4", len(upper)).astype(np.uint64) << np.uint64(16))
+
 
 def _pack(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray, hashes: np.ndarray) -> bytes:
     """Block of trigrams in order of their middle words: the block's word hashes once, then places among them."""
     words, place = np.unique(np.concatenate([u, v, w]), return_inverse=True)
     kind, n = ("<u2" if len(words) <= 1 << 16 else "<u4"), len(u)
-    place = place.astype(kind)
+    order = np.argsort(hashes[words])
+    rank = np.empty(len(words), kind)
+    rank[order] = np.arange(len(words))
+    place = rank[place]
     runs = _cuts(v)
     at = np.array([a for a, _ in runs], np.int64)
     head = np.array([len(words), n, len(runs)], "<u4")
-    return b"".join([head.tobytes(), hashes[words].tobytes(), place[n : 2 * n][at].tobytes(), _bytes(np.diff(np.r_[at, n])), place[:n].tobytes(), place[2 * n :].tobytes(), _bytes(c)])
+    return b"".join([head.tobytes(), _hash_bytes(hashes[words[order]]), place[n : 2 * n][at].tobytes(), _bytes(np.diff(np.r_[at, n])), place[:n].tobytes(), place[2 * n :].tobytes(), _bytes(c)])
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     r = _Reader(data)
     n_words, n, n_runs = r.take("<u4", 3)
     kind = "<u2" if n_words <= 1 << 16 else "<u4"
-    words, v = r.take("<u8", n_words), r.take(kind, n_runs)
+    words, v = r.hashes(), r.take(kind, n_runs)
     v = np.repeat(v, r.counts())
     u, w = r.take(kind, n), r.take(kind, n)
     return words[u], words[v], words[w], r.counts()
@@ -204,24 +219,33 @@ def _write(uri: str, *arrays: np.ndarray) -> None:
     f.move(temp, path)
 
 
-def _write_table(uri: str, h: np.ndarray, cols: list[np.ndarray], plain: tuple[int, ...]) -> None:
-    """Sorted hashes with counts; rows that equal ``plain``, the most frequent one, are hashes only."""
+#: Kinds of tables: the row that most have, which needs no counts, and the bits of a hash kept beyond 32.
+TABLES = {"trigrams": ((1,), 8), "contexts": ((1, 1, 0, 0), 8), "conts": ((1,), 8), "hot": ((1,), 8), "words": ((1, 1, 1, 1, 0, 0), 16)}
+
+
+def _lower(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(32 - bits)).astype(f"<u{bits // 8}")
+
+
+def _write_table(path: str, kind: str, shard: int, h: np.ndarray, cols: list[np.ndarray]) -> None:
+    """Sorted hashes with counts; rows that equal the kind's most frequent one are hashes only."""
+    plain, bits = TABLES[kind]
     order = np.argsort(h)
     h, cols = h[order], [c[order] for c in cols]
     is_plain = np.logical_and.reduce([c == x for c, x in zip(cols, plain)])
     out = [np.array([is_plain.sum(), (~is_plain).sum()], "<u8")]
     keys = [h[is_plain], h[~is_plain]]
     out += [(k >> np.uint64(32)).astype("<u4") for k in keys]
-    out += [(k >> np.uint64(24)).astype("u1") for k in keys]
-    _write(uri, *out, *(np.frombuffer(_bytes(c[~is_plain]), "u1") for c in cols))
+    out += [_lower(k, bits) for k in keys]
+    _write(f"{path}/{kind}-{shard}", *out, *(np.frombuffer(_bytes(c[~is_plain]), "u1") for c in cols))
 
 
 class _Table:
-    def __init__(self, raw: np.ndarray, plain: tuple[int, ...]):
-        r = _Reader(raw)
+    def __init__(self, raw: np.ndarray, kind: str):
+        r, (plain, self.bits) = _Reader(raw), TABLES[kind]
         sizes = [int(x) for x in r.take("<u8", 2)]
         hi = [r.take("<u4", n) for n in sizes]
-        lo = [r.take("u1", n) for n in sizes]
+        lo = [r.take(f"<u{self.bits // 8}", n) for n in sizes]
         self.keys, self.plain, self.cols = list(zip(hi, lo)), plain, []
         for _ in plain:
             n, n_big = (int(x) for x in r.take("<u4", 2))
@@ -247,7 +271,7 @@ class _Table:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Counts of the hashes, in order, one row a column of the table; zeros where there is none."""
-        hi, lo = (h >> np.uint64(32)).astype("<u4"), (h >> np.uint64(24)).astype("u1")
+        hi, lo = (h >> np.uint64(32)).astype("<u4"), _lower(h, self.bits)
         out = np.zeros((len(self.plain), len(h)))
         out[:, self._match(self.keys[0], hi, lo) >= 0] = np.array(self.plain, float)[:, None]
         row = self._match(self.keys[1], hi, lo)
@@ -295,11 +319,6 @@ def _map(uri: str, read):
     return _mapped[uri]
 
 
-def _word_table(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(raw) // (8 + _WORD_ROW.itemsize)
-    return raw[: 8 * n].view("<u8"), raw[8 * n :].view(_WORD_ROW)
-
-
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """D1, D2, D3+ from the numbers of n-grams seen once to four times; fixed ones where the corpus has none."""
     n1, n2, n3, n4 = n
@@ -327,22 +346,17 @@ class Model:
     def words(self, h: np.ndarray) -> np.ndarray:
         """Rows of words, with the totals of frequent ones; zeros for unknown words."""
         out = np.zeros(len(h), _WORD_ROW)
-        for s, at in self._by_shard(self.sharding.word(h), h):
-            if (found := _map(f"{self.path}/words-{s}", _word_table)) is None:
-                continue
-            have, rows = found
-            i = np.minimum(np.searchsorted(have, h[at]), len(have) - 1)
-            hit = have[i] == h[at]
-            out[at[hit]] = rows[i[hit]]
+        for name, x in zip(_WORD_ROW.names, self._counts("words", self.sharding.word(h), h)):
+            out[name] = x
         place = self.sharding.place(h)
         for j, name in enumerate(("total", "n1", "n2", "n3")):
             out[name][place >= 0] = self.hot[place[place >= 0], j]
         return out
 
-    def _counts(self, name: str, shard: np.ndarray, h: np.ndarray, plain: tuple[int, ...]) -> np.ndarray:
-        out = np.zeros((len(plain), len(h)))
+    def _counts(self, kind: str, shard: np.ndarray, h: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(TABLES[kind][0]), len(h)))
         for s, at in self._by_shard(shard, h):
-            if (t := _map(f"{self.path}/{name}-{s}", lambda raw: _Table(raw, plain))) is not None:
+            if (t := _map(f"{self.path}/{kind}-{s}", lambda raw: _Table(raw, kind))) is not None:
                 out[:, at] = t.find(h[at])
         return out
 
@@ -366,15 +380,15 @@ class Model:
         hot = frequent[v]
         for name, on, shard in (("hot", hot, of[w]), ("conts", ~hot, of[v])):
             i = np.flatnonzero(on)
-            a[i] = self._counts(name, shard[i], two[i], (1,))[0]
+            a[i] = self._counts(name, shard[i], two[i])[0]
         p = level(a, rows["total"][v].astype(np.float64), [rows[x][v].astype(np.float64) for x in ("n1", "n2", "n3")], self.d2, p)
         i = np.flatnonzero(v != 0)  # a first token has no third word
         context = mix(hashes[u[i]], hashes[v[i]])
         shard = np.where(hot[i], self.sharding.word(context), of[v[i]])
-        total, *n = self._counts("contexts", shard, context, (1, 1, 0, 0))
+        total, *n = self._counts("contexts", shard, context)
         c = np.zeros(len(i))
         known = np.flatnonzero(total > 0)
-        c[known] = self._counts("trigrams", shard[known], mix(context[known], hashes[w[i[known]]]), (1,))[0]
+        c[known] = self._counts("trigrams", shard[known], mix(context[known], hashes[w[i[known]]]))[0]
         p[i] = level(c, total, n, self.d3, p[i])
         return np.log10(p)
 
@@ -480,9 +494,9 @@ def train_model(train: DataFrame, path: str, frequent_share: float | None = None
             del order, at
             real = v != start
             if real.any():
-                _write_table(f"{path}/trigrams-{s}", h[real], [c[real]], (1,))
+                _write_table(path, "trigrams", s, h[real], [c[real]])
                 key, *stats = _sum_by(mix(u[real], v[real]), c[real], *by_count(c[real]))
-                _write_table(f"{path}/contexts-{s}", key, stats, (1, 1, 0, 0))
+                _write_table(path, "contexts", s, key, stats)
             yield row("trigrams", s, int(real.sum()), tally(c[real]))
             del h, u
             # Bigrams of the last two words: how many words stand before them; of first tokens, how often they occur.
@@ -496,7 +510,7 @@ def train_model(train: DataFrame, path: str, frequent_share: float | None = None
             place = sharding.place(v)
             own = place < 0
             if own.any():
-                _write_table(f"{path}/conts-{s}", two[own], [a[own]], (1,))
+                _write_table(path, "conts", s, two[own], [a[own]])
             yield row("conts", s, int(own.sum()), tally(a[own]))
             left, *totals = _sum_by(v[own], a[own], *by_count(a[own]))
             right, raw, conts = _sum_by(w, raw, own.astype(np.int64))
@@ -507,13 +521,13 @@ def train_model(train: DataFrame, path: str, frequent_share: float | None = None
             order = np.argsort(to, kind="stable")
             for x, y in _cuts(to[order]):
                 i = order[x:y]
-                yield row("word", int(to[i[0]]), len(i), None, key[i].tobytes() + b"".join(_bytes(k[i]) for k in cols))
+                yield row("word", int(to[i[0]]), len(i), None, _hash_bytes(key[i]) + b"".join(_bytes(k[i]) for k in cols))
             spread = np.flatnonzero(~own)
             to = sharding.word(w[spread])
-            order = np.argsort(to, kind="stable")
+            order = np.lexsort((w[spread], to))
             for x, y in _cuts(to[order]):
                 i = spread[order[x:y]]
-                yield row("spread", int(to[order[x]]), len(i), None, w[i].tobytes() + place[i].astype("<u4").tobytes() + _bytes(a[i]))
+                yield row("spread", int(to[order[x]]), len(i), None, _hash_bytes(w[i]) + place[i].astype("<u2").tobytes() + _bytes(a[i]))
 
     def reduce_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, dict[str, list]] = {}
@@ -528,13 +542,13 @@ def train_model(train: DataFrame, path: str, frequent_share: float | None = None
             keys, cols = [], [[] for _ in _WORD_ROW.names]
             for k, d in parts["word"]:
                 r = _Reader(d)
-                keys.append(r.take("<u8", k))
+                keys.append(r.hashes())
                 for x in cols:
                     x.append(r.counts())
             pairs = []
             for k, d in parts["spread"]:
                 r = _Reader(d)
-                pairs.append((r.take("<u8", k), r.take("<u4", k), r.counts()))
+                pairs.append((r.hashes(), r.take("<u2", k), r.counts()))
             if pairs:
                 w, place, a = (np.concatenate(x) for x in zip(*pairs))
                 two = mix(sharding.frequent[place], w)
@@ -542,7 +556,7 @@ def train_model(train: DataFrame, path: str, frequent_share: float | None = None
                 two = two[order]
                 at = np.flatnonzero(np.r_[True, two[1:] != two[:-1]])
                 a, two, w, place = np.add.reduceat(a[order], at), two[at], w[order[at]], place[order[at]]
-                _write_table(f"{path}/hot-{s}", two, [a], (1,))
+                _write_table(path, "hot", s, two, [a])
                 yield row("conts", s, len(a), tally(a))
                 hot, *stats = _sum_by(place, a, *by_count(a))
                 for i, x in zip(hot.tolist(), zip(*(x.tolist() for x in stats))):
@@ -552,10 +566,7 @@ def train_model(train: DataFrame, path: str, frequent_share: float | None = None
                 for name, x in zip(_WORD_ROW.names, cols):
                     x.append(more if name == "cont" else np.zeros(len(w), np.int64))
             key, *sums = _sum_by(np.concatenate(keys), *(np.concatenate(x) for x in cols))
-            out = np.zeros(len(key), _WORD_ROW)
-            for name, x in zip(_WORD_ROW.names, sums):
-                out[name] = x
-            _write(f"{path}/words-{s}", key.astype("<u8"), out)
+            _write_table(path, "words", s, key, sums)
             raw, cont = sums[0], sums[1]
             yield row("words", s, len(key), [int(raw.sum()), int((raw > 0).sum()), int(cont.sum()), int((cont >= 3).sum()), *tally(cont)])
 

@@ -281,21 +281,20 @@ def test_kneser_ney(spark, monkeypatch, spread):
         assert math.isclose(sum(prob(u, v, w) for w in [*uni, "?"]), 1, rel_tol=1e-9)
 
 
-def test_kneser_ney_tables():
+def test_kneser_ney_tables(monkeypatch):
     rng = np.random.default_rng(1)
-    h = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(1))
+    h = np.unique(rng.integers(0, 1 << 48, 5000).astype(np.uint64) << np.uint64(16))
     h = np.unique(np.r_[h, h[:50] ^ np.uint64(1 << 25)])  # equal upper halves
-    c, d = rng.geometric(0.6, len(h)), rng.integers(1, 1000, len(h))
+    c, d = rng.geometric(0.6, len(h)), rng.integers(1, 3, (3, len(h)))
     c[:3] = (254, 255, 70000)
     out = []
-    real = ngram_lm._write
-    try:
-        ngram_lm._write = lambda uri, *x: out.extend(x)
-        ngram_lm._write_table("", h, [c, d], (1, 1))
-    finally:
-        ngram_lm._write = real
-    t = ngram_lm._Table(np.frombuffer(b"".join(x.tobytes() for x in out), "u1"), (1, 1))
-    assert (t.find(h) == np.array([c, d])).all() and not t.find(h ^ np.uint64(1 << 60)).any()
+    monkeypatch.setattr(ngram_lm, "_write", lambda uri, *x: out.extend(x))
+    for kind, cols in (("trigrams", [c]), ("contexts", [c, *d]), ("words", [c, c, *d, c])):
+        out.clear()
+        ngram_lm._write_table("", kind, 0, h, cols)
+        t = ngram_lm._Table(np.frombuffer(b"".join(x.tobytes() for x in out), "u1"), kind)
+        assert (t.find(h) == np.array(cols)).all() and not t.find(h ^ np.uint64(1 << 60)).any()
+    assert (ngram_lm._Reader(ngram_lm._hash_bytes(h)).hashes() == h).all()
     u, v, w = (rng.integers(0, 40, 900).astype(np.int32) for _ in range(3))
     v.sort()
     n = rng.integers(1, 400, 900)
