@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempograph.llm import compaction, jaccard_join, line_dedup, mixing, ngram_lm, packing, quality_classifier, quality_rules, token_counts, topk
+from tempograph.llm import compaction, fill_middle, jaccard_join, line_dedup, mixing, ngram_lm, packing, personal_data, quality_classifier, quality_rules, token_counts, topk, whitening
 
 
 def tokenizer_file(name: str) -> str:
@@ -70,6 +70,22 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.lm_scores(docs, spark).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data.find_personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.sha2(personal_data.span_text("base"), 256).alias("base_sha256")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", base, personal_data.span_text("spans").alias("spans"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(_read(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_compaction, op3_exact_topk, op4_source_mixing, op5_quality_classifier, op6_packing,
-        op7_line_dedup, op8_quality_rules, op9_jaccard_join, op10_kneser_ney, pipeline,
+        op7_line_dedup, op8_quality_rules, op9_jaccard_join, op10_kneser_ney, op11_fill_middle, op12_personal_data, op13_whitening, pipeline,
     )
 }
 
@@ -140,5 +156,21 @@ both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach AS (SELECT a AS x, a AS y FROM both_ UNION SELECT r.x, e.b FROM reach r JOIN both_ e ON e.a = r.y)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.m, d.doc_id) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) c ON c.x = d.doc_id
+""",
+    "op11_fill_middle": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (
+  SELECT *, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM t),
+c AS (
+  SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+         least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM k),
+p AS (
+  SELECT doc_id, n, form, text, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
 """,
 }

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tempograph.llm import compaction, jaccard_join, line_dedup, mixing, ngram_lm, packing, quality_classifier, quality_rules, token_counts, topk
+from tempograph.llm import compaction, fill_middle, jaccard_join, line_dedup, mixing, ngram_lm, packing, personal_data, quality_classifier, quality_rules, token_counts, topk, whitening
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -40,11 +40,13 @@ OPS = {
     "op7": lambda d, lab: line_dedup.dedup_lines(d),
     "op8": lambda d, lab: quality_rules.rule_verdicts(d, lab),
     "op10": lambda d, lab: ngram_lm.lm_scores(d, d.sparkSession),
+    "op11": lambda d, lab: fill_middle.fill_in_middle(d.drop("n")).withColumn("n", F.lit("n")).select(*d.columns, "form", "output", "prefix_chars"),
+    "op12": lambda d, lab: personal_data.find_personal_data(d),
     "op4 pipeline": lambda d, lab: mixing.apply_mix(d),
     "op5 pipeline": lambda d, lab: quality_classifier.drop_low_quality(d, lab),
     "op9 pipeline": lambda d, lab: jaccard_join.keep_one(d),
 }
-ADDED = {"op1": "n_tokens", "op2": "shard", "op5": "score", "op7": "n_lines", "op8": "kept", "op10": "held_out"}
+ADDED = {"op1": "n_tokens", "op2": "shard", "op5": "score", "op7": "n_lines", "op8": "kept", "op10": "held_out", "op11": "form", "op12": "spans"}
 
 
 @pytest.mark.parametrize("op", OPS)
@@ -55,7 +57,7 @@ def test_rows_and_columns_are_kept(spark, table, labels, op):
     assert all(r[c] == c for r in got for c in CLASH)
     if "pipeline" not in op:
         assert rows_kept(got, ("doc_id", "source")) == rows_kept([dict(zip(("doc_id", "text", "source"), r)) for r in ROWS], ("doc_id", "source"))
-    if op in ("op1", "op2", "op5", "op8", "op10"):
+    if op in ("op1", "op2", "op5", "op8", "op10", "op11", "op12"):
         assert rows_kept(got) == ALL
     if op == "op1":
         import sentencepiece
@@ -65,6 +67,8 @@ def test_rows_and_columns_are_kept(spark, table, labels, op):
     if op == "op7":  # one of the three tied rows keeps its lines, the first
         assert sorted(str((r["doc_id"], r["n_deleted"])) for r in got if r["doc_id"] in (1, 2)) == ["(1, 0)", "(1, 2)", "(2, 2)"]
         assert [r["text"] for r in got if r["doc_id"] == 4] == [LONG] and all(r["text"] == "" for r in got if r["n_deleted"])
+    if op == "op11":
+        assert all((r["form"] == "plain") == (r["prefix_chars"] is None) for r in got) and all(r["form"] == "plain" and r["output"] == "" for r in got if not r["text"])
     if op == "op9 pipeline":
         assert rows_kept(got) == sorted(set(ALL) - {str(ROWS[2])})
     if op == "op4 pipeline":
