@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tempograph.operators import anomaly, graph, stats, temporal
-from tempograph.plans import models
-from tempograph.plans.registry import NODES, W, _flat, _hops, _steps, query
+from tempograph.plans import models, walk
+from tempograph.plans.registry import NODES, TEST, W, _flat, _hops, _steps, query
 from tempograph.sources import files
 from tempograph.sources import graph as g
 
-TEST, ALL = list(range(g.VAL_END + 1, g.STEPS + 1)), list(range(1, g.STEPS + 1))
+ALL = list(range(1, g.STEPS + 1))
 #: Rows of each label that a step needs before its separability is read.
 LEAST = 3
 
@@ -22,7 +22,7 @@ def l1_static(spark, d):
 
 @query()
 def mlp_static(spark, d):
-    return models.mlp_scores(g.features(spark, d), 4)
+    return walk.static(g.features(spark, d), 4, g.TRAIN_END, TEST, "mlp")
 
 
 @query()
@@ -32,7 +32,7 @@ def gbt_walk_forward_decay(spark, d):
 
 @query()
 def lr_walk_forward_window(spark, d):
-    return models.walk_forward_scores(g.features(spark, d), "lr", 4, TEST, ALL, lam=0.0, window=10)
+    return walk.decide(walk.run(g.features(spark, d), 4, TEST, lam=0.0, window=10))
 
 
 @query()
@@ -44,7 +44,39 @@ def ipca_walk_forward(spark, d):
 def ema_walk_forward(spark, d):
     # The smoothed state of a step holds the steps before it only.
     c = temporal.causal_shift(temporal.ema(_steps(spark, d), "mean_value"), "h")
-    return models.walk_forward_scores(models.with_context(g.features(spark, d), c, ["shifted"]), "lr", 5, TEST, ALL, lam=0.0)
+    return walk.decide(walk.run(models.with_context(g.features(spark, d), c, ["shifted"]), 5, TEST, lam=0.0))
+
+
+@query()
+def walk_forward_metrics(spark, d):
+    return walk.step_metrics(walk.decide(walk.run(g.features(spark, d), 4, TEST)))
+
+
+@query()
+def walk_forward_metrics_propagated(spark, d):
+    n = g.nodes(spark, d)
+    s = graph.symmetric_operator(n, g.dirty_edges(g.edges_of(n)))
+    x = g.features(spark, d)
+    hops = graph.propagate(s, x, 1, 4, multiscale=True).join(x.select("tau", "txid", "label"), ["tau", "txid"])
+    return walk.step_metrics(walk.decide(walk.run(hops, 8, TEST)))
+
+
+@query()
+def walk_forward_metrics_lags(spark, d):
+    lags = temporal.lag_features(_steps(spark, d), ["n", "rate", "mean_value"], 3, g.TRAIN_END)  # 18 figures a step, of earlier steps only
+    x = g.features(spark, d).join(F.broadcast(lags.withColumnRenamed("features", "lags")), "tau").withColumn("features", F.concat("features", "lags"))
+    return walk.step_metrics(walk.decide(walk.run(x, 22, TEST)))
+
+
+@query()
+def mlp_walk_forward(spark, d):
+    return walk.step_metrics(walk.decide(walk.run(g.features(spark, d), 4, TEST, "mlp", lam=0.0)))
+
+
+@query()
+def ensemble_walk_forward(spark, d):
+    x = g.features(spark, d)
+    return walk.step_metrics(walk.decide(walk.blend(walk.run(x, 4, TEST), walk.run(x, 4, TEST, "mlp"))))
 
 
 @query()

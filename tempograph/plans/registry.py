@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tempograph.functions import names
 from tempograph.operators import evaluate, graph, stats, store, temporal
-from tempograph.plans import models
+from tempograph.plans import models, walk
 from tempograph.sources import graph as g
 from tempograph.streaming import windows
 
+TEST = list(range(g.VAL_END + 1, g.STEPS + 1))
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -513,7 +514,7 @@ def incremental_pca_moments(spark, d):
 
 @query()
 def lr_static(spark, d):
-    return models.static_scores(g.features(spark, d), "lr", 4)
+    return walk.static(g.features(spark, d), 4, g.TRAIN_END, TEST)
 
 
 @query()
@@ -528,7 +529,7 @@ def gbt_static(spark, d):
 
 @query()
 def lr_walk_forward_decay(spark, d):
-    return models.walk_forward_scores(g.features(spark, d), "lr", 4, list(range(g.VAL_END + 1, 50)), list(range(1, 50)))
+    return walk.decide(walk.run(g.features(spark, d), 4, TEST))
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

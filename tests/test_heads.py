@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tempograph.operators import anomaly
-from tempograph.plans import models
+from tempograph.plans import models, walk
 
 
 def _brute_path(tree, row):
@@ -62,7 +62,7 @@ def test_walk_forward_on_moving_bases_and_context(spark):
     x = _steps(spark)
     p = models.ipca_walk_forward(x, "lr", 2, 1, [5, 6], list(range(1, 7)))
     assert p.groupBy("tau").count().orderBy("tau").collect() == [(5, 40), (6, 40)]
-    m = {r["tau"]: r for r in models.walk_forward_metrics(p).collect()}
+    m = {r["tau"]: r for r in walk.step_metrics(p).collect()}
     for tau, r in m.items():
         assert r["n"] == 40 and r["tp"] + r["fn"] == 1 and np.isclose(r["f1"], 2 * r["tp"] / (2 * r["tp"] + r["fp"] + r["fn"]))
     c = models.with_context(x, spark.createDataFrame([(1, 9.0)], "tau int, h double"), ["h"])
