@@ -164,7 +164,7 @@ def permutation_test(points: DataFrame, by: str, gamma: float, n_perm: int = 100
 
     def run(g, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({by: [], "m": [], "n": [], "sums": []})
+            return pd.DataFrame({by: [], "m": [], "n": [], "sums": []}, dtype=object)
         m, n = int(left["m"].iloc[0]), int(left["n"].iloc[0])
         side = np.repeat([0, 1], [m, n - m])  # as sorted by side and id
         a, b = left["at"].to_numpy(), right["at"].to_numpy()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tempograph.operators import anomaly, graph, stats, temporal
+from tempograph.operators import anomaly, draws, graph, stats, temporal
 from tempograph.plans import models, walk
 from tempograph.plans.registry import NODES, TEST, W, _flat, _hops, _steps, query
 from tempograph.sources import files
@@ -137,3 +137,64 @@ def label_separability_series(spark, d):
 SELECT 'left' AS side, name FROM (SELECT name FROM l EXCEPT ALL SELECT name FROM r) UNION ALL SELECT 'right', name FROM (SELECT name FROM r EXCEPT ALL SELECT name FROM l)""")
 def schema_difference(spark, d):
     return files.schema_diff(spark, g.table(spark, d, "documents"), g.table(spark, d, "labels")).select("side", "name")
+
+
+def _scaled(spark, d):
+    return stats.zscore(g.features(spark, d), 4, F.lit(True))
+
+
+_DRAWN = """z AS (SELECT tau, txid, label, """ + ", ".join(f"(f[{i}] - avg(f[{i}]) OVER ()) / CASE WHEN stddev_pop(f[{i}]) OVER () > 0 THEN stddev_pop(f[{i}]) OVER () ELSE 1 END AS z{i}" for i in range(1, 5)) + """ FROM feats),
+cnt AS (SELECT tau, count(*) AS n, count(*) FILTER (label = 1) AS i FROM z GROUP BY tau),
+mm AS (SELECT least(800, min(n)) AS m FROM cnt),
+c0 AS (SELECT * FROM (SELECT *, md5('0:' || txid) AS h, row_number() OVER (PARTITION BY tau ORDER BY md5('0:' || txid), txid) AS r FROM z) WHERE r <= (SELECT m FROM mm)),
+pool AS (SELECT * FROM c0 ORDER BY h, txid LIMIT 2000),
+sig AS (SELECT median(sqrt(power(a.z1 - b.z1, 2) + power(a.z2 - b.z2, 2) + power(a.z3 - b.z3, 2) + power(a.z4 - b.z4, 2))) AS s FROM pool a JOIN pool b ON a.txid < b.txid),
+drawn AS (SELECT * FROM (
+  SELECT 'Base' AS variation, (SELECT m FROM mm) AS m, seed, z.*, row_number() OVER (PARTITION BY seed, tau ORDER BY md5(seed || ':' || txid), txid) AS r FROM z, (SELECT unnest(range(10)) AS seed)
+  UNION ALL SELECT 'Illicit', 24, seed, z.*, row_number() OVER (PARTITION BY seed, tau ORDER BY md5(seed || ':' || txid), txid) FROM z, (SELECT unnest(range(10)) AS seed) WHERE label = 1 AND tau IN (SELECT tau FROM cnt WHERE i >= 24))
+  WHERE r <= m),
+kern AS (SELECT a.variation, a.seed, a.m, a.tau, b.tau AS tau2, sum(exp(-(power(a.z1 - b.z1, 2) + power(a.z2 - b.z2, 2) + power(a.z3 - b.z3, 2) + power(a.z4 - b.z4, 2)) / (2 * s * s))) AS k
+  FROM drawn a JOIN drawn b ON a.variation = b.variation AND a.seed = b.seed AND (b.tau = a.tau OR b.tau = a.tau + 1) AND a.txid <> b.txid, sig GROUP BY ALL),
+raw AS (SELECT x.variation, x.seed, CAST(x.m AS INT) AS m, x.tau, (x.k + y.k) / (x.m * (x.m - 1)) - 2 * c.k / (x.m * x.m) AS mmd2 FROM kern x JOIN kern y USING (variation, seed) JOIN kern c USING (variation, seed)
+  WHERE x.tau2 = x.tau AND y.tau2 = y.tau AND y.tau = x.tau + 1 AND c.tau = x.tau AND c.tau2 = x.tau + 1),
+med AS (SELECT variation, seed, median(mmd2) AS med, mad(mmd2) AS mad FROM raw WHERE tau NOT IN (40, 41, 42, 43, 44) GROUP BY ALL)"""
+
+
+@query(f"{W}, {_DRAWN} SELECT variation, tau, CAST(seed AS INT) AS seed, m, round(mmd2, 8) AS mmd2, round((mmd2 - med) / (1.4826 * mad), 4) AS z, CAST(rank() OVER (PARTITION BY variation, seed ORDER BY mmd2 DESC) AS INT) AS rank FROM raw LEFT JOIN med USING (variation, seed)")
+def mmd_canary(spark, d):
+    return draws.canary(_scaled(spark, d)).select("variation", "tau", "seed", "m", F.round("mmd2", 8).alias("mmd2"), F.round("z", 4).alias("z"), "rank")
+
+
+@query(f"{W}, {_DRAWN}, k AS (SELECT variation, tau, rank() OVER (PARTITION BY variation, seed ORDER BY mmd2 DESC) AS rank FROM raw) SELECT variation, tau, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS first_share, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS top_share, median(rank) AS median_rank FROM k GROUP BY ALL")
+def canary_rank_share(spark, d):
+    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
+    rows = draws.canary(_scaled(spark, d))
+    return rows.groupBy("variation", "tau").agg(share(F.col("rank") == 1).alias("first_share"), share(F.col("rank") <= 10).alias("top_share"), F.median("rank").alias("median_rank"))
+
+
+@query()
+def mmd_canary_verdict(spark, d):
+    x = _scaled(spark, d)
+    return draws.canary_verdict(draws.canary(x), draws.shock_permutation(x, 1 / (2 * draws.kernel_width(x) ** 2)))
+
+
+def _draw_rows(spark, d):
+    n = g.nodes(spark, d)
+    x = stats.zscore(g.features(spark, d), 4, F.col("label") != -1)
+    s = graph.symmetric_operator(n, g.edges_of(n))
+    moved = graph.propagate(s, x, 1, 4, multiscale=True).join(x.select("tau", "txid", "label"), ["tau", "txid"])
+    out = []
+    for name, rows in (("raw", x), ("propagated", moved)):  # each representation has its own kernel width
+        gamma = 1 / (2 * draws.kernel_width(rows.filter("label <> -1")) ** 2)
+        out.append(draws.separability(rows, gamma).withColumn("representation", F.lit(name)))
+    return out[0].unionByName(out[1])
+
+
+@query()
+def label_separability_draws(spark, d):
+    return _draw_rows(spark, d)
+
+
+@query()
+def propagation_verdict(spark, d):
+    return draws.broadcast_verdict(_draw_rows(spark, d), "raw", "propagated")
