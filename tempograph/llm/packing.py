@@ -2,7 +2,7 @@
 
 A piece of n tokens costs ``linear * n + quadratic * n**2`` (attention inside a
 piece). Documents longer than a sequence are cut into full sequences; what
-remains is packed in blocks: the block's tokens fix the number of sequences,
+remains is packed in blocks (closed by documents or by tokens): the block's tokens fix the number of sequences,
 documents are taken by descending length, and each goes to the sequence of the
 lowest cost with room. A document that fits nowhere is cut over the cheapest
 open sequences, so all sequences of a block are full. Only the last sequence of
@@ -29,6 +29,8 @@ CAPACITY = 1024
 LINEAR = 1.0
 QUADRATIC = 1.0 / 1024
 BLOCK_DOCS = 2048
+#: A block also closes at so many tokens; texts are encoded in slices of so many code points, or one text.
+BLOCK_TOKENS, SLICE_CHARS = 1 << 20, 1 << 20
 END_ID = 0
 
 
@@ -229,20 +231,36 @@ def pack_documents(
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cols[2])].astype(np.int32)), pa.array(flat))
         return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols[:-1], types)), ids], names)
 
+    def slices(b: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+        """Ids and texts of a batch, 64 rows or ``SLICE_CHARS`` at a time; only these become Python strings."""
+        ids, texts = b.column(0).to_pylist(), b.column(1)
+        own: tuple[list, list[str]] = [], []
+        size = 0
+        for i, k in enumerate(ids):
+            own[0].append(k)
+            own[1].append(texts[i].as_py())
+            size += len(own[1][-1])
+            if len(own[0]) >= 64 or size >= SLICE_CHARS:
+                yield own
+                own, size = ([], []), 0
+        if own[0]:
+            yield own
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe_encoder(tokenizer_path)
         packer = Packer(capacity, TaskContext.get().partitionId() << 33, keep_ids)
         waiting: list[tuple[object, np.ndarray]] = []
+        held = 0
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(ids), 64):
-                tokens = encode(texts[at : at + 64])
-                waiting += [(k, np.array([*t, end_id], "<u4")) for k, t in zip(ids[at : at + 64], tokens)]
-                if len(waiting) >= block_docs:
-                    rows = packer.add(waiting)
-                    waiting = []
-                    if rows:
-                        yield table(rows)
+            for keys, texts in slices(b):
+                for k, t in zip(keys, encode(texts)):
+                    waiting.append((k, np.array([*t, end_id], "<u4")))
+                    held += len(t) + 1
+                    if len(waiting) >= block_docs or held >= BLOCK_TOKENS:
+                        rows = packer.add(waiting)
+                        waiting, held = [], 0
+                        if rows:
+                            yield table(rows)
         rows = packer.add(waiting) + packer.close()
         if rows:
             yield table(rows)
