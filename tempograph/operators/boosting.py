@@ -104,28 +104,37 @@ def split(hist: np.ndarray, lam: float = 1.0, least: float = 1.0) -> tuple[np.nd
     return feature, best % gain.shape[2], np.where(feature >= 0, top, 0.0)
 
 
+def growing(depth: int) -> Tree:
+    """A tree of one leaf with room for ``depth`` levels."""
+    size = (1 << depth + 1) - 1
+    return Tree(np.full(size, -1), np.zeros(size, np.int64), np.zeros(size))
+
+
+def grow_level(tree: Tree, level: int, hist: np.ndarray, eta: float, lam: float = 1.0, least: float = 1.0) -> bool:
+    """Split the level's nodes by their histograms; whether any was split."""
+    first = (1 << level) - 1
+    feature, cut, _ = split(hist, lam, least)
+    total = hist.sum(axis=2)[:, 0]
+    left = np.cumsum(hist, axis=2)
+    for k in range(1 << level):
+        i = first + k
+        if level and tree.feature[(i - 1) // 2] < 0:
+            continue
+        if not level:
+            tree.value[i] = -eta * total[k, 0] / (total[k, 1] + lam)
+        if feature[k] >= 0:
+            tree.feature[i], tree.cut[i] = feature[k], cut[k]
+            l = left[k, feature[k], cut[k]]  # noqa: E741
+            for child, s in ((2 * i + 1, l), (2 * i + 2, total[k] - l)):
+                tree.value[child] = -eta * s[0] / (s[1] + lam)
+    return bool((tree.feature[first : first + (1 << level)] >= 0).any())
+
+
 def grow(sums: Callable[[Tree, int], np.ndarray], depth: int, eta: float, lam: float = 1.0, least: float = 1.0) -> Tree:
     """One tree. ``sums(tree, level)`` has the histogram of the level's 2**level nodes."""
-    size = (1 << depth + 1) - 1
-    tree = Tree(np.full(size, -1), np.zeros(size, np.int64), np.zeros(size))
+    tree = growing(depth)
     for level in range(depth):
-        first = (1 << level) - 1
-        hist = sums(tree, level)
-        feature, cut, _ = split(hist, lam, least)
-        total = hist.sum(axis=2)[:, 0]
-        left = np.cumsum(hist, axis=2)
-        for k in range(1 << level):
-            i = first + k
-            if level and tree.feature[(i - 1) // 2] < 0:
-                continue
-            if not level:
-                tree.value[i] = -eta * total[k, 0] / (total[k, 1] + lam)
-            if feature[k] >= 0:
-                tree.feature[i], tree.cut[i] = feature[k], cut[k]
-                l = left[k, feature[k], cut[k]]  # noqa: E741
-                for child, s in ((2 * i + 1, l), (2 * i + 2, total[k] - l)):
-                    tree.value[child] = -eta * s[0] / (s[1] + lam)
-        if (tree.feature[first : first + (1 << level)] < 0).all():
+        if not grow_level(tree, level, sums(tree, level), eta, lam, least):
             break
     return tree
 

@@ -49,16 +49,21 @@ def _add_arrays(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def tree_sum(packed: DataFrame, one: Callable[[Iterator[Block]], object], add: Callable[[object, object], object] = _add_arrays):
-    """What ``one`` gives for each task, merged by ``add`` (sums of arrays); None where no task gives anything."""
+    """What ``one`` gives for the blocks of each task, merged by ``add`` (sums of arrays); None where no task gives anything."""
+    return tree_sum_of(packed, lambda batches: one(unpacked(batches)), add)
+
+
+def tree_sum_of(rows: DataFrame, one: Callable[[Iterator[pa.RecordBatch]], object], add: Callable[[object, object], object] = _add_arrays):
+    """``tree_sum`` over Arrow batches of any rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = one(unpacked(batches))
+        part = one(batches)
         if part is not None:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(part)], pa.binary())], ["part"])
 
-    frame = packed.mapInArrow(run, "part binary")
+    frame = rows.mapInArrow(run, "part binary")
     both = lambda a, b: b if a is None else a if b is None else add(a, b)
-    tasks = packed.rdd.getNumPartitions()
+    tasks = rows.rdd.getNumPartitions()
     if tasks <= MEET:  # so few partial results need no tree
         return reduce(both, (pickle.loads(r["part"]) for r in frame.collect()), None)
     parts, depth = frame.rdd, 2

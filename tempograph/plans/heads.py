@@ -27,7 +27,7 @@ def mlp_static(spark, d):
 
 @query()
 def gbt_walk_forward_decay(spark, d):
-    return models.walk_forward_scores(g.features(spark, d), "gbt", 4, TEST, ALL)
+    return walk.decide(walk.run(g.features(spark, d), 4, TEST, "gbt"))
 
 
 @query()
@@ -76,7 +76,7 @@ def mlp_walk_forward(spark, d):
 @query()
 def ensemble_walk_forward(spark, d):
     x = g.features(spark, d)
-    return walk.step_metrics(walk.decide(walk.blend(walk.run(x, 4, TEST), walk.run(x, 4, TEST, "mlp"))))
+    return walk.step_metrics(walk.decide(walk.blend(walk.run(x, 4, TEST, "mlp"), walk.run(x, 4, TEST, "gbt"))))
 
 
 @query()

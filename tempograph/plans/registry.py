@@ -524,7 +524,7 @@ def rf_static(spark, d):
 
 @query()
 def gbt_static(spark, d):
-    return models.static_scores(g.features(spark, d), "gbt", 4)
+    return walk.static(g.features(spark, d), 4, g.TRAIN_END, TEST, "gbt", trees=60, depth=6)
 
 
 @query()

@@ -18,9 +18,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.operators import evaluate
+from tempograph.operators import boosting, evaluate
 from tempograph.operators.boosting import sigmoid
-from tempograph.operators.sums import moments, pack, tree_sum, unpacked
+from tempograph.operators.sums import moments, pack, tree_sum, tree_sum_of, unpacked
 from tempograph.operators.temporal import blocks
 
 #: Newton rounds at most, and the step below which a fit is done.
@@ -228,6 +228,127 @@ def fit_mlp(packed: DataFrame, walk: Walk, hidden: int = 16, epochs: int = 100,
     return params, losses
 
 
+#: Trees after which the margins are checkpointed, if the session has a folder for that.
+KEEP = 20
+
+
+def _can_checkpoint(df: DataFrame) -> bool:
+    sc = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().isDefined()
+
+
+def feature_edges(x: DataFrame, width: int, bins: int) -> list[np.ndarray]:
+    """Inner quantiles of each feature, up to ``bins - 1`` distinct ones; approximate, from mergeable sketches."""
+    probs = [i / bins for i in range(1, bins)]
+    r = x.agg(*[F.percentile_approx(F.col("features")[i], probs, 10_000) for i in range(width)]).first()
+    out = []
+    for q in r:
+        q = np.unique(np.array([v for v in q or [] if v is not None and np.isfinite(v)], float))
+        out.append(q)
+    return out
+
+
+def _binned(packed: DataFrame, edges: list[np.ndarray], base: np.ndarray) -> DataFrame:
+    """Packed rows that a model trains on, with features as bytes and the margin of every model."""
+    coder = boosting.Booster(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tau, txid, label, x in unpacked(batches):
+            at = np.flatnonzero((label == 0) | (label == 1))
+            margin = np.repeat(base[:, None], len(at), axis=1)
+            cols = [c.tobytes() for c in (tau[at], label[at], coder.bins(x[at]), margin)]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], ["tau", "label", "bins", "margin"])
+
+    return packed.mapInArrow(run, "tau binary, label binary, bins binary, margin binary")
+
+
+def _raised(binned: DataFrame, trees: list[boosting.Tree | None], width: int) -> DataFrame:
+    """Margins with a tree more for each model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tau, label, bins, margin in _binned_blocks(batches, width, len(trees)):
+            margin = margin.copy()
+            for k, t in enumerate(trees):
+                if t is not None:
+                    margin[k] += t.value[t.nodes(bins)]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in (tau, label, bins, margin)], ["tau", "label", "bins", "margin"])
+
+    return binned.mapInArrow(run, "tau binary, label binary, bins binary, margin binary")
+
+
+def _binned_blocks(batches: Iterator[pa.RecordBatch], width: int, models: int) -> Iterator[tuple[np.ndarray, ...]]:
+    for b in batches:
+        for i in range(b.num_rows):
+            tau, label, bins, margin = (np.frombuffer(b.column(k)[i].as_py(), t) for k, t in enumerate((np.int32, np.int32, np.uint8, np.float64)))
+            yield tau, label, bins.reshape(len(tau), width), margin.reshape(models, len(tau))
+
+
+def level_sums(walk: Walk, trees: list[boosting.Tree | None], level: int, width: int, bins: int) -> Callable[[Iterator], Params]:
+    """(model, node, feature, bin, 2): sums of gradients and curvatures at a level of the models' current trees; None stands for a tree's root."""
+    m, nodes = len(walk.models), 1 << level
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Params:
+        out = np.zeros((m, nodes, width, bins, 2))
+        for tau, label, b, margin in _binned_blocks(batches, width, m):
+            at, weight = walk.rows(tau, label)  # all rows are labelled
+            for k in range(m):
+                use = weight[k] > 0
+                own, w = b[use], weight[k][use]
+                p = sigmoid(margin[k][use])
+                node = np.zeros(len(own), np.int64) if trees[k] is None else boosting.level_nodes(trees[k], own, level)
+                out[k] += boosting.histogram(own, node, nodes, w * (p - label[use]), w * p * (1 - p), bins)
+        return [out]
+
+    return one
+
+
+def fit_boosted(packed: DataFrame, walk: Walk, edges: list[np.ndarray], trees: int = 30, depth: int = 4, eta: float = 0.1, lam: float = 1.0, least: float = 1.0) -> list[boosting.Booster]:
+    """Boosted trees of every model, grown side by side: one scan a level gives the histograms of all models.
+
+    Features are binned once; margins are a column of the binned rows, raised
+    after each tree, so a scan costs the same however many trees there are. What
+    returns to the driver is models x nodes x features x bins pairs of numbers.
+    """
+    m, width = walk.mean.shape
+    bins = max([2, *(len(e) + 1 for e in edges)])
+    out = [boosting.Booster(edges) for _ in range(m)]
+    if not m:
+        return out
+    rows = _binned(packed, edges, np.zeros(m)).persist(StorageLevel.MEMORY_AND_DISK)
+    save = _can_checkpoint(packed)
+    alive = [True] * m
+    for t in range(trees):
+        grown: list[boosting.Tree | None] = [None] * m
+        states = [boosting.growing(depth) for _ in range(m)]
+        for level in range(depth):
+            hist = tree_sum_of(rows, level_sums(walk, [s if level else None for s in states], level, width, bins))
+            go = [alive[k] and boosting.grow_level(states[k], level, hist[0][k], eta, lam, least) for k in range(m)]
+            if not any(go):
+                break
+        for k in range(m):
+            alive[k] = alive[k] and states[k].feature[0] >= 0
+            if alive[k]:
+                grown[k] = states[k]
+                out[k].trees.append(states[k])
+        if not any(alive):
+            break
+        old, rows = rows, _raised(rows, grown, width)
+        if save and t % KEEP == KEEP - 1:
+            rows = rows.checkpoint()
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        rows.count()
+        old.unpersist()
+    rows.unpersist()
+    return out
+
+
+def boosted(boosters: list[boosting.Booster]) -> Predict:
+    return lambda k, _params, x: boosters[k].score(x)
+
+
 def mlp(walk: Walk) -> Predict:
     mean, dev = walk.mean, walk.dev
 
@@ -291,6 +412,10 @@ def run(x: DataFrame, width: int, steps: list[int], head: str = "lr", lam: float
             return scores(pack(x), walk, [fit_logistic(packed, walk, **options)], logistic)
         if head == "mlp":
             return scores(pack(x), walk, fit_mlp(packed, walk, **options)[0], mlp(walk))
+        if head == "gbt":
+            first = min((int(t) for k in range(len(walk.models)) for t in walk.steps[walk.weight[k].any(axis=1)][-1:]), default=0)
+            edges = feature_edges(x.filter(F.col("tau") <= first), width, options.pop("bins", boosting.BINS))  # no model sees later rows
+            return scores(pack(x), walk, [], boosted(fit_boosted(packed, walk, edges, **options)))
         raise ValueError(f"unknown head {head!r}")
     finally:
         packed.unpersist()

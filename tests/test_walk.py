@@ -105,3 +105,35 @@ def test_static(x):
     plan = walk.plan(sums.pack(x), 4, [7, 8, 9], 0.0, train_end=5)
     assert plan.models == [0] and (plan.weight[0, np.searchsorted(plan.steps, [7, 8, 9])] == 0).all()
     assert {r["tau"] for r in p.select("tau").distinct().collect()} == {7, 8, 9} and p.filter("label = -1").count() == 0
+
+
+def test_boosted_trees_of_all_steps_equal_single_fits(x):
+    from tempograph.operators import boosting
+
+    packed = sums.pack(x).cache()
+    plan = walk.plan(packed, 4, [6, 9], 0.25)
+    rows = _rows()
+    f = np.array([r[3] for r in rows if r[0] <= 4])
+    edges = boosting.edges_of(f, 16)
+    got = walk.fit_boosted(packed, plan, edges, trees=4, depth=3, eta=0.3)
+    for k, last in enumerate((4, 7)):
+        own = [r for r in rows if r[0] <= last and r[2] >= 0]
+        b = got[k].bins(np.array([r[3] for r in own]))
+        y = np.array([r[2] for r in own], float)
+        w = plan.weight[k, np.searchsorted(plan.steps, [r[0] for r in own]), y.astype(int)]
+        m = np.zeros(len(y))
+        assert len(got[k].trees) == 4
+        for tree in got[k].trees:
+            p = boosting.sigmoid(m)
+            bins = max(len(e) + 1 for e in edges)
+            want = boosting.grow(lambda t, level, p=p: boosting.histogram(b, boosting.level_nodes(t, b, level), 1 << level, w * (p - y), w * p * (1 - p), bins), 3, 0.3)
+            assert (tree.feature == want.feature).all() and (tree.cut == want.cut).all() and np.allclose(tree.value, want.value)
+            m += tree.value[tree.nodes(b)]
+    out = walk.run(x, 4, [6, 9], "gbt", trees=3, depth=2)
+    assert {r["tau"] for r in out.select("tau").distinct().collect()} == {6, 9}
+
+
+def test_edges_leave_out_odd_values(spark):
+    d = spark.createDataFrame([([float(i % 7), 1.0, float("nan") if i % 2 else None],) for i in range(70)], "features array<double>")
+    e = walk.feature_edges(d, 3, 8)
+    assert len(e[0]) <= 7 and len(e[1]) <= 1 and len(e[2]) == 0
