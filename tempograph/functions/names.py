@@ -145,3 +145,21 @@ def matches(**want) -> Column:
     for f, v in want.items():
         c = c & (F.col("_lam").isNotNull() == F.lit(v) if f == "decay" else F.col(f"_{f}").eqNullSafe(F.lit(v)))
     return c
+
+
+def split_name(name: Column) -> Column:
+    """Struct (arch, k, dir, topo) of ``Grid: ...`` and ``MLP-<arch> [...]`` names, by splitting their parameters; defaults for absent parts."""
+    inner = F.when(name.startswith("Grid:"), F.regexp_replace(name, "^Grid: *", "")).otherwise(F.regexp_extract(name, r"^MLP-[A-Za-z]+ \[(.*)\]", 1))
+    arch = F.nullif(F.regexp_extract(name, r"^MLP-([A-Za-z]+) \[", 1), F.lit(""))
+    parts = F.map_from_entries(F.transform(F.filter(F.split(inner, ", "), lambda x: x.contains("=")), lambda x: F.struct(F.substring_index(x, "=", 1), F.substring_index(x, "=", -1))))
+
+    def read(m: Column) -> Column:
+        k = F.try_element_at(m, F.lit("K")).cast("string").try_cast("int")
+        return F.struct(F.coalesce(arch, F.lit("Linear")).alias("arch"), F.coalesce(k, F.lit(1)).alias("k"), F.coalesce(F.try_element_at(m, F.lit("Dir")), F.lit("F")).alias("dir"), F.coalesce(F.try_element_at(m, F.lit("Topo")), F.lit("None")).alias("topo"))
+
+    return F.transform(F.array(parts), read)[0]
+
+
+def safe_member(value: Column, allowed: list[int]) -> Column:
+    """Whether a text is one of some whole numbers; text that is none, and null, are not."""
+    return F.coalesce(value.try_cast("int").isin(allowed), F.lit(False))

@@ -179,13 +179,25 @@ def pagerank(n: DataFrame, e: DataFrame, alpha: float = 0.85, iterations: int =
     return both.groupBy("tau").applyInPandas(rank, "tau int, txid long, pagerank double")
 
 
+def oriented(u: DataFrame, deg: DataFrame) -> DataFrame:
+    """Each undirected edge (tau, u, v) from its end of lower degree to the other, ties by id: no node has more than sqrt(2 edges) edges out."""
+    j = u.join(deg.select("tau", F.col("txid").alias("u"), F.col("d").alias("du")), ["tau", "u"]).join(deg.select("tau", F.col("txid").alias("v"), F.col("d").alias("dv")), ["tau", "v"])
+    first = F.struct("du", "u") < F.struct("dv", "v")
+    return j.select("tau", F.when(first, F.col("u")).otherwise(F.col("v")).alias("low"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("high"))
+
+
+def wedges(o: DataFrame) -> DataFrame:
+    """(tau, low, u, w): pairs u < w of ends of oriented edges out of a node; a hub's edges come in, so it adds few."""
+    left, right = o.select("tau", "low", F.col("high").alias("u")), o.select("tau", "low", F.col("high").alias("w"))
+    return left.join(right, ["tau", "low"]).filter("u < w")
+
+
 def clustering(n: DataFrame, e: DataFrame) -> DataFrame:
     """Local clustering coefficient of the undirected simple graph; 0 below degree 2."""
     u = e.filter("src <> dst").select("tau", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
-    ab, bc = u.alias("ab"), u.select("tau", F.col("u").alias("v"), F.col("v").alias("w"))
-    tri = ab.join(bc, ["tau", "v"]).join(u.select("tau", "u", F.col("v").alias("w")), ["tau", "u", "w"])
-    corner = tri.select("tau", F.explode(F.array("u", "v", "w")).alias("txid")).groupBy("tau", "txid").agg(F.count("*").alias("t"))
     deg = u.select("tau", F.explode(F.array("u", "v")).alias("txid")).groupBy("tau", "txid").agg(F.count("*").alias("d"))
+    tri = wedges(oriented(u, deg)).join(u.select("tau", "u", F.col("v").alias("w")), ["tau", "u", "w"])
+    corner = tri.select("tau", F.explode(F.array("low", "u", "w")).alias("txid")).groupBy("tau", "txid").agg(F.count("*").alias("t"))
     j = n.select("tau", "txid").join(deg, ["tau", "txid"], "left").join(corner, ["tau", "txid"], "left")
     return j.select("tau", "txid", F.coalesce(F.try_divide(2.0 * F.coalesce("t", F.lit(0)), F.col("d") * (F.col("d") - 1).cast("double")), F.lit(0.0)).alias("clustering"))
 

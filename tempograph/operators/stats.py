@@ -58,6 +58,11 @@ def sampled(df: DataFrame, by: list[str], key: str, most: int, seed: int = 0) ->
 BLOCK_ROWS = 1024
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all shuffle partitions by its keys: few bytes that take long must not be put into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _each_block_pair(points: DataFrame, by: str, cols: list[str], fn: Callable, schema: str, rows: int, vec: str = "v") -> DataFrame:
     """``fn(group, left, right, same)`` on each unordered pair of a group's hash blocks, a block with itself included.
 
@@ -73,7 +78,7 @@ def _each_block_pair(points: DataFrame, by: str, cols: list[str], fn: Callable,
         left = p[p["__b"] == i]
         return fn(g, left, left if i == j else p[p["__b"] == j], i == j)
 
-    return b.groupBy(by, "__i", "__j").applyInPandas(run, schema)
+    return spread(b, by, "__i", "__j").groupBy(by, "__i", "__j").applyInPandas(run, schema)
 
 
 def _type(df: DataFrame, col: str) -> str:

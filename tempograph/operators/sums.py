@@ -99,3 +99,58 @@ def moments(packed: DataFrame) -> Moments:
         return out or None
 
     return tree_sum(packed, one, _merge_moments) or {}
+
+
+def step_covariances(packed: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """step -> rows, mean and summed outer products of centred rows, in one scan; width squared numbers a step."""
+
+    def merge(a: dict, b: dict) -> dict:
+        out = dict(a)
+        for t, (n, m, s) in b.items():
+            if t in out:
+                n0, m0, s0 = out[t]
+                d = m - m0
+                n, m, s = n0 + n, m0 + d * (n / (n0 + n)), s0 + s + np.outer(d, d) * (n0 * n / (n0 + n))
+            out[t] = n, m, s
+        return out
+
+    def one(blocks: Iterator[Block]) -> dict | None:
+        out: dict = {}
+        for tau, _, _, x in blocks:
+            for t in np.unique(tau).tolist():
+                c = x[tau == t]
+                mean = c.mean(axis=0)
+                out = merge(out, {t: (len(c), mean, (c - mean).T @ (c - mean))})
+        return out or None
+
+    return tree_sum(packed, one, merge) or {}
+
+
+def merged(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, mean and summed outer products of several steps together."""
+    n = sum(p[0] for p in parts)
+    mean = sum(k * m for k, m, _ in parts) / n
+    return n, mean, sum(s + k * np.outer(m - mean, m - mean) for k, m, s in parts)
+
+
+def basis(part: tuple[int, np.ndarray, np.ndarray], keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and leading unit eigenvectors as rows; the largest entry of each is positive."""
+    vec = np.linalg.eigh(part[2])[1][:, ::-1][:, :keep]
+    return part[1], (vec * np.where(vec[np.abs(vec).argmax(0), range(vec.shape[1])] < 0, -1.0, 1.0)).T
+
+
+def projected(packed: DataFrame, bases: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(tau, txid, label, features): rows of the steps in ``bases`` on their step's basis."""
+    keep = max((len(c) for _, c in bases.values()), default=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tau, txid, label, x in unpacked(batches):
+            at = np.flatnonzero(np.isin(tau, list(bases)))
+            out = np.zeros((len(at), keep))
+            for t in np.unique(tau[at]).tolist():
+                mean, c = bases[t]
+                out[tau[at] == t, : len(c)] = (x[at][tau[at] == t] - mean) @ c.T
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(at) + 1) * keep, max(keep, 1), dtype=np.int32)[: len(at) + 1]), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(tau[at]), pa.array(txid[at]), pa.array(label[at]), lists], ["tau", "txid", "label", "features"])
+
+    return packed.mapInArrow(run, "tau int, txid long, label int, features array<double>") if bases else packed.select(F.lit(0).alias("tau"), F.lit(0).cast("long").alias("txid"), F.lit(0).alias("label"), F.array().cast("array<double>").alias("features")).limit(0)

@@ -53,6 +53,50 @@ def lag_features(steps: DataFrame, cols: list[str], window: int, train_end: int)
     return g.select("tau", F.concat(levels, diffs).alias("features"))
 
 
+def snapshot_figures(n: DataFrame, e: DataFrame, x: DataFrame, width: int, pagerank: DataFrame | None = None) -> DataFrame:
+    """Per step: illicit rate, nodes, edges, mean degree, variance of PageRank (0 without it), then mean and deviation of each feature."""
+    f = F.col("features")
+    y = F.when(F.col("label") >= 0, (F.col("label") == 1).cast("double"))
+    c = x.groupBy("tau").agg(F.avg(y).alias("rate"), F.count("*").alias("nodes"), *[F.avg(f[i]).alias(f"mean{i}") for i in range(width)], *[F.stddev_pop(f[i]).alias(f"std{i}") for i in range(width)])
+    out = c.join(e.groupBy("tau").agg(F.count("*").alias("edges")), "tau", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
+    out = out.withColumn("mean_degree", F.col("edges") * 2.0 / F.col("nodes"))
+    if pagerank is None:
+        return out.withColumn("pr_var", F.lit(0.0))
+    return out.join(pagerank.groupBy("tau").agg(F.var_pop("pagerank").alias("pr_var")), "tau", "left")
+
+
+def figure_names(width: int) -> list[str]:
+    """The figures of a lag other than its rate and its flag, in order."""
+    return ["nodes", "edges", "mean_degree", "pr_var", *[f"mean{i}" for i in range(width)], *[f"std{i}" for i in range(width)]]
+
+
+def lag_matrix(steps: DataFrame, width: int, window: int, train_end: int, label_lag: int = 0) -> DataFrame:
+    """(tau, features): ``snapshot_figures`` of the steps tau - window .. tau - 1 and the differences of neighbours.
+
+    A lag holds rate, nodes, edges, mean degree, PageRank variance, a flag whether
+    the step exists, then means and deviations: m = 6 + 2 width figures, so
+    m window + (m - 1)(window - 1) in all, as the flag has no difference. The
+    rate is read ``label_lag`` steps earlier still. What is missing is the mean
+    over the training steps; differences at a missing step are 0. One row a step.
+    """
+    if label_lag < 0:
+        raise ValueError("a negative label lag reads labels of later steps")
+    cols = figure_names(width)
+    m = steps.filter(F.col("tau") <= train_end).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"m_{c}") for c in ("rate", *cols)])
+    want = steps.select("tau", F.explode(F.sequence(F.lit(window), F.lit(1), F.lit(-1))).alias("lag")) if window else steps.select("tau", F.lit(0).alias("lag")).limit(0)
+    want = want.withColumns({"at": F.col("tau") - F.col("lag"), "rate_at": F.col("tau") - F.col("lag") - label_lag})
+    have = steps.select(F.col("tau").alias("at"), *[F.col(c).cast("double").alias(c) for c in cols], F.lit(1.0).alias("present"))
+    j = want.join(have, "at", "left").join(steps.select(F.col("tau").alias("rate_at"), "rate"), "rate_at", "left").join(F.broadcast(m))  # one row
+    head = ["rate", *cols[:4]]
+    fill = lambda c: F.coalesce(F.col(c), F.col(f"m_{c}"))
+    row = F.struct((-F.col("lag")).alias("o"), F.array(*map(fill, head)).alias("a"), F.coalesce("present", F.lit(0.0)).alias("p"), F.array(*map(fill, cols[4:])).alias("b"))
+    g = j.groupBy("tau").agg(F.array_sort(F.collect_list(row)).alias("l"))  # ``window`` entries
+    levels = F.flatten(F.transform("l", lambda s: F.concat(s["a"], F.array(s["p"]), s["b"])))
+    minus = lambda s, t: F.zip_with(F.concat(s["a"], s["b"]), F.concat(t["a"], t["b"]), lambda u, v: F.when((s["p"] > 0) & (t["p"] > 0), u - v).otherwise(0.0))
+    later, earlier = F.slice("l", 2, max(window - 1, 0)), F.slice("l", 1, max(window - 1, 0))
+    return g.select("tau", F.concat(levels, F.flatten(F.zip_with(later, earlier, minus))).alias("features"))
+
+
 def label_lag_rate(steps: DataFrame, rate: str, lag: int, train_end: int) -> DataFrame:
     """The rate read ``lag`` steps back, the training mean where that step is missing."""
     m = steps.filter(F.col("tau") <= train_end).agg(F.avg(rate).alias("m"))
