@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tempograph.operators.stats import step_moments
-from tempograph.operators.store import keep_last, upsert
+from tempograph.sources.keyed import KeyedTable
 
 
 def event_stream(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
@@ -60,17 +60,15 @@ def smoothed(stream: DataFrame, key: str, alpha: float = 0.3) -> DataFrame:
 
 
 def upsert_sink(stream: DataFrame, path: str, keys: list[str], checkpoint: str, order: list[str]):
-    """Query that keeps a keyed table current, the last row of a key by ``order`` in each batch.
+    """Query that keeps a ``KeyedTable`` current, the last row of a key by ``order`` in each batch.
 
-    Each batch is one new version, so a repeated batch changes nothing.
+    A batch rewrites the buckets it touches and is known by its number, so a
+    repeated batch changes nothing.
     """
+    table = KeyedTable(stream.sparkSession, path, keys)
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = keep_last(batch, keys, order)
-        if number:
-            new = upsert(spark.read.parquet(f"{path}/v{number - 1}"), new, keys)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        table.upsert(batch, order, f"stream-{number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+from tempograph.sources.keyed import KeyedTable
 from tempograph.streaming import windows
 
 START = dt.datetime(2024, 1, 1)
@@ -49,7 +50,7 @@ def test_upsert_keeps_the_last_row(spark, tmp_path):
         windows.upsert_sink(s, str(tmp_path / "out"), ["k"], str(tmp_path / "cp"), ["at"]).awaitTermination()
         if step == 0:
             _write(spark, path, [(2, 5, "e"), (2, 4, "d"), (3, 1, "f")], kind)
-    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "v1")).collect())
+    got = sorted(tuple(r) for r in KeyedTable(spark, str(tmp_path / "out"), ["k"]).read().collect())
     assert got == [(1, 2, "b"), (2, 5, "e"), (3, 1, "f")]
 
 
