@@ -61,8 +61,8 @@ def plan(packed: DataFrame, width: int, steps: list[int], lam: float = 0.25, win
     """Train blocks, weights and scales of the models of ``steps``, from one scan that sums by step and label.
 
     Weights are exp(-lam (last step - step)) times the inverse class frequency.
-    A step is left out if it lacks a class or its train block does; steps that
-    the table does not have are no part of a block. With ``train_end`` there is
+    A step is left out if its train block lacks a class; steps that the table
+    does not have are no part of a block. With ``train_end`` there is
     one model (0) instead, trained up to that step, that scores all ``steps``.
     """
     by = moments(packed)  # three groups a step
@@ -73,7 +73,7 @@ def plan(packed: DataFrame, width: int, steps: list[int], lam: float = 0.25, win
     for tau in [0] if train_end is not None else steps:
         if train_end is not None:
             train, cal, scored = [t for t in have if t <= train_end], None, steps
-        elif tau not in have or not size(tau, 0) or not size(tau, 1):
+        elif tau not in have:
             continue
         else:
             (train, cal), scored = blocks(have, tau, window), [tau]
@@ -392,12 +392,13 @@ def decide(p: DataFrame) -> DataFrame:
 
 
 def step_metrics(p: DataFrame) -> DataFrame:
-    """Counts, precision, recall, F1 and average precision of each step at its threshold."""
+    """Counts, precision, recall, F1 and average precision of each step at its threshold; steps of one class have none."""
     hit, y = F.col("predicted") == 1, F.col("label") == 1
     c = p.groupBy("tau").agg(
         F.count("*").alias("n"), F.count_if(y).alias("n_pos"), F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"),
         F.max("threshold").alias("threshold"), F.max("fallback").alias("fallback"),
     )
+    c = c.filter("n_pos > 0 and n_pos < n")
     part = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     c = c.withColumns({"precision": part(F.col("tp"), F.col("tp") + F.col("fp")), "recall": part(F.col("tp"), F.col("tp") + F.col("fn")), "f1": part(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
     return c.join(evaluate.average_precision(p, ["tau"]), "tau")

@@ -66,7 +66,9 @@ def test_scores_thresholds_and_metrics(spark, x):
 
 def test_guards(spark, x):
     one = x.withColumn("label", F.when(F.col("tau") < 7, F.lit(0)).otherwise(F.col("label")))
-    assert walk.plan(sums.pack(one), 4, [6, 7, 8, 9]).models == [9]  # blocks of one class and steps of one class are left out
+    assert walk.plan(sums.pack(one), 4, [6, 7, 8, 9]).models == [9]  # blocks of one class are left out
+    some = walk.decide(walk.run(x.withColumn("label", F.when(F.col("tau") == 9, F.lit(0)).otherwise(F.col("label"))), 4, [8, 9]))
+    assert some.filter("tau = 9").count() == 60 and [r["tau"] for r in walk.step_metrics(some).collect()] == [8]  # scored, but without metrics
     assert walk.run(x.limit(0), 4, [5]).collect() == [] and walk.run(one, 4, [6]).collect() == []
 
 
