@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempograph.operators.running import quantiles, running
 from tempograph.sources.graph import regime
 
 LOW_SUPPORT = 10
@@ -23,10 +24,9 @@ def confusion(p: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
 
 
 def curve(p: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct scores with positives and rows at or above each; ties are one point."""
+    """Distinct scores with positives and rows at or above each; ties are one point. No task holds a group."""
     g = p.filter("label <> -1").groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("tp"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    return g.withColumns({"cum_tp": F.sum("tp").over(w), "cum_n": F.sum("n").over(w), "pos": F.sum("tp").over(Window.partitionBy(*by)), "rows": F.sum("n").over(Window.partitionBy(*by))})
+    return running(g, by, [F.desc("score")], ["tp", "n"]).withColumnsRenamed({"all_tp": "pos", "all_n": "rows"})
 
 
 def average_precision(p: DataFrame, by: list[str]) -> DataFrame:
@@ -36,40 +36,49 @@ def average_precision(p: DataFrame, by: list[str]) -> DataFrame:
     return c.groupBy(*by).agg(F.when(F.max("pos") < F.max("rows"), ap).alias("ap"))
 
 
+def _best() -> Column:
+    """(f1, -score) of the lowest of the scores with the greatest F1, over rows of ``curve``."""
+    pr, rc = F.col("cum_tp") / F.col("cum_n"), F.col("cum_tp") / F.nullif(F.col("pos"), F.lit(0))
+    f1 = F.coalesce(F.round(2 * pr * rc / (pr + rc + 1e-8), 9), F.lit(0.0))
+    return F.max(F.struct(f1.alias("f1"), (-F.col("score")).alias("low")))
+
+
+def _threshold(best: Column) -> Column:
+    return F.when(best["f1"] > 0, -best["low"]).otherwise(0.5)
+
+
 def best_f1_threshold(p: DataFrame, by: list[str]) -> DataFrame:
     """Lowest of the scores with the greatest F1; 0.5 if that is 0."""
-    c = curve(p, by)
-    pr, rc = F.col("cum_tp") / F.col("cum_n"), F.col("cum_tp") / F.nullif(F.col("pos"), F.lit(0))
-    c = c.withColumn("f1", F.coalesce(F.round(2 * pr * rc / (pr + rc + 1e-8), 9), F.lit(0.0)))
-    best = c.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("f1"), "score"))).filter("k = 1")
-    return best.select(*by, F.when(F.col("f1") > 0, F.col("score")).otherwise(0.5).alias("threshold"), "f1", "pos")
+    b = curve(p, by).groupBy(*by).agg(_best().alias("best"), F.max("pos").alias("pos"))
+    return b.select(*by, _threshold(F.col("best")).alias("threshold"), F.col("best")["f1"].alias("f1"), "pos")
 
 
 def quantile_at(p: DataFrame, by: list[str], q: Column) -> DataFrame:
     """Linear quantile of the score at a p that differs by group (``q`` over the group's columns)."""
-    w = Window.partitionBy(*by)
-    r = p.withColumns({"i": F.row_number().over(w.orderBy("score")) - 1, "m": F.count("*").over(w)}).withColumn("at", (F.col("m") - 1) * q)
-    lo, hi = F.floor("at"), F.ceil("at")
-    g = r.groupBy(*by).agg(F.max(F.when(F.col("i") == lo, F.col("score"))).alias("a"), F.max(F.when(F.col("i") == hi, F.col("score"))).alias("b"), F.max("at").alias("at"))
-    return g.select(*by, (F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("quantile"))
+    counts = p.filter(F.col("score").isNotNull()).groupBy(*by, "score").agg(F.count("*").alias("n"))
+    return quantiles(counts, by, "score", {"quantile": q})
 
 
 def calibrated_threshold(p: DataFrame, by: list[str], epsilon: int = LOW_SUPPORT) -> DataFrame:
-    """Best-F1 threshold, or below ``epsilon`` positives the quantile 1 - rate of the scores; with a flag."""
-    y = p.filter("label <> -1")
-    y = y.withColumn("rate", F.avg((F.col("label") == 1).cast("double")).over(Window.partitionBy(*by)))
-    q = quantile_at(y, by, 1 - F.col("rate"))
-    j = best_f1_threshold(p, by).join(q, by)
+    """Best-F1 threshold, or below ``epsilon`` positives the quantile 1 - rate of the scores; with a flag.
+
+    Both come from one curve; it descends, so places are counted from its end.
+    """
+    at = (F.col("rows") - 1) * (1 - F.col("pos") / F.col("rows"))
+    holds = lambda i: (F.col("rows") - F.col("cum_n") <= i) & (i < F.col("rows") - F.col("cum_n") + F.col("n"))
+    ends = [F.max(F.when(holds(f(at)), F.col("score"))).alias(k) for k, f in (("lo", F.floor), ("hi", F.ceil))]
+    c = curve(p, by).groupBy(*by).agg(_best().alias("best"), F.max("pos").alias("pos"), F.max(at).alias("at"), *ends)
     few = F.col("pos") < epsilon
-    return j.select(*by, F.when(few, F.col("quantile")).otherwise(F.col("threshold")).alias("threshold"), few.alias("fallback"))
+    quantile = F.col("lo") + (F.col("at") - F.floor("at")) * (F.col("hi") - F.col("lo"))
+    return c.select(*by, F.when(few, quantile).otherwise(_threshold(F.col("best"))).alias("threshold"), few.alias("fallback"))
 
 
 def precision_at_k(p: DataFrame, by: list[str]) -> DataFrame:
     """Precision among the k best scores, k the number of positives; ties by id."""
-    y = p.filter("label <> -1")
-    w = Window.partitionBy(*by)
-    y = y.withColumns({"k": F.sum((F.col("label") == 1).cast("int")).over(w), "r": F.row_number().over(w.orderBy(F.desc("score"), "txid"))})
-    return y.groupBy(*by).agg(F.max("k").alias("k"), _safe(F.count_if((F.col("r") <= F.col("k")) & (F.col("label") == 1)), F.max("k")).alias("precision_at_k"))
+    y = p.filter("label <> -1").select(*by, "score", "txid", F.lit(1).alias("n"), (F.col("label") == 1).cast("int").alias("y"))
+    r = running(y, by, [F.desc("score"), F.col("txid")], ["n", "y"])
+    hits = F.count_if((F.col("cum_n") <= F.col("all_y")) & (F.col("y") == 1))
+    return r.groupBy(*by).agg(F.max("all_y").alias("k"), _safe(hits, F.max("all_y")).alias("precision_at_k"))
 
 
 def regime_rollup(p: DataFrame, threshold: float = 0.5) -> DataFrame:

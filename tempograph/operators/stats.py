@@ -10,22 +10,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempograph.operators.running import quantiles, same
 
-def profile(df: DataFrame, by: str, col: str) -> DataFrame:
-    """Sixteen statistics of a column for each group; skewness and kurtosis bias-corrected."""
-    med = df.groupBy(by).agg(F.median(col).alias("q50"))
-    mad = df.join(F.broadcast(med), by).groupBy(by).agg(F.median(F.abs(F.col(col) - F.col("q50"))).alias("mad"))
-    qs = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "q75": 0.75, "q95": 0.95, "q99": 0.99}
-    a = df.groupBy(by).agg(
-        F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).cast("double").alias("min"), F.max(col).cast("double").alias("max"),
-        *[F.percentile(col, F.lit(q)).alias(k) for k, q in qs.items()], F.skewness(col).alias("g1"), F.kurtosis(col).alias("g2"),
+
+#: Quantiles of a profile.
+QUANTILES = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99}
+
+
+def profiles(df: DataFrame, by: str, cols: dict[str, Column]) -> DataFrame:
+    """Sixteen statistics of each named column for each group, nulls left out; skewness and kurtosis bias-corrected.
+
+    One row for each (group, column) with a value. Quantiles and the median
+    deviation are exact, taken from counts of distinct values by running sums,
+    so neither a buffer nor a task holds a group.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("col"), c.cast("double").alias("v")) for k, c in cols.items()]))
+    long = df.select(by, pairs.alias("p")).select(by, "p.col", "p.v").filter(F.col("v").isNotNull())
+    keys = [by, "col"]
+    a = long.groupBy(*keys).agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.skewness("v").alias("g1"), F.kurtosis("v").alias("g2"),
     )
+    counts = long.groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    qs = quantiles(counts, keys, "v", QUANTILES)
+    off = same(counts, qs.select(*keys, "q50"), keys).groupBy(*keys, F.abs(F.col("v") - F.col("q50")).alias("v")).agg(F.sum("n").alias("n"))
     n = F.col("n").cast("double")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
-    j = a.join(med, by).join(mad, by)
-    vals = {"mean": "mean", "std": "std", "min": "min", "max": "max", "q50": "q50", "mad": "mad", **{k: k for k in qs}}
-    return j.select(by, "n", *[F.round(v, 6).alias(k) for k, v in vals.items()], F.round(F.col("q75") - F.col("q25"), 6).alias("iqr"), F.round(skew, 6).alias("skewness"), F.round(kurt, 6).alias("kurtosis"))
+    j = same(same(a, qs, keys), quantiles(off, keys, "v", {"mad": 0.5}), keys)
+    vals = ("mean", "std", "min", "max", "mad", *QUANTILES)
+    return j.select(*keys, "n", *[F.round(k, 6).alias(k) for k in vals], F.round(F.col("q75") - F.col("q25"), 6).alias("iqr"), F.round(skew, 6).alias("skewness"), F.round(kurt, 6).alias("kurtosis"))
+
+
+def profile(df: DataFrame, by: str, col: str) -> DataFrame:
+    """``profiles`` of one column."""
+    return profiles(df, by, {col: F.col(col)}).drop("col")
 
 
 def clean(c: Column) -> Column:

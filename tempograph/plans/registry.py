@@ -121,6 +121,17 @@ def value_profile_by_label(spark, d):
     return stats.profile(g.nodes(spark, d), "label", "value")
 
 
+_COLS = ("value", "user", "k", "into")
+
+
+@query(W + f""", flat AS (SELECT label, unnest([{", ".join(f"'{c}'" for c in _COLS)}]) AS col, unnest(f) AS v FROM feats)
+SELECT label, col, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, round(mad(v), 6) AS mad,
+{", ".join(f"round(quantile_cont(v, {q}), 6) AS {k}" for k, q in stats.QUANTILES.items())}, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(skewness(v), 6) AS skewness, round(kurtosis(v), 6) AS kurtosis
+FROM flat WHERE v IS NOT NULL GROUP BY ALL""")
+def feature_profile_by_label(spark, d):
+    return stats.profiles(g.features(spark, d), "label", {c: F.col("features")[i] for i, c in enumerate(_COLS)})
+
+
 @query("SELECT d.doc_id, d.lang, CASE WHEN l.quality IS NULL THEN -1 ELSE CAST(l.quality AS INT) END AS label FROM documents d LEFT JOIN labels l USING (doc_id)")
 def label_left_join(spark, d):
     docs, lab = g.table(spark, d, "documents").select("doc_id", "lang"), g.table(spark, d, "labels").select("doc_id", "quality")
