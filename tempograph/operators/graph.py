@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempograph.operators.running import release, settle
 from tempograph.sources.graph import regime
 
 
@@ -153,30 +154,62 @@ def propagate_directional(n: DataFrame, e: DataFrame, x: DataFrame, k: int, widt
     return out.withColumnRenamed("f", "features")
 
 
-def pagerank(n: DataFrame, e: DataFrame, alpha: float = 0.85, iterations: int = 200, tol: float | None = 1e-6) -> DataFrame:
-    """PageRank in each step on distinct directed edges; dangling mass is spread evenly.
+#: Edges out of a node that meet its rank in one place at most; what a node has beyond goes to further places.
+FAN = 65_536
+
+def _links(n: DataFrame, e: DataFrame, alpha: float, fan: int) -> DataFrame:
+    """(tau, src, piece, dst, share, own, pieces): distinct edges and what part of its rank a node sends along each, and a link of each node to itself (``own``) that sends none.
 
-    Steps are small, so one exchange by tau feeds a vectorised power iteration.
-    ``tol=None`` runs a fixed number of rounds.
+    ``pieces`` says over how many pieces ``dst`` spreads its own links.
+    """
+    u = e.select("tau", "src", "dst").distinct()
+    out = u.groupBy("tau", "src").agg(F.count("*").alias("k")).select("tau", "src", "k", F.ceil(F.col("k") / fan).cast("int").alias("pieces"))
+    sent = u.join(out, ["tau", "src"]).select("tau", "src", F.pmod(F.hash("dst"), F.col("pieces")).alias("piece"), "dst", (alpha / F.col("k")).alias("share"), F.lit(False).alias("own"))
+    kept = n.select("tau", F.col("txid").alias("src"), F.lit(0).alias("piece"), F.col("txid").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("own"))
+    return sent.unionAll(kept).join(out.select("tau", F.col("src").alias("dst"), "pieces"), ["tau", "dst"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+
+
+def _send(v: DataFrame, links: DataFrame) -> DataFrame:
+    """Ranks sent along the edges (``got``); each node keeps its own (``x``) and the one before (``was``)."""
+    copies = v.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces").withColumnRenamed("txid", "src")
+    j = copies.join(links, ["tau", "src", "piece"])
+    kept = [F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in ("x", "was")]
+    return j.groupBy("tau", F.col("dst").alias("txid")).agg(F.max("pieces").alias("pieces"), *kept, F.sum(F.col("x") * F.col("share")).alias("got"))
+
+
+def pagerank(n: DataFrame, e: DataFrame, alpha: float = 0.85, iterations: int = 200, tol: float | None = 1e-6, fan: int = FAN) -> DataFrame:
+    """PageRank in each step on distinct directed edges, whose ends are nodes of the step; dangling mass is spread evenly.
+
+    A round joins ranks to edges, sums by target and is checkpointed. What it
+    adds to every node alike (jumps and dangling mass) follows from the sum of
+    what was sent, as ranks add up to 1, so one row a step comes to the driver
+    and goes back. A step leaves the loop with the ranks of the first round that
+    changes less than ``tol`` for a node on average, seen in the round after;
+    ``tol=None`` runs all rounds.
     """
-    both = n.select("tau", "txid", F.lit(None).cast("long").alias("dst")).unionByName(e.select("tau", F.col("src").alias("txid"), "dst").distinct())
-
-    def rank(p: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(p.loc[p["dst"].isna(), "txid"].to_numpy())
-        links = p[p["dst"].notna()]
-        s, d = np.searchsorted(ids, links["txid"].to_numpy()), np.searchsorted(ids, links["dst"].to_numpy().astype(np.int64))
-        m = len(ids)
-        out = np.bincount(s, minlength=m)
-        x = np.full(m, 1.0 / m)
-        for _ in range(iterations if len(links) else 0):
-            share = np.where(out > 0, x / np.maximum(out, 1), 0.0)
-            new = alpha * (np.bincount(d, share[s], m) + x[out == 0].sum() / m) + (1 - alpha) / m
-            moved, x = np.abs(new - x).sum(), new
-            if tol is not None and moved < m * tol:
-                break
-        return pd.DataFrame({"tau": p["tau"].iloc[0], "txid": ids, "pagerank": x})
-
-    return both.groupBy("tau").applyInPandas(rank, "tau int, txid long, pagerank double")
+    spark = n.sparkSession
+    links = settle(_links(n, e, alpha, fan))
+    size = n.groupBy("tau").agg(F.count("*").alias("m"))
+    first = (1.0 / F.col("m")).alias("x")
+    x = links.filter("own").select("tau", F.col("src").alias("txid"), "pieces").join(size, "tau").select("tau", "txid", "pieces", first, first.alias("was"))
+    sizes = {r["tau"]: r["m"] for r in size.collect()}  # one row a step
+    done, old = [], []
+    for k in range(iterations):
+        s = settle(_send(x, links))
+        release(*old)
+        rows = s.groupBy("tau").agg(F.sum("got").alias("got"), F.sum(F.abs(F.col("x") - F.col("was"))).alias("moved")).collect()  # one row a step
+        over = [r["tau"] for r in rows if k and tol is not None and r["moved"] < sizes[r["tau"]] * tol]
+        go_on = [(r["tau"], (1 - r["got"]) / sizes[r["tau"]]) for r in rows if r["tau"] not in over]
+        if over:
+            ended = spark.createDataFrame([(t,) for t in over], "tau int")
+            done.append(s.join(F.broadcast(ended), "tau").select("tau", "txid", F.col("x").alias("pagerank")))
+        old = [] if over else [s]
+        x = s.join(F.broadcast(spark.createDataFrame(go_on, "tau int, add double")), "tau").select("tau", "txid", "pieces", (F.col("got") + F.col("add")).alias("x"), F.col("x").alias("was"))
+        if not go_on:
+            break
+    else:
+        done.append(x.select("tau", "txid", F.col("x").alias("pagerank")))
+    return reduce(DataFrame.unionByName, done) if done else x.select("tau", "txid", F.col("x").alias("pagerank"))
 
 
 def oriented(u: DataFrame, deg: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ in one range of one group only, so no task holds a group.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping
 
 from pyspark import StorageLevel
@@ -14,6 +15,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def can_checkpoint(df: DataFrame) -> bool:
+    """Has the session a folder for checkpoints? One that only the settings name is put to use."""
+    sc = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().isDefined()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the folder that ``spark.checkpoint.dir`` names.
+
+    Where none is named, a folder of this machine stands in if driver and
+    executors are one process; on a cluster that is an error.
+    """
+    if not can_checkpoint(df):
+        sc = df.sparkSession.sparkContext
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tempograph-"))
+    return df.checkpoint()
+
+
+def release(*settled: DataFrame) -> None:
+    """Delete the checkpoints of frames from ``settle`` that nothing reads any more."""
+    for df in settled:
+        spark = df.sparkSession
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on equal keys, null to null; the columns of ``a``, then those of ``b`` without its keys."""
     other = b.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in b.columns if c not in keys])

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tempograph.operators import boosting, evaluate
 from tempograph.operators.boosting import sigmoid
+from tempograph.operators.running import can_checkpoint
 from tempograph.operators.sums import moments, pack, tree_sum, tree_sum_of, unpacked
 from tempograph.operators.temporal import blocks
 
@@ -232,14 +233,6 @@ def fit_mlp(packed: DataFrame, walk: Walk, hidden: int = 16, epochs: int = 100,
 KEEP = 20
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().isDefined()
-
-
 def feature_edges(x: DataFrame, width: int, bins: int) -> list[np.ndarray]:
     """Inner quantiles of each feature, up to ``bins - 1`` distinct ones; approximate, from mergeable sketches."""
     probs = [i / bins for i in range(1, bins)]
@@ -318,7 +311,7 @@ def fit_boosted(packed: DataFrame, walk: Walk, edges: list[np.ndarray], trees: i
     if not m:
         return out
     rows = _binned(packed, edges, np.zeros(m)).persist(StorageLevel.MEMORY_AND_DISK)
-    save = _can_checkpoint(packed)
+    save = can_checkpoint(packed)
     alive = [True] * m
     for t in range(trees):
         grown: list[boosting.Tree | None] = [None] * m
