@@ -188,7 +188,9 @@ def pagerank(n: DataFrame, e: DataFrame, alpha: float = 0.85, iterations: int =
     ``tol=None`` runs all rounds.
     """
     spark = n.sparkSession
-    links = settle(_links(n, e, alpha, fan))
+    place = ["tau", "src", "piece"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = settle(_links(n, e, alpha, fan).repartition(parts, *place).sortWithinPartitions(*place))  # in place for all rounds: only ranks move
     size = n.groupBy("tau").agg(F.count("*").alias("m"))
     first = (1.0 / F.col("m")).alias("x")
     x = links.filter("own").select("tau", F.col("src").alias("txid"), "pieces").join(size, "tau").select("tau", "txid", "pieces", first, first.alias("was"))
