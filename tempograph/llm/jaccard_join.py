@@ -67,7 +67,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct hashes of the n-word shingles of whole texts, ascending."""
 
-    def __init__(self, n: int, most: int = MEMO_BYTES):
+    def __init__(self, n: int, most: int = MEMO_BYTES // 3):
         self.n, self.most, self.size, self.known = n, most, 0, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -291,9 +291,8 @@ class _Join:
             to, bands = Shingler(words), Bands(percent)
             for b in it:
                 uid, ids, texts = b.columns
-                texts = texts.to_pylist()
                 for at in range(0, len(texts), 2048):
-                    sets = [to(t) for t in texts[at : at + 2048]]
+                    sets = [to(t.as_py()) for t in texts.slice(at, 2048)]
                     sums, spare = [_sums(h) for h in sets], [bands.spare(h) if len(h) else (0, 0) for h in sets]
                     longs = [[len(h) for h in sets], *zip(*sums), *zip(*spare)] if sets else [[]] * 5
                     yield pa.RecordBatch.from_arrays(
@@ -319,14 +318,13 @@ class _Join:
             to, bands, (copies, heavy) = Shingler(words), Bands(percent), shared.value
             seen = 0
             for b in it:
-                uids, texts = b.column(0).to_pylist(), b.column(2).to_pylist()
                 if sampled:
-                    uids, texts = uids[: SAMPLE_ROWS - seen], texts[: SAMPLE_ROWS - seen]
-                    seen += len(uids)
-                for at in range(0, len(texts), 1024):
+                    b = b.slice(0, SAMPLE_ROWS - seen)
+                    seen += b.num_rows
+                for at in range(0, b.num_rows, 1024):
                     own, sigs = [], []
-                    for u, t in zip(uids[at : at + 1024], texts[at : at + 1024]):
-                        h = to(t)
+                    for u, t in zip(b.column(0).slice(at, 1024).to_pylist(), b.column(2).slice(at, 1024)):
+                        h = to(t.as_py())
                         if len(h) and (not copies or copies.get((len(h), *_sums(h)), u) == u):
                             own.append(u)
                             sigs.append(signatures(h, bands).view(np.int64))
@@ -345,7 +343,7 @@ class _Join:
     def _members(self, info: DataFrame, copies: dict[tuple[int, int, int], int]) -> DataFrame:
         """(sig, uid, salt, g, pivot): the groups that remain once each set has left its largest ones."""
         often = self._signed(copies, None).groupBy("sig").agg(F.count("*").alias("c")).filter("c > 20").orderBy(F.desc("c")).limit(HEAVY_SIGNATURES)
-        heavy = np.array([r["sig"] for r in often.select("sig").collect()], np.int64)  # HEAVY_SIGNATURES at most
+        heavy = often.select("sig").toArrow().column("sig").to_numpy()  # HEAVY_SIGNATURES at most
         group = Window.partitionBy("sig", "salt")
         m = self._signed(copies, heavy).withColumn("g", F.count("*").over(group)).filter("g > 1 or salt > 0")
         # One order of all groups, heavy ones first: each set leaves the first ones, as many as it can spare.
@@ -364,9 +362,8 @@ class _Join:
         """(uid, h): the sets of the needed documents and few others, by a filter of fixed size."""
         bit = F.pmod(F.xxhash64("uid"), F.lit(FILTER_WORDS * 64))
         words_ = needed.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("x"))
-        table = np.zeros(FILTER_WORDS, np.int64)
-        for r in words_.collect():  # FILTER_WORDS rows at most
-            table[r["w"]] = r["x"]
+        table, got = np.zeros(FILTER_WORDS, np.int64), words_.toArrow()  # FILTER_WORDS rows at most
+        table[got.column("w").to_numpy()] = got.column("x").to_numpy()
         shared = needed.sparkSession.sparkContext.broadcast(table)
         words = self.words
 
@@ -377,10 +374,9 @@ class _Join:
                 on = (shared.value[bits // 64] >> (bits % 64)) & 1
                 keep = np.flatnonzero(on)
                 if len(keep):
-                    b = b.take(pa.array(keep))
-                    texts = b.column(2).to_pylist()
-                    for at in range(0, len(texts), 1024):
-                        yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1024), _list([to(t) for t in texts[at : at + 1024]])], ["uid", "h"])
+                    for at in range(0, len(keep), 1024):
+                        part = b.take(pa.array(keep[at : at + 1024]))
+                        yield pa.RecordBatch.from_arrays([part.column(0), _list([to(t.as_py()) for t in part.column(2)])], ["uid", "h"])
 
         return self.base.select("uid", bit.alias("bit"), "text").mapInArrow(run, "uid long, h array<long>")
 
@@ -490,8 +486,9 @@ class _Join:
         rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k"), "uid")
         nodes = info.select("uid", rank.alias("rank"))
         equal = info.filter("n > 0").groupBy("n", "h1", "h2").agg(F.count("*").alias("c"), F.min(rank).alias("rank"))
-        equal = equal.filter("c > 1").orderBy(F.desc("c")).limit(HEAVY_SETS).select("n", "h1", "h2", "rank").collect()  # HEAVY_SETS at most
-        members = self._members(info, {(r["n"], r["h1"], r["h2"]): r["rank"]["uid"] for r in equal})
+        equal = cut(equal.filter("c > 1").orderBy(F.desc("c")).limit(HEAVY_SETS).select("n", "h1", "h2", "rank"))
+        kept = equal.select("n", "h1", "h2", "rank.uid").toArrow()  # four numbers for each of HEAVY_SETS at most
+        members = self._members(info, dict(zip(zip(*(kept.column(c).to_pylist() for c in ("n", "h1", "h2"))), kept.column("uid").to_pylist())))
         pairs = cut(members.filter("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct())
         near = cut(self._candidates(pairs, info))
         free(pairs)
@@ -506,9 +503,8 @@ class _Join:
                 labels = self._merged(labels, rest, nodes)
             free(rest)
         free(open_)
-        if equal:
-            one = info.sparkSession.createDataFrame([(r["n"], r["h1"], r["h2"], r["rank"]) for r in equal], "n long, h1 long, h2 long, rank struct<k:long,uid:long>")
-            one = one.join(labels.select(F.col("uid").alias("l_uid"), "label"), F.col("rank.uid") == F.col("l_uid"), "left").select("n", "h1", "h2", F.col("rank.uid").alias("own"), F.coalesce("label", "rank").alias("label"))
+        if kept.num_rows:
+            one = equal.join(labels.select(F.col("uid").alias("l_uid"), "label"), F.col("rank.uid") == F.col("l_uid"), "left").select("n", "h1", "h2", F.col("rank.uid").alias("own"), F.coalesce("label", "rank").alias("label"))
             copies = info.join(F.broadcast(one), ["n", "h1", "h2"]).filter("uid <> own").select("uid", "label")
             labels = labels.unionByName(copies)
         return info, labels
