@@ -43,7 +43,7 @@ mmd AS (SELECT y.tau, x.k + y.k - 2 * c.k AS mmd2 FROM kx x JOIN kx y ON y.tau =
 
 def _drift(spark, d):
     x = g.nodes(spark, d).select("tau", F.col("txid").alias("vec_id"), F.array(F.col("value") / 10).alias("v"))
-    return stats.mmd2(temporal.consecutive_sides(x), "tau", 0.5)
+    return stats.mmd2_line(temporal.consecutive_sides(x), "tau", 0.5)
 
 
 @query(f"WITH {NODES}, {_DRIFT} SELECT tau, round(mmd2, 6) AS mmd2 FROM mmd")
