@@ -111,7 +111,7 @@ def sgc_summed(spark, d):
 def _separability(points):
     c = points.groupBy("tau").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
     keep = c.filter((F.col("n0") >= LEAST) & (F.col("n1") >= LEAST))
-    m = stats.mmd2(points.join(F.broadcast(keep.select("tau")), "tau", "left_semi"), "tau", 0.5)  # one row a step
+    m = stats.mmd2_line(points.join(F.broadcast(keep.select("tau")), "tau", "left_semi"), "tau", 0.5)  # one row a step
     return m.join(F.broadcast(keep), "tau").select("tau", F.col("n1").alias("n_illicit"), F.round("mmd2", 6).alias("mmd2"))
 
 
