@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import MEMO_BYTES, SALTS, cut, free, free_name, hot_keys, spread_join, stable
+from tempograph.llm.common import MEMO_BYTES, SALTS, cut, free, free_name, hot_keys, small_batches, spread_join, stable
 
 WORDS = 5
 PERCENT = 80
@@ -482,6 +482,10 @@ class _Join:
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(info, labels): all documents, and the labels of the linked ones."""
+        with small_batches(self.docs.sparkSession):
+            return self._run()
+
+    def _run(self) -> tuple[DataFrame, DataFrame]:
         info = cut(self._info())
         rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k"), "uid")
         nodes = info.select("uid", rank.alias("rank"))
