@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import MEMO_BYTES, SALTS, cut, free, free_name, hot_keys, small_batches, spread_join, stable
+from tempograph.llm.common import MEMO_BYTES, SALTS, cut, cut_some, free, free_name, hot_keys, small_batches, spread_join, stable
 
 WORDS = 5
 PERCENT = 80
@@ -259,22 +259,23 @@ def connected_components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     both = cut(links.select(F.col("a").alias("node"), F.col("b").alias("uid")).union(links.select("b", "a")).distinct())
     ends = both.select(F.col("node").alias("uid")).distinct()
     hubs = hot_keys(both, ["uid"])
-    state = cut(nodes.join(ends, "uid", "left_semi").select("uid", F.col("rank").alias("label"), F.lit(True).alias("moved")))
+    state = cut(nodes.join(ends, "uid", "left_semi").select("uid", F.col("rank").alias("label")))
+    hot: list[int] = []  # at first every label is its row's own
     while True:
-        labels = state.select("uid", "label")
-        told = spread_join(both, labels, ["uid"], ["node"], hot=hubs).select(F.col("node").alias("uid"), "label")
-        low = labels.unionByName(told).groupBy("uid").agg(F.min("label").alias("label"))
-        to = labels.select(F.col("uid").alias("root"), F.col("label").alias("jump"))
-        hot = hot_keys(state.select(F.col("label.uid").alias("root")), ["root"])
+        told = spread_join(both, state, ["uid"], ["node"], hot=hubs).select(F.col("node").alias("uid"), "label")
+        # A row's own label comes along as ``old``, so that nothing is joined again to see what moved.
+        low = state.withColumn("old", F.col("label")).unionByName(told, allowMissingColumns=True)
+        low = low.groupBy("uid").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        to = state.select(F.col("uid").alias("root"), F.col("label").alias("jump"))
         new = spread_join(low.withColumn("root", F.col("label.uid")), to, ["root"], ["uid"], "left", hot)
-        new = new.select("uid", F.least("label", F.coalesce("jump", "label")).alias("label"))
-        old = labels.select(F.col("uid").alias("o_uid"), F.col("label").alias("o_label"))
-        new = cut(new.join(old, F.col("uid") == F.col("o_uid")).select("uid", "label", (F.col("label") != F.col("o_label")).alias("moved")))
+        new = new.select("uid", F.least("label", F.coalesce("jump", "label")).alias("label"), "old")
+        new, moved = cut_some(new, F.col("label") != F.col("old"))
         free(state)
-        state = new
-        if not state.filter("moved").limit(1).count():
+        state = new.select("uid", "label")
+        if not moved:
             free(both)
-            return state.select("uid", "label")
+            return state
+        hot = hot_keys(state.select(F.col("label.uid").alias("root")), ["root"])
 
 
 class _Join:
@@ -359,7 +360,7 @@ class _Join:
         return m
 
     def _sets(self, needed: DataFrame) -> DataFrame:
-        """(uid, h): the sets of the needed documents and few others, by a filter of fixed size."""
+        """(uid, h): the sets of the needed documents (named once or more) and few others, by a filter of fixed size."""
         bit = F.pmod(F.xxhash64("uid"), F.lit(FILTER_WORDS * 64))
         words_ = needed.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("x"))
         table, got = np.zeros(FILTER_WORDS, np.int64), words_.toArrow()  # FILTER_WORDS rows at most
@@ -383,11 +384,10 @@ class _Join:
     def _linked(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, same) that are similar; ``same`` marks equal sets, which need no look."""
         sure = pairs.filter("same").select("a", "b")
-        rest = cut(pairs.filter("not same").select("a", "b"))
-        if not rest.limit(1).count():
+        rest, some = cut_some(pairs.filter("not same").select("a", "b"))
+        if not some:
             return sure
-        needed = rest.select(F.col("a").alias("uid")).union(rest.select(F.col("b").alias("uid"))).distinct()
-        sets = self._sets(needed)
+        sets = self._sets(rest.select(F.col("a").alias("uid")).union(rest.select(F.col("b").alias("uid"))))
         x = spread_join(rest, sets.select(F.col("uid").alias("a"), F.col("h").alias("ha")), ["a"], ["b"])
         x = x.join(sets.select(F.col("uid").alias("b"), F.col("h").alias("hb")), "b")
         x = x.select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("i"))
@@ -403,15 +403,15 @@ class _Join:
         near = (100 + self.percent) * _apart(F.col("sketcha"), F.col("sketchb")) <= (100 - self.percent) * (F.col("na") + F.col("nb"))
         return pairs.filter(_sized(F.col("na"), F.col("nb"), self.percent)).filter(same | near).select("a", "b", same.alias("same"))
 
-    def _open(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """(sig, uid, root, major): the members of the groups that still span several components."""
+    def _open(self, members: DataFrame, labels: DataFrame) -> tuple[DataFrame, bool]:
+        """(sig, uid, root, major): the members of the groups that still span several components, and whether there are any."""
         m = members.join(labels.select("uid", F.col("label.uid").alias("root")), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
         m = cut(m.select("sig", "uid", "root"))
         sizes = m.groupBy("sig", "root").agg(F.count("*").alias("c"))
         groups = sizes.groupBy("sig").agg(F.sum("c").alias("g"), F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("most"))
         # Two members were held against each other already.
         groups = groups.filter("g > 2 and most < g").select("sig", "major")
-        open_ = cut(spread_join(m, groups, ["sig"], ["uid"]))
+        open_ = cut_some(spread_join(m, groups, ["sig"], ["uid"]))
         free(m)
         return open_
 
@@ -466,7 +466,7 @@ class _Join:
 
         rows = m.select(*cols, "n").join(info.select("uid", "sketch"), "uid").repartition(*key).sortWithinPartitions(*key).select(*cols, "n", "sketch")
         rows = cut(rows.mapInArrow(flag, "key long, band long, i int, j int, uid long, root long, side int"))
-        rows = rows.join(self._sets(rows.select("uid").distinct()), "uid").repartition(*key).sortWithinPartitions(*key)
+        rows = rows.join(self._sets(rows.select("uid")), "uid").repartition(*key).sortWithinPartitions(*key)
         return rows.mapInArrow(compare, "a long, b long").distinct()
 
     def _merged(self, labels: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -500,10 +500,10 @@ class _Join:
         free(near)
         labels = connected_components(links, nodes)
         free(links)
-        open_ = self._open(members.filter("g > 2").select("sig", "uid"), labels)
-        if open_.limit(1).count():
-            rest = cut(self._rest(open_, info))
-            if rest.limit(1).count():
+        open_, some = self._open(members.filter("g > 2").select("sig", "uid"), labels)
+        if some:
+            rest, some = cut_some(self._rest(open_, info))
+            if some:
                 labels = self._merged(labels, rest, nodes)
             free(rest)
         free(open_)
