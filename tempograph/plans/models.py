@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tempograph.operators import evaluate, stats
 from tempograph.operators.temporal import blocks, decay_weights
+from tempograph.plans import walk
 from tempograph.sources.graph import TRAIN_END, VAL_END
 
 ESTIMATORS = {
@@ -81,9 +82,14 @@ def ipca_walk_forward(x: DataFrame, kind: str, width: int, keep: int, steps: lis
     """Walk forward on components of all rows before each step: the basis takes in the step before, then all rows in use are projected anew.
 
     Features are scaled by the first training steps, as components depend on units.
+    Logistic models of all steps share their scans (see ``walk``); a projection is
+    linear, so each model takes its own from the same packed rows.
     """
     z = stats.zscore(x, width, F.col("tau") <= TRAIN_END)
     bases = expanding_bases(z, width, keep)
+    if kind == "lr":
+        turns = {tau: bases[max(t for t in bases if t < tau)][1] for tau in steps if min(bases, default=tau) < tau}
+        return walk.decide(walk.run(z, keep, steps, lam=lam, turns=turns, available=available))
 
     def prepare(tau: int, rows: DataFrame) -> tuple[DataFrame, int]:
         last = max(t for t in bases if t < tau)

@@ -41,6 +41,11 @@ class Walk:
     dev: np.ndarray
     w_mean: np.ndarray  # (model, feature) of its labelled rows by weight
     w_dev: np.ndarray
+    turn: np.ndarray | None = None  # (model, part, feature): a model sees these parts of the features
+
+    def seen(self, k: int, x: np.ndarray) -> np.ndarray:
+        """Rows as model k sees them."""
+        return x if self.turn is None else x @ self.turn[k].T
 
     def rows(self, tau: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of labelled rows, and their weights in each model."""
@@ -58,29 +63,35 @@ def _merge(parts: list[tuple[float, np.ndarray, np.ndarray]], width: int) -> tup
     return mean, sum(v + w * (m - mean) ** 2 for w, m, v in parts)
 
 
-def plan(packed: DataFrame, width: int, steps: list[int], lam: float = 0.25, window: int | None = None, train_end: int | None = None) -> Walk:
+def plan(packed: DataFrame, width: int, steps: list[int], lam: float = 0.25, window: int | None = None, train_end: int | None = None, turns: dict[int, np.ndarray] | None = None, available: list[int] | None = None) -> Walk:
     """Train blocks, weights and scales of the models of ``steps``, from one scan that sums by step and label.
 
     Weights are exp(-lam (last step - step)) times the inverse class frequency.
     A step is left out if its train block lacks a class; steps that the table
     does not have are no part of a block. With ``train_end`` there is
     one model (0) instead, trained up to that step, that scores all ``steps``.
+    ``turns`` gives the ``width`` parts (part, feature) of the features that each
+    step's model sees; steps outside ``available`` are scored only.
     """
-    by = moments(packed)  # three groups a step
+    by = all_ = moments(packed, turns is not None)  # three groups a step
     have = sorted({t for t, _ in by})
+    use = [t for t in have if available is None or t in available]
     size = lambda t, c: by[t, c][0] if (t, c) in by else 0
     out = Walk([], [], [], np.array(have), *(np.zeros((0,)) for _ in range(5)))
-    tables, scales = [], []
+    tables, scales, turned = [], [], []
     for tau in [0] if train_end is not None else steps:
         if train_end is not None:
             train, cal, scored = [t for t in have if t <= train_end], None, steps
-        elif tau not in have:
+        elif tau not in have or not use:
             continue
         else:
-            (train, cal), scored = blocks(have, tau, window), [tau]
+            (train, cal), scored = blocks(use, tau, window), [tau]
         counts = [sum(size(t, c) for t in train) for c in (0, 1)]
         if not all(counts):
             continue
+        if turns is not None:
+            turned.append(turns[tau])
+            by = {key: (n, turns[tau] @ m, ((turns[tau] @ v) * turns[tau]).sum(axis=1)) for key, (n, m, v) in all_.items()}
         last = max(t for t in train if size(t, 0) + size(t, 1))
         w = np.zeros((len(have), 2))
         for t in train:
@@ -100,6 +111,7 @@ def plan(packed: DataFrame, width: int, steps: list[int], lam: float = 0.25, win
         scales.append((mean, np.where(dev > 0, dev, 1.0), w_mean, w_dev))
     out.weight = np.array(tables).reshape(len(tables), len(have), 2)
     out.mean, out.dev, out.w_mean, out.w_dev = (np.array(s).reshape(len(tables), width) for s in (zip(*scales) if scales else [[]] * 4))
+    out.turn = None if turns is None else np.array(turned)
     return out
 
 
@@ -118,7 +130,7 @@ def _newton_sums(walk: Walk, beta: np.ndarray) -> Callable[[Iterator], Params |
             for k in range(m):
                 use = weight[k] > 0
                 rows, w = at[use], weight[k][use]
-                s = np.hstack([np.ones((len(rows), 1)), (x[rows] - walk.w_mean[k]) * inverse[k]])
+                s = np.hstack([np.ones((len(rows), 1)), (walk.seen(k, x[rows]) - walk.w_mean[k]) * inverse[k]])
                 y, z = label[rows], s @ beta[k]
                 p = sigmoid(z)
                 loss[k] += float((w * (np.logaddexp(0, z) - y * z)).sum())
@@ -172,8 +184,8 @@ def hess_weight(walk: Walk, packed: DataFrame) -> np.ndarray:
     return got[0]
 
 
-def logistic(k: int, params: Params, x: np.ndarray) -> np.ndarray:
-    return sigmoid(params[0][k][0] + x @ params[0][k][1:])
+def logistic(walk: Walk) -> Predict:
+    return lambda k, params, x: sigmoid(params[0][k][0] + walk.seen(k, x) @ params[0][k][1:])
 
 
 def mlp_gradient(z: np.ndarray, y: np.ndarray, w: np.ndarray, p: Params) -> tuple[float, Params]:
@@ -397,13 +409,15 @@ def step_metrics(p: DataFrame) -> DataFrame:
     return c.join(evaluate.average_precision(p, ["tau"]), "tau")
 
 
-def run(x: DataFrame, width: int, steps: list[int], head: str = "lr", lam: float = 0.25, window: int | None = None, train_end: int | None = None, **options) -> DataFrame:
-    """Scores of the models of ``steps`` (see ``scores``), fitted over all rows of ``x`` (tau, txid, label, features)."""
+def run(x: DataFrame, width: int, steps: list[int], head: str = "lr", lam: float = 0.25, window: int | None = None, train_end: int | None = None, turns: dict[int, np.ndarray] | None = None, available: list[int] | None = None, **options) -> DataFrame:
+    """Scores of the models of ``steps`` (see ``scores``), fitted over all rows of ``x`` (tau, txid, label, features); see ``plan`` for the rest."""
+    if turns is not None and head != "lr":
+        raise ValueError("only logistic models see parts of the features")
     packed = pack(x).persist(StorageLevel.MEMORY_AND_DISK)  # a lost part is computed anew
     try:
-        walk = plan(packed, width, steps, lam, window, train_end)
+        walk = plan(packed, width, steps, lam, window, train_end, turns, available)
         if head == "lr":
-            return scores(pack(x), walk, [fit_logistic(packed, walk, **options)], logistic)
+            return scores(pack(x), walk, [fit_logistic(packed, walk, **options)], logistic(walk))
         if head == "mlp":
             return scores(pack(x), walk, fit_mlp(packed, walk, **options)[0], mlp(walk))
         if head == "gbt":

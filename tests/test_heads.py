@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tempograph.operators import anomaly
+from tempograph.operators import anomaly, stats
 from tempograph.plans import models, walk
 
 
@@ -67,3 +67,21 @@ def test_walk_forward_on_moving_bases_and_context(spark):
         assert r["n"] == 40 and r["tp"] + r["fn"] == 1 and np.isclose(r["f1"], 2 * r["tp"] / (2 * r["tp"] + r["fp"] + r["fn"]))
     c = models.with_context(x, spark.createDataFrame([(1, 9.0)], "tau int, h double"), ["h"])
     assert {r["features"][2] for r in c.filter("tau = 1").collect()} == {9.0} and {r["features"][2] for r in c.filter("tau = 2").collect()} == {0.0}
+
+
+def test_moving_bases_share_their_scans(spark, monkeypatch):
+    x, steps, all_ = _steps(spark, 1.0), [4, 5, 6], list(range(1, 7))
+    z = stats.zscore(x, 2, F.col("tau") <= models.TRAIN_END)
+    bases = models.expanding_bases(z, 2, 1)
+    single = models.walk_forward_scores(z, "lr", 1, steps, all_, prepare=lambda tau, rows: (stats.pca_project(rows, *bases[tau - 1]), 1))
+    want = {(r["tau"], r["txid"]): r for r in single.collect()}
+
+    def fit(*_):
+        raise AssertionError("a fit for each step")
+
+    monkeypatch.setattr(models, "_score", fit)
+    got = {(r["tau"], r["txid"]): r for r in models.ipca_walk_forward(x, "lr", 2, 1, steps, all_).collect()}
+    assert got.keys() == want.keys() and len(got) == 120
+    for k, r in got.items():
+        assert np.isclose(r["score"], want[k]["score"], atol=1e-4) and np.isclose(r["threshold"], want[k]["threshold"], atol=1e-4)
+        assert (r["predicted"], r["fallback"], r["label"]) == (want[k]["predicted"], want[k]["fallback"], want[k]["label"])
