@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tempograph.operators import boosting, evaluate
 from tempograph.operators.boosting import sigmoid
 from tempograph.operators.running import can_checkpoint
-from tempograph.operators.sums import moments, pack, tree_sum, tree_sum_of, unpacked
+from tempograph.operators.sums import dealt, moments, pack, tree_sum, tree_sum_of, unpacked
 from tempograph.operators.temporal import blocks
 
 #: Newton rounds at most, and the step below which a fit is done.
@@ -199,6 +199,53 @@ def mlp_gradient(z: np.ndarray, y: np.ndarray, w: np.ndarray, p: Params) -> tupl
     return float((w * (np.logaddexp(0, out) - y * out)).sum()), [z.T @ back, back.sum(axis=0), h.T @ r, np.array(r.sum())]
 
 
+#: Rows whose layers of all heads are worked out at once; these stay in a core's cache.
+NEAR = 512
+
+
+def mlp_gradients(x: np.ndarray, y: np.ndarray, w: np.ndarray, mean: np.ndarray, dev: np.ndarray, p: Params) -> Params:
+    """``mlp_gradient`` of all models over the same rows, whose weights ``w`` (row, model) are 0 where a model does not see a row.
+
+    Each model scales rows by its own ``mean`` and ``dev``; the first layers take
+    that in, so one product serves all models. The gradient of the second layer
+    follows from the sums for the first, without the units' values.
+    """
+    w1, b1, w2, b2 = p
+    m, d, h = w1.shape
+    mid, unit = mean.mean(axis=0), dev.mean(axis=0)
+    scale, shift = unit / dev, (mid - mean) / dev
+    first = np.concatenate([scale[:, :, None] * w1, (b1 + np.einsum("kd,kdh->kh", shift, w1))[:, None]], axis=1)  # (model, feature and 1, unit)
+    flat = np.ascontiguousarray(first.transpose(1, 0, 2).reshape(d + 1, m * h))
+    loss, sums, grad_b2 = np.zeros(m), np.zeros((d + 1, m * h)), np.zeros(m)
+    for s in range(0, len(x), NEAR):
+        own, weight, t = np.ones((len(x[s : s + NEAR]), d + 1)), w[s : s + NEAR], y[s : s + NEAR, None]
+        own[:, :d] = (x[s : s + NEAR] - mid) / unit
+        a = np.maximum(own @ flat, 0).reshape(-1, m, h)
+        out = np.einsum("nkh,kh->nk", a, w2) + b2
+        small = np.exp(-np.abs(out))
+        r = weight * (np.where(out >= 0, 1.0, small) / (1 + small) - t)
+        loss += (weight * (np.maximum(out, 0) + np.log1p(small) - t * out)).sum(axis=0)
+        grad_b2 += r.sum(axis=0)
+        sums += own.T @ np.multiply(a > 0, r[:, :, None], out=a).reshape(-1, m * h)
+    by = sums.reshape(d + 1, m, h).transpose(1, 0, 2)
+    back = by * w2[:, None]
+    return [loss, scale[:, :, None] * back[:, :d] + shift[:, :, None] * back[:, d:], back[:, d], (first * by).sum(axis=1), grad_b2]
+
+
+def trained(packed: DataFrame, walk: Walk) -> DataFrame:
+    """Packed rows that some model trains on."""
+    keep = walk.weight.any(axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in unpacked(batches):
+            at = np.flatnonzero((block[2] == 0) | (block[2] == 1))
+            at = at[keep[np.searchsorted(walk.steps, block[0][at]), block[2][at]]]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([c[at].tobytes()], pa.binary()) for c in block], ["tau", "txid", "label", "x"])
+
+    return packed.mapInArrow(run, "tau binary, txid binary, label binary, x binary")
+
+
 def fit_mlp(packed: DataFrame, walk: Walk, hidden: int = 16, epochs: int = 100, rate: float = 0.01, decay: float = 5e-4, l1: float = 1e-4, seed: int = 7) -> tuple[Params, list[np.ndarray]]:
     """Heads with one hidden layer of rectified units, class weights, and an L1 penalty on the first layer; with the losses by epoch.
 
@@ -210,26 +257,22 @@ def fit_mlp(packed: DataFrame, walk: Walk, hidden: int = 16, epochs: int = 100,
     init = rng.uniform(-1, 1, (d, hidden)) / np.sqrt(max(d, 1)), np.zeros(hidden), rng.uniform(-1, 1, hidden) / np.sqrt(hidden), np.zeros(())
     params = [np.repeat(v[None], m, axis=0) for v in init]  # equal seeds for all models
     first, second, losses = [np.zeros_like(v) for v in params], [np.zeros_like(v) for v in params], []
-    total = hess_weight(walk, packed) if m else np.zeros(0)
+    rows = trained(packed, walk).persist(StorageLevel.MEMORY_AND_DISK)
+    total = hess_weight(walk, rows) if m else np.zeros(0)
+    weight = walk.weight.reshape(m, -1).T.copy() if m else np.zeros((0, 0))  # (step and label, model)
 
     def sums(now: Params) -> Callable[[Iterator], Params | None]:
         def one(blocks_: Iterator) -> Params | None:
             out = [np.zeros(m), *(np.zeros_like(v) for v in now)]
             for tau, _, label, x in blocks_:
-                at, weight = walk.rows(tau, label)
-                for k in range(m):
-                    use = weight[k] > 0
-                    rows = at[use]
-                    loss, grads = mlp_gradient((x[rows] - walk.mean[k]) / walk.dev[k], label[rows], weight[k][use], [v[k] for v in now])
-                    out[0][k] += loss
-                    for o, g in zip(out[1:], grads):
-                        o[k] += g
+                grads = mlp_gradients(x, label, weight[2 * np.searchsorted(walk.steps, tau) + label], walk.mean, walk.dev, now)
+                out = [o + g for o, g in zip(out, grads)]
             return out
 
         return one
 
     for t in range(1, (epochs if m else 0) + 1):
-        loss, *grads = tree_sum(packed, sums(params))
+        loss, *grads = tree_sum(rows, sums(params))
         losses.append(loss / total)
         for i, g in enumerate(grads):
             g = g / total.reshape(-1, *[1] * (g.ndim - 1))
@@ -238,6 +281,7 @@ def fit_mlp(packed: DataFrame, walk: Walk, hidden: int = 16, epochs: int = 100,
             move = rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
             params[i] = params[i] * (1 - rate * decay) - move
         params[0] = np.sign(params[0]) * np.maximum(np.abs(params[0]) - rate * l1, 0)
+    rows.unpersist()
     return params, losses
 
 
@@ -409,21 +453,28 @@ def step_metrics(p: DataFrame) -> DataFrame:
     return c.join(evaluate.average_precision(p, ["tau"]), "tau")
 
 
+def _kept(scored: DataFrame) -> DataFrame:
+    """Scores as stored before the packed rows go; thresholds and metrics read them again and again."""
+    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+    scored.count()
+    return scored
+
+
 def run(x: DataFrame, width: int, steps: list[int], head: str = "lr", lam: float = 0.25, window: int | None = None, train_end: int | None = None, turns: dict[int, np.ndarray] | None = None, available: list[int] | None = None, **options) -> DataFrame:
-    """Scores of the models of ``steps`` (see ``scores``), fitted over all rows of ``x`` (tau, txid, label, features); see ``plan`` for the rest."""
+    """Scores of the models of ``steps`` (see ``scores``), fitted over all rows of ``x`` (tau, txid, label, features); see ``plan`` for the rest. They stay persisted until the session's cache is cleared."""
     if turns is not None and head != "lr":
         raise ValueError("only logistic models see parts of the features")
-    packed = pack(x).persist(StorageLevel.MEMORY_AND_DISK)  # a lost part is computed anew
+    packed = dealt(pack(x)).persist(StorageLevel.MEMORY_AND_DISK)  # a lost part is computed anew
     try:
         walk = plan(packed, width, steps, lam, window, train_end, turns, available)
         if head == "lr":
-            return scores(pack(x), walk, [fit_logistic(packed, walk, **options)], logistic(walk))
+            return _kept(scores(packed, walk, [fit_logistic(packed, walk, **options)], logistic(walk)))
         if head == "mlp":
-            return scores(pack(x), walk, fit_mlp(packed, walk, **options)[0], mlp(walk))
+            return _kept(scores(packed, walk, fit_mlp(packed, walk, **options)[0], mlp(walk)))
         if head == "gbt":
             first = min((int(t) for k in range(len(walk.models)) for t in walk.steps[walk.weight[k].any(axis=1)][-1:]), default=0)
             edges = feature_edges(x.filter(F.col("tau") <= first), width, options.pop("bins", boosting.BINS))  # no model sees later rows
-            return scores(pack(x), walk, [], boosted(fit_boosted(packed, walk, edges, **options)))
+            return _kept(scores(packed, walk, [], boosted(fit_boosted(packed, walk, edges, **options))))
         raise ValueError(f"unknown head {head!r}")
     finally:
         packed.unpersist()
