@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tempograph.operators import boosting, evaluate
 from tempograph.operators.boosting import sigmoid
-from tempograph.operators.running import can_checkpoint
+from tempograph.operators.running import can_checkpoint, release, settle
 from tempograph.operators.sums import dealt, moments, pack, tree_sum, tree_sum_of, unpacked
 from tempograph.operators.temporal import blocks
 
@@ -300,16 +300,18 @@ def feature_edges(x: DataFrame, width: int, bins: int) -> list[np.ndarray]:
     return out
 
 
-def _binned(packed: DataFrame, edges: list[np.ndarray], base: np.ndarray) -> DataFrame:
-    """Packed rows that a model trains on, with features as bytes and the margin of every model."""
-    coder = boosting.Booster(edges)
+def _binned(packed: DataFrame, walk: Walk, edges: list[np.ndarray]) -> DataFrame:
+    """Packed rows that a model trains on, by step in each block, with features as bytes (feature, row); the empty margins stand for zeros."""
+    coder, keep = boosting.Booster(edges), walk.weight.any(axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tau, txid, label, x in unpacked(batches):
+        for tau, _, label, x in unpacked(batches):
             at = np.flatnonzero((label == 0) | (label == 1))
-            margin = np.repeat(base[:, None], len(at), axis=1)
-            cols = [c.tobytes() for c in (tau[at], label[at], coder.bins(x[at]), margin)]
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], ["tau", "label", "bins", "margin"])
+            at = at[keep[np.searchsorted(walk.steps, tau[at]), label[at]]]
+            at = at[np.argsort(tau[at], kind="stable")]
+            if len(at):
+                cols = [*(c.tobytes() for c in (tau[at], label[at], coder.bins(x[at]).T)), b""]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], ["tau", "label", "bins", "margin"])
 
     return packed.mapInArrow(run, "tau binary, label binary, bins binary, margin binary")
 
@@ -318,11 +320,12 @@ def _raised(binned: DataFrame, trees: list[boosting.Tree | None], width: int) ->
     """Margins with a tree more for each model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = [t and boosting.reach(t, t.depth, width) for t in trees]
         for tau, label, bins, margin in _binned_blocks(batches, width, len(trees)):
-            margin = margin.copy()
+            margin, at = margin.copy(), bins.astype(np.intp)
             for k, t in enumerate(trees):
                 if t is not None:
-                    margin[k] += t.value[t.nodes(bins)]
+                    margin[k] += t.value[reach[k](at)]
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in (tau, label, bins, margin)], ["tau", "label", "bins", "margin"])
 
     return binned.mapInArrow(run, "tau binary, label binary, bins binary, margin binary")
@@ -332,24 +335,39 @@ def _binned_blocks(batches: Iterator[pa.RecordBatch], width: int, models: int) -
     for b in batches:
         for i in range(b.num_rows):
             tau, label, bins, margin = (np.frombuffer(b.column(k)[i].as_py(), t) for k, t in enumerate((np.int32, np.int32, np.uint8, np.float64)))
-            yield tau, label, bins.reshape(len(tau), width), margin.reshape(models, len(tau))
+            yield tau, label, bins.reshape(width, len(tau)), margin.reshape(models, len(tau)) if len(margin) else np.zeros((models, len(tau)))
 
 
 def level_sums(walk: Walk, trees: list[boosting.Tree | None], level: int, width: int, bins: int) -> Callable[[Iterator], Params]:
-    """(model, node, feature, bin, 2): sums of gradients and curvatures at a level of the models' current trees; None stands for a tree's root."""
+    """(model, node, feature, bin, 2): sums of gradients and curvatures at a level of the models' current trees; None stands for a tree's root.
+
+    A block's rows are in order of steps, so a model's rows lie side by side.
+    """
     m, nodes = len(walk.models), 1 << level
+    weight = walk.weight.reshape(m, -1)  # (model, step and label)
+    ends = [(s[0], s[-1] + 1) if len(s) else (0, 0) for s in (np.flatnonzero(w.any(axis=1)) for w in walk.weight)]
+    size = (nodes + 1) * bins  # the last node takes rows that stopped above
 
     def one(batches: Iterator[pa.RecordBatch]) -> Params:
-        out = np.zeros((m, nodes, width, bins, 2))
+        out = np.zeros((m, width, 2, size))
+        reach = [t and boosting.reach(t, level, width) for t in trees]
+        place = np.full((2 << level) - 1, nodes * bins)
+        place[nodes - 1 :] = np.arange(nodes) * bins
         for tau, label, b, margin in _binned_blocks(batches, width, m):
-            at, weight = walk.rows(tau, label)  # all rows are labelled
-            for k in range(m):
-                use = weight[k] > 0
-                own, w = b[use], weight[k][use]
-                p = sigmoid(margin[k][use])
-                node = np.zeros(len(own), np.int64) if trees[k] is None else boosting.level_nodes(trees[k], own, level)
-                out[k] += boosting.histogram(own, node, nodes, w * (p - label[use]), w * p * (1 - p), bins)
-        return [out]
+            step, b = np.searchsorted(walk.steps, tau), b.astype(np.intp)
+            code = 2 * step + label  # all rows are labelled
+            for k, (first, last) in enumerate(ends):
+                own = slice(*np.searchsorted(step, (first, last)))
+                if own.start == own.stop:
+                    continue
+                w, p = weight[k][code[own]], sigmoid(margin[k, own])
+                g, h = w * (p - label[own]), w * p * (1 - p)
+                at = None if trees[k] is None else place[reach[k](b[:, own])]
+                for f in range(width):
+                    cell = b[f, own] if at is None else at + b[f, own]
+                    out[k, f, 0] += np.bincount(cell, g, size)
+                    out[k, f, 1] += np.bincount(cell, h, size)
+        return [np.moveaxis(out.reshape(m, width, 2, nodes + 1, bins)[:, :, :, :nodes], (1, 2, 3, 4), (2, 4, 1, 3))]
 
     return one
 
@@ -366,7 +384,8 @@ def fit_boosted(packed: DataFrame, walk: Walk, edges: list[np.ndarray], trees: i
     out = [boosting.Booster(edges) for _ in range(m)]
     if not m:
         return out
-    rows = _binned(packed, edges, np.zeros(m)).persist(StorageLevel.MEMORY_AND_DISK)
+    # Adaptive plans that are nested in each other, as those of shuffled rows would be, take twice the time to plan with every tree.
+    start = rows = settle(_binned(packed, walk, edges))
     save = can_checkpoint(packed)
     alive = [True] * m
     for t in range(trees):
@@ -382,7 +401,7 @@ def fit_boosted(packed: DataFrame, walk: Walk, edges: list[np.ndarray], trees: i
             if alive[k]:
                 grown[k] = states[k]
                 out[k].trees.append(states[k])
-        if not any(alive):
+        if not any(alive) or t == trees - 1:
             break
         old, rows = rows, _raised(rows, grown, width)
         if save and t % KEEP == KEEP - 1:
@@ -391,6 +410,7 @@ def fit_boosted(packed: DataFrame, walk: Walk, edges: list[np.ndarray], trees: i
         rows.count()
         old.unpersist()
     rows.unpersist()
+    release(start)
     return out
 
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tempograph.operators import sums
+from tempograph.operators import boosting, sums
 from tempograph.plans import walk
 
 
@@ -51,3 +51,25 @@ def test_scans_leave_out_rows_that_no_model_trains_on(spark):
     got = [(t, c) for tau, _, label, _ in sums.unpacked(walk.trained(packed, plan).toArrow().to_batches()) for t, c in zip(tau.tolist(), label.tolist())]
     assert sorted(set(got)) == [(t, c) for t in range(1, 6) for c in (0, 1)] and len(got) == 5 * 26
     assert np.array_equal(walk.hess_weight(plan, walk.trained(packed, plan)), walk.hess_weight(plan, packed))
+
+
+def test_nodes_by_decisions_looked_up():
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, 256, (3, 500))
+    for depth in (1, 3, 4, 5):
+        tree = boosting.growing(depth)
+        for i in range((1 << depth) - 1):
+            if not i or tree.feature[(i - 1) // 2] >= 0 and rng.random() < 0.8:  # some stop early
+                tree.feature[i], tree.cut[i] = rng.integers(0, 3), rng.integers(0, 255)
+        for level in range(depth + 1):
+            assert np.array_equal(boosting.reach(tree, level, 3)(bins), tree.nodes(bins.T, level))
+
+
+def test_boosted_rows_are_ordered_and_trained_on(spark):
+    packed = sums.dealt(sums.pack(spark.createDataFrame(_rows(), "tau int, txid long, label int, features array<double>"))).cache()
+    plan = walk.plan(packed, 3, [6, 7], 0.25)
+    edges = [np.array([0.0, 1.0])] * 3
+    parts = list(walk._binned_blocks(walk._binned(packed, plan, edges).toArrow().to_batches(), 3, 2))
+    assert all((np.diff(tau) >= 0).all() and b.shape == (3, len(tau)) and not margin.any() for tau, _, b, margin in parts)
+    assert sum(len(tau) for tau, *_ in parts) == 5 * 26
+    assert [len(b.trees) for b in walk.fit_boosted(packed, plan, edges, trees=3, depth=2)] == [3, 3]
